@@ -65,6 +65,33 @@ def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     return cond
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """(row, key_id, key_hash): whole rows, so that no name clashes, told by doc_id and the hash of the text."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("key_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key_hash"))
+
+
+def same_key(side: DataFrame) -> Column:
+    """Whether a row of ``keyed`` is that of ``side`` (doc_id, text_hash)."""
+    return F.col("key_id").eqNullSafe(side["doc_id"]) & (F.col("key_hash") == side["text_hash"])
+
+
+def drop_rows(spark: SparkSession, docs: DataFrame, fate: DataFrame) -> DataFrame:
+    """``docs`` without what ``fate`` (doc_id, text_hash, n_kept) drops; all columns stay.
+
+    Rows that ``fate`` doesn't name stay; of rows that agree in doc_id and text, one stays where
+    ``n_kept`` is over 0.
+    """
+    fate = written(spark, fate.select("doc_id", "text_hash", "n_kept"))
+    named = keyed(docs)
+    all_ = checked(fate)
+    left = named.join(all_, same_key(all_), "left_anti")
+    one = fate.filter("n_kept > 0")
+    if one.limit(1).count():
+        one = checked(one)
+        left = left.unionByName(named.join(one, same_key(one), "left_semi").dropDuplicates(["key_id", "key_hash"]))
+    return left.select("row.*")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

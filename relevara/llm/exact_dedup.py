@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relevara.llm.common import checked, forget, ship, text_session, written
+from relevara.llm.common import checked, drop_rows, forget, ship, text_session, written
 from relevara.llm.textvec import SPACE, buffers, pieces
 
 PRIME = 2**31 - 1
@@ -191,26 +191,10 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, huge: int = HUGE) -> DataF
     )
 
 
-def drop_rows(spark: SparkSession, docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """``docs`` without the rows that ``decided`` (doc_id, text_hash, kept) drops; all columns stay.
-
-    Rows are told by doc_id and the hash of their text; of rows that agree in both, as many
-    stay as were kept (one).
-    """
-    fate = written(spark, decided.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"), F.count_if("kept").alias("n_kept")).filter("n_kept < n"))
-    named = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    gone, twice = fate.filter("n_kept = 0"), fate.filter("n_kept > 0")
-
-    def same(side: DataFrame):
-        return named["doc_id"].eqNullSafe(side["doc_id"]) & (named["_hash"] == side["text_hash"])
-
-    gone = checked(gone)
-    left = named.join(gone, same(gone), "left_anti")
-    if twice.limit(1).count():
-        twice = checked(twice)
-        once = named.join(twice, same(twice), "left_semi").dropDuplicates(["doc_id", "_hash"])
-        left = left.join(twice, left["doc_id"].eqNullSafe(twice["doc_id"]) & (left["_hash"] == twice["text_hash"]), "left_anti").unionByName(once)
-    return left.drop("_hash")
+def without_copies(spark: SparkSession, docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """``docs`` without the rows that ``exact_dedup`` drops."""
+    fate = decided.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"), F.count_if("kept").alias("n_kept"))
+    return drop_rows(spark, docs, fate.filter("n_kept < n"))
 
 
 ship(__name__)

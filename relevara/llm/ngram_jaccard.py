@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relevara.llm.common import checked, forget, ship, text_session, written
+from relevara.llm.common import checked, drop_rows, forget, ship, text_session, written
 from relevara.llm.graph import components
 from relevara.llm.textvec import buffers, distinct_sets, mix, pieces, shingle_hashes, sums, word_hashes
 
@@ -44,7 +44,7 @@ def shingle_sets(batch: pa.RecordBatch, text: int, size: int) -> tuple[np.ndarra
 def set_ids(sets: np.ndarray, off: np.ndarray, seed: int) -> np.ndarray:
     """A 64-bit id of each whole set."""
     n = np.diff(off).astype(np.uint64)
-    return mix(sums(mix(sets + np.uint64(2 * seed + 1) * _SALT), off) ^ mix(n + np.uint64(seed)))
+    return mix(sums(mix(sets + np.uint64((2 * seed + 1) * int(_SALT) % 2**64)), off) ^ mix(n + np.uint64(seed)))
 
 
 def class_starts(num: int, den: int, most: int) -> np.ndarray:
@@ -214,6 +214,16 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = 5, num:
     )
 
 
+def one_of_each(spark: SparkSession, docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``docs`` with one document of each component: the smallest doc_id, then the text's hash."""
+    rows = written(spark, found.filter("linked OR class_size > 1").select("doc_id", "text_hash", "component_id"))
+    first = rows.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("keep")).select(F.col("component_id").alias("c"), "keep")
+    both = rows.join(checked(first), F.col("component_id").eqNullSafe(F.col("c")))
+    stays = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("text_hash") == F.col("keep.text_hash"))
+    fate = both.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"), F.max(stays.cast("int")).alias("n_kept"))
+    return drop_rows(spark, docs, fate.filter("n_kept < n"))
+
+
 def parts_of(spark: SparkSession, docs: DataFrame, rows: DataFrame, pairs: DataFrame, size: int, seed: int) -> DataFrame:
     """The sets, in parts, of the nodes that occur in ``pairs``: read again from the texts."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
