@@ -88,7 +88,7 @@ def packed_batches(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.R
 
 def best(q_ids: np.ndarray, v_ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     """Indices of each query's k best, by score and then the smaller id."""
-    order = np.lexsort((v_ids, -scores, q_ids))
+    order = np.lexsort((v_ids, ~scores, q_ids))
     q = q_ids[order]
     start = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.zeros(0, np.int64)
     rank = np.arange(len(q)) - np.repeat(start, np.diff(np.append(start, len(q))))
@@ -99,9 +99,8 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, v_ids: np.
     """(query, vector, score) of the k best of a block for each query, where they can reach its threshold."""
     qr, xr = q @ rotation, x @ rotation
     slack = 1e-9 * np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(x, axis=1)) + 1e-6
-    rows, cols = np.divmod(np.arange(len(q) * len(x)), max(len(x), 1))
     bound = np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(x, axis=1)) + slack
-    alive = (bound >= floor[:, None]) & (q_ids[:, None] != v_ids[None, :])
+    alive = ~(bound < floor[:, None]) & (q_ids[:, None] != v_ids[None, :])
     rows, cols = np.nonzero(alive)
     at, dim = 0, rotation.shape[0]
     partial = np.zeros(len(rows))
@@ -111,7 +110,7 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, v_ids: np.
         step = qr[:, at:to] @ xr[:, at:to].T
         partial += step[rows, cols]
         rest = np.outer(np.linalg.norm(qr[:, to:], axis=1), np.linalg.norm(xr[:, to:], axis=1)) + slack
-        keep = partial + rest[rows, cols] >= floor[rows]
+        keep = ~(partial + rest[rows, cols] < floor[rows])  # so stays what overflows
         rows, cols, partial, at = rows[keep], cols[keep], partial[keep], to
     found: list[tuple] = []
     for i in range(0, len(rows), 1 << 16):

@@ -150,11 +150,12 @@ class Parser:
             nxt = self.table[state[:, :m] + sym]
             miss = nxt < 0
             nxt = np.where(miss, self.fresh[lanes, sym], nxt)
-            count[:, :m] += miss
+            # a phrase starts at the start, after a symbol that nothing matches, and where a match ends
+            count[:, :m] += miss | (state[:, :m] == self.root[:, None])
             state[:, :m] = nxt
         out = np.zeros((n, k))
         for j in range(k):
-            out[:, j] = np.bincount(own, count[j] + 1, n)
+            out[:, j] = np.bincount(own, count[j], n)
         return out
 
     def predict(self, s: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -49,8 +49,8 @@ def set_ids(sets: np.ndarray, off: np.ndarray, seed: int) -> np.ndarray:
 
 def class_starts(num: int, den: int, most: int) -> np.ndarray:
     """First sizes of the classes; a partner of a set is in its class or in the next one."""
-    out = [1]
-    while out[-1] <= most:
+    out, more = [1], 3
+    while out[-1] <= most or (more := more - 1) >= 0:
         out.append(max(out[-1] + 1, out[-1] * den * den // (num * num) + 1))
     return np.array(out, np.int64)
 

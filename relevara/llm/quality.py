@@ -180,7 +180,7 @@ def quality_scores(spark: SparkSession, docs: DataFrame, fit_rows: int = FIT_ROW
         for _ in range(PASSES // 10):
             shared = spark.sparkContext.broadcast(weights)
             parts = texts.mapInArrow(lambda it, b=shared: gradient_batches(it, b.value), "n long, grad binary")
-            total = parts.groupBy(F.lit(0)).applyInPandas(added, "n long, grad binary").first()
+            total = parts.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(added, "n long, grad binary").first()
             weights = weights + np.frombuffer(total["grad"]) / total["n"]
     shared = spark.sparkContext.broadcast(weights)
     scored = flat.select("doc_id", "text").mapInArrow(lambda it: score_batches(it, shared.value), "doc_id long, score double")

@@ -41,7 +41,7 @@ TERM_CHARS = 4
 #: Private-use characters that stand for a dot between labels, a separator between digits, and themselves.
 DOT, JOINT, OTHER = "\ue000", "\ue001", "\ue002"
 _LOCAL = "A-Za-z0-9._%+-"
-EMAIL = rf"(?:\G|(?<![{_LOCAL}{DOT}]))[{_LOCAL}{DOT}]++@[A-Za-z0-9-]++{DOT}[A-Za-z0-9{DOT}-]++"
+EMAIL = rf"(?:\G|(?<![{DOT}{_LOCAL}]))[{DOT}{_LOCAL}]++@[A-Za-z0-9-]++{DOT}[A-Za-z0-9{DOT}-]++"
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = f"[0-9][0-9{JOINT}]++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
