@@ -32,15 +32,16 @@ from pyspark.sql import functions as F
 from relevara.llm.common import checked, ship, text_session, written
 
 #: Chunks whose ids a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 800_000
 _MEMORY: dict = {}
 
 
 class Encoder:
     """Ids as little-endian bytes; equal chunks between single spaces are encoded once.
 
-    The pre-tokenizer never joins what stands on both sides of a space that follows a
-    non-space, so a text without double spaces is the sequence of its chunks.
+    The pre-tokenizer starts anew at a space between two other characters, so a text without
+    white space on both sides of a space is the sequence of its chunks, each with its space.
+    Other texts are encoded whole.
     """
 
     def __init__(self, vocabulary: str) -> None:
@@ -49,31 +50,47 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.encode_special_tokens = True
+        vocab = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocab.values()) + 1, bool)
+        self.opens[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True  # the byte-level space
         self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        self.later: dict[str, bytes | None] = {}
 
-    def learn(self, memory: dict[str, bytes], chunks: set[str], before: str) -> None:
-        new = list(chunks.difference(memory))
-        if len(memory) + len(new) > REMEMBERED:
-            memory.clear()
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def learn(self, chunks: set[str]) -> None:
+        """Remembers the ids of chunks after a space; None for those that white space starts."""
+        new = list(chunks.difference(self.later))
+        if len(self.later) + len(new) > REMEMBERED:
+            self.later.clear()
             new = list(chunks)
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast([before + c for c in part], add_special_tokens=False), strict=True):
-                memory[c] = np.array(e.ids, "<u4").tobytes()
+        plain = []
+        for c in new:
+            if c and not c[0].isspace():
+                plain.append(c)
+            else:
+                self.later[c] = self.ids(" ").tobytes() if not c else None
+        for i in range(0, len(plain), 256):  # many chunks in one call, told apart by their spaces
+            part = plain[i : i + 256]
+            ids = self.ids(" " + " ".join(part))
+            at = np.flatnonzero(self.opens[ids])
+            if len(at) == len(part):
+                raw, ends = ids.tobytes(), [*(4 * at[1:]).tolist(), 4 * len(ids)]
+                self.later.update(zip(part, [raw[a:b] for a, b in zip((4 * at).tolist(), ends, strict=True)], strict=True))
+            else:
+                self.later.update((c, self.ids(" " + c).tobytes()) for c in part)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [None if "  " in t else t.split(" ") for t in texts]
         known = [s for s in split if s is not None]
-        self.learn(self.first, {s[0] for s in known}, "")
-        self.learn(self.later, set().union(*(s[1:] for s in known)) if known else set(), " ")
+        self.learn(set().union(*(s[1:] for s in known)) if known else set())
+        if len(self.first) > 1000:
+            self.first.clear()
         later, out = self.later.__getitem__, []
         for t, s in zip(texts, split, strict=True):
-            if s is None:
-                ids = self.tokenizer.encode_batch_fast([t], add_special_tokens=False)[0].ids
-                out.append(np.array(ids, "<u4").tobytes())
-            else:
-                out.append(b"".join([self.first[s[0]], *map(later, s[1:])]))
+            ids = None if s is None else [self.first.get(s[0]) or self.first.setdefault(s[0], self.ids(s[0]).tobytes()), *map(later, s[1:])]
+            out.append(self.ids(t).tobytes() if ids is None or None in ids else b"".join(ids))
         return out
 
 
