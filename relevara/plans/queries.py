@@ -1,2 +1,407 @@
-"""Named queries."""
-QUERIES = {}
+"""Named queries by operator: each takes (spark, sf_dir) and returns a DataFrame."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from relevara.functions import scalars as S
+from relevara.operators import agreement as A
+from relevara.operators import metrics as M
+from relevara.operators import stats as T
+from relevara.operators.judged import ENGINES, grid, ideal, judged_hit, pool, table
+from relevara.operators.judged import queries as query_table
+from relevara.operators.retrieval import bm25, postings
+from relevara.sources.readers import nested
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+FOCAL = ENGINES[0]
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+@query
+def s03_flattened(spark: SparkSession, d: str) -> DataFrame:
+    """Packed into nested results and flattened again."""
+    per = nested(judged_hit(spark, d)).select("query_id", "sector", "tier", F.explode("providers").alias("engine", "hits"))
+    return per.select("query_id", "sector", "tier", "engine", F.explode("hits").alias("h")).select("query_id", "sector", "tier", "engine", "h.rank", F.col("h.id").alias("raw_id"), "h.label")
+
+
+@query
+def a01_pool_max_gain(spark: SparkSession, d: str) -> DataFrame:
+    return pool(judged_hit(spark, d))
+
+
+@query
+def a02_idcg(spark: SparkSession, d: str) -> DataFrame:
+    return ideal(judged_hit(spark, d))
+
+
+@query
+def a03_pooled_ndcg(spark: SparkSession, d: str) -> DataFrame:
+    rows = M.query_engine(spark, d).filter("idcg10 > 0")
+    return rows.groupBy("engine").agg(F.count("*").alias("n"), M.mean(M.ndcg(10)).alias("ndcg10"), M.mean(M.ndcg(20)).alias("ndcg20"))
+
+
+@query
+def a04_self_ndcg(spark: SparkSession, d: str) -> DataFrame:
+    own = M.self_ideal(judged_hit(spark, d), 10)
+    return grid(spark, d).join(own, ["query_id", "engine"], "left").groupBy("engine").agg(M.mean(F.coalesce("score", F.lit(0.0))).alias("self_ndcg10"), F.count("*").alias("n"))
+
+
+@query
+def a05_graded_precision(spark: SparkSession, d: str) -> DataFrame:
+    return M.query_engine(spark, d).select("query_id", "engine", M.precision(10).alias("p10"), M.precision(20).alias("p20"))
+
+
+@query
+def a06_pooled_recall(spark: SparkSession, d: str) -> DataFrame:
+    rows = M.query_engine(spark, d).filter("n_exact > 0")
+    return rows.select("query_id", "engine", M.recall(10).alias("recall10"), M.recall(20).alias("recall20"))
+
+
+@query
+def a08_cells(spark: SparkSession, d: str) -> DataFrame:
+    m = [("ndcg10", M.ndcg(10)), ("ndcg20", M.ndcg(20)), ("p10", M.precision(10)), ("p20", M.precision(20)), ("recall10", M.recall(10)), ("recall20", M.recall(20)), ("ezr", M.ezr()), ("zero_rate", M.zero()), ("all_junk", M.all_junk()), ("junk10", M.junk(10)), ("junk20", M.junk(20)), ("nrel", F.col("nrel"))]
+    return M.cells(M.query_engine(spark, d), *[M.mean(x).alias(n) for n, x in m])
+
+
+@query
+def a07_ezr_disjoint(spark: SparkSession, d: str) -> DataFrame:
+    """Effective zero results are zero results or all junk, never both."""
+    rows = M.query_engine(spark, d)
+    out = rows.groupBy("engine").agg(F.sum(M.ezr()).alias("n_ezr"), F.sum(M.zero()).alias("n_zero"), F.sum(M.all_junk()).alias("n_junk"), F.count("*").alias("n"))
+    return out.withColumn("holds", F.col("n_ezr") == F.col("n_zero") + F.col("n_junk"))
+
+
+@query
+def a14_recall_by_tier(spark: SparkSession, d: str) -> DataFrame:
+    rows = M.query_engine(spark, d).filter("n_exact > 0")
+    long = rows.select("engine", "tier", F.explode(F.array(F.struct(F.lit(10).alias("k"), M.recall(10).alias("r")), F.struct(F.lit(20).alias("k"), M.recall(20).alias("r")))).alias("x"))
+    return long.groupBy("engine", F.col("x.k").alias("k"), "tier").agg(M.mean(F.col("x.r")).alias("rate"), F.count("*").alias("n"))
+
+
+def aggregates(spark: SparkSession, d: str) -> DataFrame:
+    rows = M.query_engine(spark, d)
+    return rows.groupBy("engine", "sector", "tier").agg(F.avg(M.zero() * 100).alias("zero_pct"), (F.avg(M.precision(10)) * 100).alias("p10_pct"), (F.avg(M.precision(20)) * 100).alias("p20_pct"), F.count("*").alias("n_queries"))
+
+
+@query
+def a15_aggregates(spark: SparkSession, d: str) -> DataFrame:
+    return aggregates(spark, d).select("engine", "sector", "tier", *[F.round(c, 6).alias(c) for c in ("zero_pct", "p10_pct", "p20_pct")], "n_queries")
+
+
+@query
+def a16_recombined(spark: SparkSession, d: str) -> DataFrame:
+    n = F.sum("n_queries")
+    w = lambda c: F.round(F.sum(F.col(c) * F.col("n_queries")) / n, 6).alias(c)
+    return aggregates(spark, d).groupBy("engine").agg(w("zero_pct"), w("p10_pct"), w("p20_pct"), n.alias("n_queries"))
+
+
+@query
+def a17_label_census(spark: SparkSession, d: str) -> DataFrame:
+    return judged_hit(spark, d).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query
+def a18_populations(spark: SparkSession, d: str) -> DataFrame:
+    rows = M.query_engine(spark, d).filter(F.col("engine") == FOCAL)
+    return rows.groupBy("sector", "tier").agg(F.count("*").alias("n_all"), F.count_if(F.col("idcg10") > 0).alias("n_ndcg"), F.count_if(F.col("n_exact") > 0).alias("n_recall"), F.count_if((F.col("idcg10") > 0) & (F.col("n_exact") == 0)).alias("n_between"))
+
+
+@query
+def a19_median_fill(spark: SparkSession, d: str) -> DataFrame:
+    part = table(spark, d, "part").select("p_partkey", "p_type", F.when(F.col("p_partkey") % 7 == 0, 0.0).otherwise(F.col("p_retailprice")).alias("price"))
+    known = part.filter("price > 0")
+    per, all_ = known.groupBy("p_type").agg(F.median("price").alias("m")), known.agg(F.median("price").alias("g"))
+    filled = part.join(per, "p_type", "left").join(F.broadcast(all_))
+    return filled.select("p_partkey", F.when(F.col("price") == 0, F.round(F.coalesce("m", "g"), 4)).otherwise(F.col("price")).alias("price"))
+
+
+def products(spark: SparkSession, d: str) -> DataFrame:
+    """A catalogue of parts with some fields blank."""
+    k = F.col("p_partkey")
+    return table(spark, d, "part").select(S.namespaced(F.lower("p_brand"), k.cast("string")).alias("product_id"), F.when(k % 11 == 0, " N/A ").otherwise(F.col("p_name")).alias("title"), F.when(k % 5 == 0, "nan").otherwise(F.col("p_brand")).alias("brand"), F.col("p_type").alias("category"), F.when(k % 13 == 0, None).otherwise(F.col("p_retailprice")).alias("price"))
+
+
+@query
+def a20_completeness(spark: SparkSession, d: str) -> DataFrame:
+    rows = products(spark, d)
+    text = [F.avg((S.clean_text(F.col(c)) != "").cast("int") * 100.0).alias(c) for c in ("product_id", "title", "brand", "category")]
+    wide = rows.agg(*text, F.avg(F.col("price").isNotNull().cast("int") * 100.0).alias("price"))
+    return wide.unpivot([], ["product_id", "title", "brand", "category", "price"], "field", "pct").select("field", F.round("pct", 6).alias("pct"))
+
+
+@query
+def a21_count_gate(spark: SparkSession, d: str) -> DataFrame:
+    want = [(n, table(spark, d, n).count()) for n in ("part", "supplier", "customer")]
+    got = [table(spark, d, n).agg(F.lit(n).alias("name"), F.count("*").alias("n")) for n, _ in want]
+    rows = got[0].unionByName(got[1]).unionByName(got[2])
+    expected = spark.createDataFrame(want, "name string, expected long")
+    return rows.join(F.broadcast(expected), "name").select("name", "n", (F.col("n") == F.col("expected")).alias("passes"))
+
+
+@query
+def a22_mapping_counters(spark: SparkSession, d: str) -> DataFrame:
+    rows = products(spark, d).withColumn("t", S.clean_text(F.col("title")))
+    return rows.agg(F.count_if(F.col("t") == "").alias("skipped"), (F.count("*") - F.countDistinct("t")).alias("duplicate_titles"), F.count_if(F.col("price").isNull()).alias("price_defaulted"))
+
+
+@query
+def a23_id_mode(spark: SparkSession, d: str) -> DataFrame:
+    ids = products(spark, d).select(S.last_segment(F.col("product_id")).alias("raw"), "product_id")
+    mode = lambda c: F.when(F.bool_and(F.col(c).rlike("^-*[0-9]+$")), "int").otherwise("str")
+    return ids.agg(mode("raw").alias("raw_mode"), mode("product_id").alias("product_mode"))
+
+
+def two_sets(spark: SparkSession, d: str) -> DataFrame:
+    return A.relabelled(judged_hit(spark, d), 31, 17, 12)
+
+
+@query
+def a24_confusion(spark: SparkSession, d: str) -> DataFrame:
+    return A.confusion(two_sets(spark, d))
+
+
+@query
+def a25_kappa(spark: SparkSession, d: str) -> DataFrame:
+    return A.kappa(two_sets(spark, d), [])
+
+
+@query
+def a26_gain_delta(spark: SparkSession, d: str) -> DataFrame:
+    delta = A.gain_of(F.col("label_b")) - F.col("gain_code")
+    return two_sets(spark, d).agg(F.round(F.sum(delta) / (F.count("*") * 100), 9).alias("mean_delta"), F.round(F.sum(F.abs(delta)) / (F.count("*") * 100), 9).alias("mean_abs_delta"))
+
+
+@query
+def a27_agreement_by_sector(spark: SparkSession, d: str) -> DataFrame:
+    return A.kappa(two_sets(spark, d), ["sector"])
+
+
+@query
+def a28_metrics_by_label_set(spark: SparkSession, d: str) -> DataFrame:
+    hits = two_sets(spark, d)
+    out = []
+    for name, code in (("a", F.col("gain_code")), ("b", A.gain_of(F.col("label_b")))):
+        rows = M.query_engine(spark, d, hits.withColumn("gain_code", code))
+        out.append(rows.groupBy("engine").agg(M.mean(M.ndcg(10)).alias("ndcg10"), M.mean(M.precision(10)).alias("p10"), M.mean(M.recall(10)).alias("recall10"), M.mean(M.ezr()).alias("ezr")).withColumn("label_set", F.lit(name)))
+    return out[0].unionByName(out[1])
+
+
+def collisions(spark: SparkSession, d: str) -> DataFrame:
+    hits = two_sets(spark, d).withColumn("label", F.when(F.col("engine") == FOCAL, F.col("label_b")).otherwise(F.col("label")))
+    own = hits.groupBy("query_id", "sector", "norm_id", "raw_id").agg(F.min("label").alias("label"))
+    a, b = own.withColumnsRenamed({"raw_id": "raw_a", "label": "label_a"}), own.drop("sector").withColumnsRenamed({"raw_id": "raw_b", "label": "label_b"})
+    return a.join(b, ["query_id", "norm_id"]).filter("raw_a < raw_b")
+
+
+@query
+def j08_collisions(spark: SparkSession, d: str) -> DataFrame:
+    return collisions(spark, d).select("query_id", "norm_id", "raw_a", "raw_b", "label_a", "label_b")
+
+
+@query
+def a36_collision_summary(spark: SparkSession, d: str) -> DataFrame:
+    return collisions(spark, d).groupBy("sector").agg(F.countDistinct("query_id").alias("n_queries"), F.count("*").alias("n_pairs"), F.count_if(F.col("label_a") == F.col("label_b")).alias("n_agree"))
+
+
+@query
+def a37_canonical_gain(spark: SparkSession, d: str) -> DataFrame:
+    hits = two_sets(spark, d).withColumn("g", F.when(F.col("engine") == FOCAL, A.gain_of(F.col("label_b"))).otherwise(F.col("gain_code")))
+    return hits.groupBy("query_id", "norm_id").agg(F.max("g").alias("by_max"), F.min("g").alias("by_min"), F.min_by("g", F.struct("engine", "rank")).alias("by_engine"))
+
+
+@query
+def a38_integrity(spark: SparkSession, d: str) -> DataFrame:
+    hits = judged_hit(spark, d)
+    twice = hits.groupBy("query_id", "engine", "norm_id").count().filter("count > 1").agg(F.count("*").alias("duplicates"))
+    gains = hits.groupBy("query_id", "norm_id").agg(F.countDistinct("gain_code").alias("k")).filter("k > 1").agg(F.count("*").alias("inconsistent"))
+    lost = hits.join(pool(hits).select("query_id", "norm_id"), ["query_id", "norm_id"], "left_anti").agg(F.count("*").alias("not_in_pool"))
+    return twice.crossJoin(gains).crossJoin(lost)
+
+
+@query
+def j05_paired_diffs(spark: SparkSession, d: str) -> DataFrame:
+    scores = M.query_engine(spark, d).select("query_id", "engine", M.ezr().alias("score"))
+    return T.paired(scores, FOCAL).groupBy("engine").agg(F.sum("diff").alias("total"), F.count_if(F.col("diff") < 0).alias("wins"), F.count_if(F.col("diff") > 0).alias("losses"), F.count("*").alias("n"))
+
+
+@query
+def j09_to_judge(spark: SparkSession, d: str) -> DataFrame:
+    """Unique items of each query without those that are judged already."""
+    hits = judged_hit(spark, d)
+    cache = hits.filter(F.col("query_id") % 3 == 0).select("query_id", "raw_id").distinct()
+    return hits.select("query_id", "raw_id").distinct().join(cache, ["query_id", "raw_id"], "left_anti")
+
+
+@query
+def j10_provider_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Engines of an earlier run stay unless the new run has them."""
+    per = judged_hit(spark, d).groupBy("query_id", "engine").agg(F.count("*").alias("n"))
+    old, new = per.filter(F.col("query_id") % 2 == 0), per.filter(F.col("engine") == FOCAL).withColumn("n", F.col("n") + 100)
+    both = old.withColumnRenamed("n", "n_old").join(new.withColumnRenamed("n", "n_new"), ["query_id", "engine"], "full")
+    return both.select("query_id", "engine", F.coalesce("n_new", "n_old").alias("n"))
+
+
+@query
+def w04_first_seen(spark: SparkSession, d: str) -> DataFrame:
+    order = Window.partitionBy("query_id", "norm_id").orderBy("engine", "rank")
+    return judged_hit(spark, d).withColumn("rn", F.row_number().over(order)).filter("rn = 1").select("query_id", "norm_id", "engine", "rank")
+
+
+@query
+def w09_last_wins(spark: SparkSession, d: str) -> DataFrame:
+    order = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice")
+    return table(spark, d, "lineitem").groupBy("l_partkey").agg(F.max(order).alias("m")).select("l_partkey", "m.l_orderkey", "m.l_linenumber", "m.l_extendedprice")
+
+
+@query
+def w12_stratified_sample(spark: SparkSession, d: str) -> DataFrame:
+    h = (F.col("query_id") * 7919 + 42 * 104729) % 15485863
+    order = Window.partitionBy("sector", "tier").orderBy(h, "query_id")
+    return query_table(spark, d).withColumn("rn", F.row_number().over(order)).filter("rn <= 6").select("sector", "tier", "query_id")
+
+
+def slices(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("slice", F.explode(F.array(F.lit("overall"), "sector", "tier"))).drop("sector", "tier")
+
+
+def ezr_tests(spark: SparkSession, d: str, replicates: int = 100) -> tuple[DataFrame, DataFrame]:
+    scores = M.query_engine(spark, d).select("query_id", "engine", "sector", "tier", M.ezr().alias("score"))
+    diffs = slices(T.paired(scores, FOCAL)).select("query_id", "engine", "slice", "diff")
+    return diffs, T.interval(T.bootstrap(diffs, ["engine", "slice"], replicates), ["engine", "slice"])
+
+
+@query
+def st4_ezr_bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    _, tests = ezr_tests(spark, d)
+    return tests.select("engine", "slice", *[F.round(c, 9).alias(c) for c in ("ci_low", "ci_high", "p_raw")], "n_replicates")
+
+
+@query
+def w05_holm(spark: SparkSession, d: str) -> DataFrame:
+    """EZR tests, adjusted over the whole family; within noise unless significant and away from 0."""
+    diffs, tests = ezr_tests(spark, d)
+    out = T.holm(tests, [], ["engine", "slice"])
+    noise = ~F.col("significant") | ((F.col("ci_low") <= 0) & (F.col("ci_high") >= 0))
+    return out.select("engine", "slice", F.round("p_raw", 9).alias("p_raw"), F.round("p_holm", 9).alias("p_holm"), "significant", noise.alias("within_noise"))
+
+
+@query
+def t02_narrow_margins(spark: SparkSession, d: str) -> DataFrame:
+    """The eight tests with the smallest differences among those that are significant."""
+    diffs, tests = ezr_tests(spark, d)
+    mean = diffs.groupBy("engine", "slice").agg((F.sum("diff") / F.count("*")).alias("diff"))
+    return T.holm(tests, [], ["engine", "slice"]).filter("significant").join(mean, ["engine", "slice"]).orderBy(F.abs(F.round("diff", 9)), "engine", "slice").limit(8).select("engine", "slice", F.round("diff", 9).alias("diff"))
+
+
+@query
+def w07_spearman(spark: SparkSession, d: str) -> DataFrame:
+    """Rank correlation of the engines' scores under two label sets, per sector."""
+    hits = two_sets(spark, d)
+    per = hits.groupBy("sector", "engine").agg((F.sum("gain_code") / F.count("*")).alias("x"), (F.sum(A.gain_of(F.col("label_b"))) / F.count("*")).alias("y"))
+    ranked = T.average_ranks(T.average_ranks(per, ["sector"], "x", "rx"), ["sector"], "y", "ry")
+    return ranked.groupBy("sector").agg(F.round(F.corr("rx", "ry"), 9).alias("rho"))
+
+
+@query
+def w08_engine_order(spark: SparkSession, d: str) -> DataFrame:
+    """Engines from best to worst by nDCG@10 of each sector."""
+    per = M.query_engine(spark, d).groupBy("sector", "engine").agg(M.mean(M.ndcg(10)).alias("s"))
+    return per.groupBy("sector").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("k"), "engine"))), lambda e: e["engine"]), " > ").alias("ordering"))
+
+
+@query
+def a31_sector_heat(spark: SparkSession, d: str) -> DataFrame:
+    rows = M.query_engine(spark, d).withColumn("ezr", M.ezr())
+    wide = rows.groupBy("sector").pivot("engine", list(ENGINES)).agg(F.round(F.avg("ezr"), 9))
+    return wide
+
+
+@query
+def a39_bm25_stats(spark: SparkSession, d: str) -> DataFrame:
+    return postings(table(spark, d, "documents").select("doc_id", "text")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+@query
+def t01_bm25_top30(spark: SparkSession, d: str) -> DataFrame:
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return bm25(table(spark, d, "documents").select("doc_id", "text"), q).select("query_id", "doc_id", "rank", "score")
+
+
+@query
+def p01_norm_id(spark: SparkSession, d: str) -> DataFrame:
+    return judged_hit(spark, d).select("raw_id", S.norm_id(F.col("raw_id")).alias("norm_id")).distinct()
+
+
+def price_text(k: Column, p: Column) -> Column:
+    shown = p.cast("decimal(12,2)").cast("string")
+    forms = [F.concat(F.lit("$1,"), shown), F.concat(shown, F.lit(" - 20.00")), F.lit("n/a"), F.lit(""), F.concat(F.lit("-"), shown), F.concat(F.lit("Rs. "), shown), F.lit("1.2.3"), shown]
+    return F.element_at(F.array(*forms), (k % 8 + 1).cast("int"))
+
+
+@query
+def p06_clean_price(spark: SparkSession, d: str) -> DataFrame:
+    raw = price_text(F.col("p_partkey"), F.col("p_retailprice"))
+    return table(spark, d, "part").select("p_partkey", S.clean_price(raw).alias("price"), S.to_float(raw).alias("plain"), S.extract_number(raw).alias("first_number"))
+
+
+@query
+def p13_strip_html(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", S.strip_html(F.col("html")).alias("text"), S.url_tail(F.col("url")).alias("tail"), S.is_http_url(F.col("url")).alias("is_http"))
+
+
+@query
+def p24_category_pick(spark: SparkSession, d: str) -> DataFrame:
+    sep = F.when(F.col("p_partkey") % 2 == 0, " > ").otherwise(">>")
+    full = F.concat("p_brand", sep, "p_type", sep, "p_name")
+    return table(spark, d, "part").select("p_partkey", S.category_pick(full).alias("leaf"), S.category_pick(full, False).alias("top"), S.path(F.array("p_brand", F.lit("nan"), "p_type")).alias("path"))
+
+
+@query
+def p26_attributes(spark: SparkSession, d: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k").try_cast("long")
+    return table(spark, d, "events").select("event_id", k.alias("k"))
+
+
+@query
+def p28_discount(spark: SparkSession, d: str) -> DataFrame:
+    discounted = F.when(F.col("l_discount") > 0, F.col("l_extendedprice") * (1 - F.col("l_discount")))
+    pct = S.discount_percent(F.col("l_extendedprice"), discounted)
+    return table(spark, d, "lineitem").groupBy("l_partkey").agg(F.round(F.avg(pct), 6).alias("mean_percent"), F.count(pct).alias("n"))
+
+
+@query
+def p41_word_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Coverage of each query's words by its best documents."""
+    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("doc_text"))
+    found = t01_bm25_top30(spark, d).filter("rank <= 3").join(docs, "doc_id")
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    cover = F.round(S.word_coverage(S.tokens(F.col("text")), S.tokens(F.col("doc_text"))), 9)
+    return found.join(q, "query_id").select("query_id", "doc_id", cover.alias("coverage"))
+
+
+@query
+def c01_audit_class(spark: SparkSession, d: str) -> DataFrame:
+    """Queries without an exact product: why, from the candidates that retrieval finds."""
+    c = t01_bm25_top30(spark, d)
+    g = (F.col("query_id") * 31 + F.col("doc_id") * 17) % 100
+    code = F.when(g < 3, 100).when(g < 8, 10).when(g < 12, 1).otherwise(0)
+    per = c.withColumn("code", code).withColumn("returned", F.col("doc_id") % 4 == 0).groupBy("query_id").agg(F.count_if((F.col("code") == 100) & ~F.col("returned")).alias("fresh"), F.count_if((F.col("code") == 100) & F.col("returned")).alias("stale"), F.max("code").alias("best"), F.count("*").alias("n"))
+    kind = F.when(F.col("fresh") > 0, "engines-missed").when(F.col("stale") > 0, "inconclusive").when(F.col("best") > 0, "partial").when(F.col("n") >= 10, "catalog-gap").otherwise("inconclusive")
+    return per.select("query_id", kind.alias("audit_class"), "fresh", "stale", "n")
+
+
+@query
+def g05_norm_invariance(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics do not change when ids are normalised beforehand."""
+    hits = judged_hit(spark, d)
+    per = lambda h: h.groupBy("query_id", S.norm_id(F.col("raw_id")).alias("id")).agg(F.max("gain_code").alias("g"))
+    a, b = per(hits), per(hits.withColumn("raw_id", S.norm_id(F.col("raw_id"))))
+    return a.exceptAll(b).unionByName(b.exceptAll(a)).agg(F.count("*").alias("n_differ"))
