@@ -117,7 +117,8 @@ def revealing_terms(spark: SparkSession, texts: DataFrame, mentions: DataFrame)
     total = mentions.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     terms = near.select("term").distinct()
     words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("term"))
-    df = words.join(checked(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    # counted before they meet the candidates: the join then has a row for each term, not for each occurrence
+    df = words.groupBy("term").agg(F.count("*").alias("n_t")).join(checked(terms), "term", "left_semi")
     n = texts.count()
     found = near.join(checked(written(spark, df)), "term").join(checked(written(spark, total)), "entity")
     share = F.least(F.col("n_te") / F.col("n_t"), F.lit(1.0))
