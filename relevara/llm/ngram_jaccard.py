@@ -9,8 +9,8 @@ is then counted fragment by fragment and summed per pair.
 Sizes fall in classes, and a set is cut once for its own class and, if a larger partner may be
 in the next one, once more for that.  Equal sets are one node from the start.  Within a fragment
 group every member is paired with the smallest node only; where such a pair fails, all pairs of
-that group between different components follow, so that no link between components is lost and
-groups of near copies never give all their pairs.
+that group between different components follow that their sizes in RANGES ranges of the order allow,
+so that no link between components is lost and groups of near copies never give all their pairs.
 
 Defined cases: a null text or one without words has no shingles, is linked with nothing and is
 a component by itself; a null doc_id is never a component's id unless it is alone; repeated
@@ -34,6 +34,8 @@ from relevara.llm.textvec import buffers, distinct_sets, mix, pieces, shingle_ha
 _SALT = np.uint64(0xA24BAED4963EE407)
 #: Parts of the global order whose overlaps are counted apart when a pair is verified.
 PARTS = 4
+#: Ranges of the global order whose sizes are compared before a pair is made.
+RANGES = 128
 
 
 def shingle_sets(batch: pa.RecordBatch, text: int, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,7 +94,11 @@ def profile_batches(batches: Iterator[pa.RecordBatch], size: int, seed: int) ->
         for batch in pieces(whole, 2):
             sets, off = shingle_sets(batch, 2, size)
             ids = [set_ids(sets, off, s).view(np.int64) for s in (seed, seed + 1000)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(off)), pa.array(ids[0]), pa.array(ids[1])], names=["doc_id", "text_hash", "n_shingles", "node", "check"])
+            n = np.diff(off)
+            place = np.repeat(np.arange(len(n)), n) * RANGES + ((sets >> np.uint64(32)) * np.uint64(RANGES) >> np.uint64(32)).astype(np.int64)
+            ranges = np.minimum(np.bincount(place, minlength=len(n) * RANGES), 32767).astype(np.int16)
+            ends = (np.arange(len(n) + 1) * RANGES).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(ids[0]), pa.array(ids[1]), pa.ListArray.from_arrays(pa.array(ends), pa.array(ranges))], names=["doc_id", "text_hash", "n_shingles", "node", "check", "ranges"])
 
 
 def fragment_batches(batches: Iterator[pa.RecordBatch], size: int, num: int, den: int, seed: int) -> Iterator[pa.RecordBatch]:
@@ -169,8 +175,8 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = 5, num:
     text_session(spark)
     flat = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
     for seed in range(8):
-        rows = written(spark, flat.mapInArrow(lambda it, s=seed: profile_batches(it, size, s), "doc_id long, text_hash long, n_shingles long, node long, check long"))
-        found = rows.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("class_size"), F.min("check").alias("c0"), F.max("check").alias("c1"))
+        rows = written(spark, flat.mapInArrow(lambda it, s=seed: profile_batches(it, size, s), "doc_id long, text_hash long, n_shingles long, node long, check long, ranges array<short>"))
+        found = rows.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("class_size"), F.min("check").alias("c0"), F.max("check").alias("c1"), F.max("n_shingles").alias("n"), F.first("ranges").alias("ranges"))
         classes = written(spark, found)
         if not classes.filter("c0 <> c1").limit(1).count():
             break
@@ -189,9 +195,12 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = 5, num:
     if n := roots.count():
         of = stars.join(checked(roots, n), "root", "left_semi")
         members = of.select("root", F.explode(F.array("a", "b")).alias("node")).distinct()
-        members = written(spark, members.join(label, "node", "left").select("root", "node", F.coalesce("label", "node").alias("label")))
-        x, y = members.toDF("root", "a", "la"), members.toDF("root", "b", "lb")
-        more = x.join(y, "root").filter("a < b AND la <> lb").select("a", "b").distinct()
+        members = written(spark, members.join(label, "node", "left").join(classes.select("node", "n", "ranges"), "node").select("root", "node", F.coalesce("label", "node").alias("label"), "n", "ranges"))
+        x, y = members.toDF("root", "a", "la", "na", "ra"), members.toDF("root", "b", "lb", "nb", "rb")
+        # sets that link differ in so many shingles at most, and by no less than their ranges' sizes
+        apart = F.aggregate(F.zip_with("ra", "rb", lambda i, j: F.abs(i.cast("int") - j.cast("int"))), F.lit(0), lambda t, d: t + d)
+        near = (F.col("na") + F.col("nb")) * (den - num) >= apart * (den + num)
+        more = x.join(y, "root").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & near).select("a", "b").distinct()
         more = written(spark, more.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
         extra = written(spark, verified(more, parts_of(spark, docs, rows, more, size, seed), num, den).filter("linked"))
         if extra.limit(1).count():
@@ -203,7 +212,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = 5, num:
     ids = written(spark, linked.join(checked(least), "label").select("node", "component_id"))
     named = written(spark, classes.join(checked(ids), "node", "left").select("node", "class_size", F.coalesce("component_id", "rep").alias("component_id"), F.col("component_id").isNotNull().alias("linked")))
     own = F.col("n_shingles") == 0
-    out = rows.join(checked(named.filter("linked OR class_size > 1")), "node", "left")
+    out = rows.drop("ranges").join(checked(named.filter("linked OR class_size > 1")), "node", "left")
     return out.select(
         "doc_id",
         "n_shingles",
