@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relevara.llm.common import checked, drop_rows, forget, ship, text_session, written
@@ -35,7 +35,7 @@ _SALT = np.uint64(0xA24BAED4963EE407)
 #: Parts of the global order whose overlaps are counted apart when a pair is verified.
 PARTS = 4
 #: Ranges of the global order whose sizes are compared before a pair is made.
-RANGES = 128
+RANGES = 64
 
 
 def shingle_sets(batch: pa.RecordBatch, text: int, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -166,6 +166,15 @@ def verified(pairs: DataFrame, parts: DataFrame, num: int, den: int) -> DataFram
     return total.select("a", "b", (den * F.col("k") >= num * (F.col("n_a") + F.col("n_b") - F.col("k"))).alias("linked"))
 
 
+def may_link(num: int, den: int) -> Column:
+    """Whether sets of na and nb shingles with ranges' sizes ra and rb may link.
+
+    Sets that link differ in so many shingles at most, and by no less than their ranges' sizes.
+    """
+    apart = F.aggregate(F.zip_with("ra", "rb", lambda i, j: F.abs(i.cast("int") - j.cast("int"))), F.lit(0), lambda t, d: t + d)
+    return (F.col("na") + F.col("nb")) * (den - num) >= apart * (den + num)
+
+
 def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, text_hash, class_size, linked.
 
@@ -187,29 +196,29 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = 5, num:
     sigs = text.mapInArrow(lambda it: fragment_batches(it, size, num, den, seed), "sig long, node long")
     stars = written(spark, sigs.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(star_batches, "root long, a long, b long"))
     pairs = written(spark, stars.select("a", "b").distinct())
-    tested = written(spark, verified(pairs, parts_of(spark, docs, rows, pairs, size, seed), num, den))
-    label = components(spark, tested.filter("linked").select("a", "b"))
+    sketch = classes.select("node", "n", "ranges")
+    sized = pairs.join(sketch.toDF("a", "na", "ra"), "a").join(sketch.toDF("b", "nb", "rb"), "b")
+    close = written(spark, sized.filter(may_link(num, den)).select("a", "b"))
+    linked = written(spark, verified(close, parts_of(spark, docs, rows, close, size, seed), num, den).filter("linked").select("a", "b"))
+    label = components(spark, linked)
     # groups with a failed pair: all pairs between their components
-    failed = tested.filter("NOT linked").select("a", "b")
+    failed = pairs.join(checked(linked), ["a", "b"], "left_anti")
     roots = written(spark, stars.join(checked(failed), ["a", "b"], "left_semi").select("root").distinct())
     if n := roots.count():
         of = stars.join(checked(roots, n), "root", "left_semi")
         members = of.select("root", F.explode(F.array("a", "b")).alias("node")).distinct()
         members = written(spark, members.join(label, "node", "left").join(classes.select("node", "n", "ranges"), "node").select("root", "node", F.coalesce("label", "node").alias("label"), "n", "ranges"))
         x, y = members.toDF("root", "a", "la", "na", "ra"), members.toDF("root", "b", "lb", "nb", "rb")
-        # sets that link differ in so many shingles at most, and by no less than their ranges' sizes
-        apart = F.aggregate(F.zip_with("ra", "rb", lambda i, j: F.abs(i.cast("int") - j.cast("int"))), F.lit(0), lambda t, d: t + d)
-        near = (F.col("na") + F.col("nb")) * (den - num) >= apart * (den + num)
-        more = x.join(y, "root").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & near).select("a", "b").distinct()
-        more = written(spark, more.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+        more = x.join(y, "root").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & may_link(num, den)).select("a", "b").distinct()
+        more = written(spark, more.join(pairs, ["a", "b"], "left_anti"))
         extra = written(spark, verified(more, parts_of(spark, docs, rows, more, size, seed), num, den).filter("linked"))
         if extra.limit(1).count():
-            label = components(spark, tested.filter("linked").select("a", "b").unionByName(extra.select("a", "b")))
+            label = components(spark, linked.unionByName(extra.select("a", "b")))
         forget(spark, members, more)
     forget(spark, stars, pairs, roots)
-    linked = written(spark, classes.join(label, "node").select("node", "label", "rep"))
-    least = linked.groupBy("label").agg(F.min("rep").alias("component_id"))
-    ids = written(spark, linked.join(checked(least), "label").select("node", "component_id"))
+    labelled = written(spark, classes.join(label, "node").select("node", "label", "rep"))
+    least = labelled.groupBy("label").agg(F.min("rep").alias("component_id"))
+    ids = written(spark, labelled.join(checked(least), "label").select("node", "component_id"))
     named = written(spark, classes.join(checked(ids), "node", "left").select("node", "class_size", F.coalesce("component_id", "rep").alias("component_id"), F.col("component_id").isNotNull().alias("linked")))
     own = F.col("n_shingles") == 0
     out = rows.drop("ranges").join(checked(named.filter("linked OR class_size > 1")), "node", "left")
