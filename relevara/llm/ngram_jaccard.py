@@ -8,8 +8,8 @@ is then counted fragment by fragment and summed per pair.
 
 Sizes fall in classes, and a set is cut once for its own class and, if a larger partner may be
 in the next one, once more for that.  Equal sets are one node from the start.  Within a fragment
-group every member is paired with the smallest node only; where such a pair fails, all pairs of
-that group between different components follow that their sizes in RANGES ranges of the order allow,
+group every member is paired with the smallest node only; where a group then holds several
+components, all its pairs between different components follow that their sizes in RANGES ranges of the order allow,
 so that no link between components is lost and groups of near copies never give all their pairs.
 
 Defined cases: a null text or one without words has no shingles, is linked with nothing and is
@@ -195,26 +195,38 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = 5, num:
     text = docs.select("text")
     sigs = text.mapInArrow(lambda it: fragment_batches(it, size, num, den, seed), "sig long, node long")
     stars = written(spark, sigs.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(star_batches, "root long, a long, b long"))
-    pairs = written(spark, stars.select("a", "b").distinct())
+    pairs = written(spark, stars.groupBy("a", "b").agg(F.count("*").alias("k")))
     sketch = classes.select("node", "n", "ranges")
     sized = pairs.join(sketch.toDF("a", "na", "ra"), "a").join(sketch.toDF("b", "nb", "rb"), "b")
-    close = written(spark, sized.filter(may_link(num, den)).select("a", "b"))
-    linked = written(spark, verified(close, parts_of(spark, docs, rows, close, size, seed), num, den).filter("linked").select("a", "b"))
+    close = written(spark, sized.filter(may_link(num, den)).select("a", "b", "k"))
+
+    def links(some: DataFrame) -> DataFrame:
+        return written(spark, verified(some, parts_of(spark, docs, rows, some, size, seed), num, den).filter("linked").select("a", "b"))
+
+    # first each set with the one it shares most fragments with; then only pairs between components
+    first = written(spark, close.groupBy("b").agg(F.max_by("a", F.struct("k", "a")).alias("a")).select("a", "b"))
+    linked = links(first)
+    label = components(spark, linked)
+    la, lb = label.toDF("a", "la"), label.toDF("b", "lb")
+    labelled = close.join(checked(la), "a", "left").join(checked(lb), "b", "left").filter(F.coalesce("la", "a") != F.coalesce("lb", "b"))
+    rest = written(spark, labelled.select("a", "b").join(first, ["a", "b"], "left_anti"))
+    linked = linked.unionByName(links(rest))
     label = components(spark, linked)
-    # groups with a failed pair: all pairs between their components
-    failed = pairs.join(checked(linked), ["a", "b"], "left_anti")
-    roots = written(spark, stars.join(checked(failed), ["a", "b"], "left_semi").select("root").distinct())
+    # groups that hold several components: all pairs between these
+    own = stars.select("root", F.explode(F.array("a", "b")).alias("node")).distinct().join(checked(label), "node", "left")
+    own = written(spark, own.select("root", "node", F.coalesce("label", "node").alias("label")))
+    roots = written(spark, own.groupBy("root").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("root"))
     if n := roots.count():
-        of = stars.join(checked(roots, n), "root", "left_semi")
-        members = of.select("root", F.explode(F.array("a", "b")).alias("node")).distinct()
-        members = written(spark, members.join(label, "node", "left").join(classes.select("node", "n", "ranges"), "node").select("root", "node", F.coalesce("label", "node").alias("label"), "n", "ranges"))
+        members = own.join(checked(roots, n), "root", "left_semi")
+        members = written(spark, members.join(sketch, "node").select("root", "node", "label", "n", "ranges"))
         x, y = members.toDF("root", "a", "la", "na", "ra"), members.toDF("root", "b", "lb", "nb", "rb")
         more = x.join(y, "root").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & may_link(num, den)).select("a", "b").distinct()
         more = written(spark, more.join(pairs, ["a", "b"], "left_anti"))
-        extra = written(spark, verified(more, parts_of(spark, docs, rows, more, size, seed), num, den).filter("linked"))
+        extra = links(more)
         if extra.limit(1).count():
-            label = components(spark, linked.unionByName(extra.select("a", "b")))
+            label = components(spark, linked.unionByName(extra))
         forget(spark, members, more)
+    forget(spark, first, rest, own)
     forget(spark, stars, pairs, roots)
     labelled = written(spark, classes.join(label, "node").select("node", "label", "rep"))
     least = labelled.groupBy("label").agg(F.min("rep").alias("component_id"))
