@@ -320,7 +320,8 @@ def test_pii_base_spans(spark, docs, empty):
     rnd = random.Random(4)
     odd = [("".join(rnd.choice(["1", "22", "4111 1111 1111 1111", " ", "-", ".", "@", "a", "+", "(", "é", "b-c", "%", "", "10.1.1.1", "+49 301234567"]) for _ in range(30)),) for _ in range(400)]
     real = spark.read.parquet(f"{DATA}/documents.parquet").select("text")
-    both = docs.select("text").union(spark.createDataFrame(odd, "text string")).union(real).withColumn("doc_id", F.monotonically_increasing_id()).localCheckpoint()
+    both = docs.select("text").union(spark.createDataFrame(odd, "text string")).union(real)
+    both = spark.createDataFrame([(i, r.text) for i, r in enumerate(both.collect())], "doc_id long, text string")
     out = {r.doc_id: r.b for r in find_spans(spark, both).select("doc_id", span_text(F.col("base")).alias("b")).collect()}
     for r in both.collect():
         assert out[r.doc_id] == brute_spans(r.text), r.text[:200]
