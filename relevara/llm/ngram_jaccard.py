@@ -36,6 +36,10 @@ _SALT = np.uint64(0xA24BAED4963EE407)
 PARTS = 4
 #: Ranges of the global order whose sizes are compared before a pair is made.
 RANGES = 64
+#: Partners that one copy of a set is compared with; a set with more partners is sent in several copies.
+PARTNERS = 256
+#: Roots that one row of a text is sent to; a text with more has several rows.
+USES = 4096
 
 
 def shingle_sets(batch: pa.RecordBatch, text: int, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -145,7 +149,7 @@ def star_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def part_batches(batches: Iterator[pa.RecordBatch], size: int, seed: int) -> Iterator[pa.RecordBatch]:
-    """(node, part, n, hashes): each set cut into PARTS ranges of the global order."""
+    """(uses, node, part, n, hashes): each set cut into PARTS ranges of the global order."""
     for whole in batches:
         for batch in pieces(whole, 0):
             sets, off = shingle_sets(batch, 0, size)
@@ -153,17 +157,68 @@ def part_batches(batches: Iterator[pa.RecordBatch], size: int, seed: int) -> Ite
             doc = np.repeat(np.arange(len(n)), n)
             place = doc * PARTS + ((sets >> np.uint64(32)) * np.uint64(PARTS) >> np.uint64(32)).astype(np.int64)
             ends = np.searchsorted(place, np.arange(len(n) * PARTS + 1)).astype(np.int32)
-            cols = [pa.array(np.repeat(ids, PARTS)), pa.array(np.tile(np.arange(PARTS), len(n))), pa.array(np.repeat(n, PARTS)), pa.ListArray.from_arrays(pa.array(ends), pa.array(sets.view(np.int64)))]
-            yield pa.RecordBatch.from_arrays(cols, names=["node", "part", "n", "hashes"])
+            uses = batch.column(1).take(pa.array(np.repeat(np.arange(len(n)), PARTS)))
+            cols = [uses, pa.array(np.repeat(ids, PARTS)), pa.array(np.tile(np.arange(PARTS, dtype=np.int32), len(n))), pa.array(np.repeat(n, PARTS)), pa.ListArray.from_arrays(pa.array(ends), pa.array(sets.view(np.int64)))]
+            yield pa.RecordBatch.from_arrays(cols, names=["uses", "node", "part", "n", "hashes"])
 
 
-def verified(pairs: DataFrame, parts: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b, linked): partial overlaps of each part of the order, summed per pair."""
-    a, b = (parts.select(F.col("node").alias(x), "part", F.col("n").alias(f"n_{x}"), F.col("hashes").alias(f"h_{x}")) for x in "ab")
-    each = pairs.join(b, "b").join(a, ["a", "part"])
-    partial = each.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("h_a", "h_b")).cast("long").alias("k"))
-    total = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("k").alias("k"))
-    return total.select("a", "b", (den * F.col("k") >= num * (F.col("n_a") + F.col("n_b") - F.col("k"))).alias("linked"))
+def overlap_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (root, slot, part), the root's own first: what each node shares with the root there."""
+    head, n_head, last = np.zeros(0, np.uint64), 0, None
+    for batch in batches:
+        root, slot, node, part, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+        lists = batch.column(5)
+        off, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
+        found = []
+        for i in range(batch.num_rows):
+            at, own = (root[i], slot[i], part[i], node[i]), values[off[i] : off[i + 1]]
+            if at == last:
+                continue  # a repeated row
+            last = at
+            if node[i] == root[i]:
+                head, n_head = own.copy(), n[i]
+            elif len(own) and len(head):
+                k = int((head[np.minimum(np.searchsorted(head, own), len(head) - 1)] == own).sum())
+                if k:
+                    found.append((root[i], node[i], n_head, n[i], k))
+        if found:
+            cols = np.array(found, np.int64).T
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["a", "b", "n_a", "n_b", "k"])
+
+
+def uses_of(spark: SparkSession, rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, uses): for each set in ``pairs`` one document, and the roots it is sent to.
+
+    A root with many partners is a root in several slots, which share the partners; a set with
+    many roots has several rows.
+    """
+    fan = written(spark, pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("slots")))
+    others = pairs.join(checked(fan), "a").select(F.col("b").alias("node"), F.col("a").alias("root"), F.pmod(F.xxhash64("b"), F.col("slots")).cast("int").alias("slot"))
+    heads = fan.select(F.col("a").alias("node"), F.col("a").alias("root"), F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"))
+    each = written(spark, others.unionByName(heads))
+    often = each.groupBy("node").agg(F.ceil(F.count("*") / USES).cast("int").alias("runs"))
+    one = rows.join(checked(often), "node").groupBy("node", "runs").agg(F.max_by(F.struct("doc_id", "text_hash"), F.coalesce("doc_id", F.lit(-1))).alias("of"))
+    one = written(spark, one)
+    dealt = each.join(checked(one), "node").withColumn("run", F.pmod(F.xxhash64("root", "slot"), F.col("runs")))
+    return written(spark, dealt.groupBy("node", "run", "of").agg(F.collect_list(F.struct("root", "slot")).alias("uses")).select("of.*", "uses"))
+
+
+def verified(spark: SparkSession, docs: DataFrame, rows: DataFrame, pairs: DataFrame, size: int, seed: int, num: int, den: int) -> DataFrame:
+    """(a, b, linked): partial overlaps of each part of the order, summed per pair.
+
+    The sets are made again from the texts and travel once, to the roots of their pairs.
+    """
+    uses = uses_of(spark, rows, pairs)
+    total = uses.agg(F.sum(F.size("uses"))).first()[0] or 0
+    ids = checked(uses, total)
+    named = docs.select("doc_id", "text")
+    texts = named.join(ids, named["doc_id"].eqNullSafe(ids["doc_id"]) & (F.xxhash64(F.coalesce(named["text"], F.lit(""))) == ids["text_hash"])).select("text", "uses")
+    parts = texts.mapInArrow(lambda it: part_batches(it, size, seed), "uses array<struct<root: bigint, slot: int>>, node long, part int, n long, hashes array<long>")
+    sent = parts.select(F.inline("uses"), "node", "part", "n", "hashes").repartition("root", "slot", "part")
+    ordered = sent.sortWithinPartitions("root", "slot", "part", F.col("node") != F.col("root"), "node")
+    partial = ordered.mapInArrow(overlap_batches, "a long, b long, n_a long, n_b long, k long")
+    shared = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("k").alias("k"))
+    return shared.select("a", "b", (den * F.col("k") >= num * (F.col("n_a") + F.col("n_b") - F.col("k"))).alias("linked"))
 
 
 def may_link(num: int, den: int) -> Column:
@@ -201,7 +256,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = 5, num:
     close = written(spark, sized.filter(may_link(num, den)).select("a", "b", "k"))
 
     def links(some: DataFrame) -> DataFrame:
-        return written(spark, verified(some, parts_of(spark, docs, rows, some, size, seed), num, den).filter("linked").select("a", "b"))
+        return written(spark, verified(spark, docs, rows, some, size, seed, num, den).filter("linked").select("a", "b"))
 
     # first each set with the one it shares most fragments with; then only pairs between components
     first = written(spark, close.groupBy("b").agg(F.max_by("a", F.struct("k", "a")).alias("a")).select("a", "b"))
@@ -254,15 +309,4 @@ def one_of_each(spark: SparkSession, docs: DataFrame, found: DataFrame) -> DataF
     return drop_rows(spark, docs, fate.filter("n_kept < n"))
 
 
-def parts_of(spark: SparkSession, docs: DataFrame, rows: DataFrame, pairs: DataFrame, size: int, seed: int) -> DataFrame:
-    """The sets, in parts, of the nodes that occur in ``pairs``: read again from the texts."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    one = written(spark, rows.join(checked(nodes), "node", "left_semi").groupBy("node").agg(F.max_by(F.struct("doc_id", "text_hash"), F.coalesce("doc_id", F.lit(-1))).alias("of")).select("of.*"))
-    ids = checked(one)
-    named = docs.select("doc_id", "text")
-    texts = named.join(ids, named["doc_id"].eqNullSafe(ids["doc_id"]) & (F.xxhash64(F.coalesce(named["text"], F.lit(""))) == ids["text_hash"]), "left_semi").select("text")
-    parts = texts.mapInArrow(lambda it: part_batches(it, size, seed), "node long, part long, n long, hashes array<long>")
-    return written(spark, parts.dropDuplicates(["node", "part"]))
-
-
 ship(__name__)
