@@ -9,8 +9,11 @@ is then counted fragment by fragment and summed per pair.
 Sizes fall in classes, and a set is cut once for its own class and, if a larger partner may be
 in the next one, once more for that.  Equal sets are one node from the start.  Within a fragment
 group every member is paired with the smallest node only; where a group then holds several
-components, all its pairs between different components follow that their sizes in RANGES ranges of the order allow,
-so that no link between components is lost and groups of near copies never give all their pairs.
+components, all its pairs between different components follow whose parities allow a link, so that
+no link between components is lost and groups of near copies never give all their pairs.
+
+The parities of a set tell for each of many buckets whether it holds an odd number of shingles.
+Two sets differ in at least as many shingles as in parities (an odd sketch, used as a bound).
 
 Defined cases: a null text or one without words has no shingles, is linked with nothing and is
 a component by itself; a null doc_id is never a component's id unless it is alone; repeated
@@ -34,8 +37,8 @@ from relevara.llm.textvec import buffers, distinct_sets, mix, pieces, shingle_ha
 _SALT = np.uint64(0xA24BAED4963EE407)
 #: Parts of the global order whose overlaps are counted apart when a pair is verified.
 PARTS = 4
-#: Ranges of the global order whose sizes are compared before a pair is made.
-RANGES = 64
+#: Parities that may be broadcast, in bytes; beyond it they travel with the rows.
+PARITY_BYTES = 32 << 20
 #: Partners that one copy of a set is compared with; a set with more partners is sent in several copies.
 PARTNERS = 256
 #: Roots that one row of a text is sent to; a text with more has several rows.
@@ -93,16 +96,25 @@ def fragments(sets: np.ndarray, off: np.ndarray, num: int, den: int) -> tuple[np
     return (np.concatenate(ids), np.concatenate(keys)) if keys else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
 
+def parities(sets: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words, offsets): per set at least one bucket for each shingle, a power of two of 64-bit words."""
+    n = np.diff(off)
+    words = 1 << np.ceil(np.log2(np.maximum(n, 64) / 64)).astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(words)])
+    doc = np.repeat(np.arange(len(n)), n)
+    place = ends[doc] * 64 + (sets & (words[doc] * 64 - 1).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(place, minlength=int(ends[-1]) * 64) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64), ends
+
+
 def profile_batches(batches: Iterator[pa.RecordBatch], size: int, seed: int) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in pieces(whole, 2):
             sets, off = shingle_sets(batch, 2, size)
             ids = [set_ids(sets, off, s).view(np.int64) for s in (seed, seed + 1000)]
             n = np.diff(off)
-            place = np.repeat(np.arange(len(n)), n) * RANGES + ((sets >> np.uint64(32)) * np.uint64(RANGES) >> np.uint64(32)).astype(np.int64)
-            ranges = np.minimum(np.bincount(place, minlength=len(n) * RANGES), 32767).astype(np.int16)
-            ends = (np.arange(len(n) + 1) * RANGES).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(ids[0]), pa.array(ids[1]), pa.ListArray.from_arrays(pa.array(ends), pa.array(ranges))], names=["doc_id", "text_hash", "n_shingles", "node", "check", "ranges"])
+            bits, ends = parities(sets, off)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(ids[0]), pa.array(ids[1]), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(bits))], names=["doc_id", "text_hash", "n_shingles", "node", "check", "bits"])
 
 
 def fragment_batches(batches: Iterator[pa.RecordBatch], size: int, num: int, den: int, seed: int) -> Iterator[pa.RecordBatch]:
@@ -221,13 +233,28 @@ def verified(spark: SparkSession, docs: DataFrame, rows: DataFrame, pairs: DataF
     return shared.select("a", "b", (den * F.col("k") >= num * (F.col("n_a") + F.col("n_b") - F.col("k"))).alias("linked"))
 
 
+def sizes_allow(num: int, den: int) -> Column:
+    """Whether sets of na and nb shingles may link by their sizes."""
+    return den * F.least("na", "nb") >= num * F.greatest("na", "nb")
+
+
 def may_link(num: int, den: int) -> Column:
-    """Whether sets of na and nb shingles with ranges' sizes ra and rb may link.
+    """Whether sets of na and nb shingles with parities ra and rb may link.
 
-    Sets that link differ in so many shingles at most, and by no less than their ranges' sizes.
+    Sets that link differ in so many shingles at most, and in no fewer than in parities.  Of two
+    numbers of buckets the smaller one counts: a half folds onto the other by exclusive or.
     """
-    apart = F.aggregate(F.zip_with("ra", "rb", lambda i, j: F.abs(i.cast("int") - j.cast("int"))), F.lit(0), lambda t, d: t + d)
-    return (F.col("na") + F.col("nb")) * (den - num) >= apart * (den + num)
+    least = F.least(F.size("ra"), F.size("rb"))
+    xor = lambda i, j: i.bitwiseXOR(j)
+    folded = [F.when(F.size(x) > least, F.zip_with(F.slice(x, F.lit(1), least), F.slice(x, least + 1, least), xor)).otherwise(F.col(x)) for x in ("ra", "rb")]
+    apart = F.aggregate(F.zip_with(*folded, xor), F.lit(0), lambda t, d: t + F.bit_count(d).cast("int"))
+    near = (F.col("na") + F.col("nb")) * (den - num) >= apart * (den + num)
+    return F.when(~sizes_allow(num, den), F.lit(False)).when(F.greatest(F.size("ra"), F.size("rb")) > 2 * least, F.lit(True)).otherwise(near)
+
+
+def fits(sketch: DataFrame) -> bool:
+    """Whether the parities of ``sketch`` are few enough for a broadcast."""
+    return (sketch.agg(F.sum(8 * F.size("bits") + 32)).first()[0] or 0) <= PARITY_BYTES
 
 
 def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -239,8 +266,8 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = 5, num:
     text_session(spark)
     flat = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
     for seed in range(8):
-        rows = written(spark, flat.mapInArrow(lambda it, s=seed: profile_batches(it, size, s), "doc_id long, text_hash long, n_shingles long, node long, check long, ranges array<short>"))
-        found = rows.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("class_size"), F.min("check").alias("c0"), F.max("check").alias("c1"), F.max("n_shingles").alias("n"), F.first("ranges").alias("ranges"))
+        rows = written(spark, flat.mapInArrow(lambda it, s=seed: profile_batches(it, size, s), "doc_id long, text_hash long, n_shingles long, node long, check long, bits array<long>"))
+        found = rows.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("class_size"), F.min("check").alias("c0"), F.max("check").alias("c1"), F.max("n_shingles").alias("n"), F.first("bits").alias("bits"))
         classes = written(spark, found)
         if not classes.filter("c0 <> c1").limit(1).count():
             break
@@ -251,7 +278,9 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = 5, num:
     sigs = text.mapInArrow(lambda it: fragment_batches(it, size, num, den, seed), "sig long, node long")
     stars = written(spark, sigs.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(star_batches, "root long, a long, b long"))
     pairs = written(spark, stars.groupBy("a", "b").agg(F.count("*").alias("k")))
-    sketch = classes.select("node", "n", "ranges")
+    sketch = classes.select("node", "n", "bits")
+    if fits(sketch):
+        sketch = F.broadcast(sketch)
     sized = pairs.join(sketch.toDF("a", "na", "ra"), "a").join(sketch.toDF("b", "nb", "rb"), "b")
     close = written(spark, sized.filter(may_link(num, den)).select("a", "b", "k"))
 
@@ -273,9 +302,17 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = 5, num:
     roots = written(spark, own.groupBy("root").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("root"))
     if n := roots.count():
         members = own.join(checked(roots, n), "root", "left_semi")
-        members = written(spark, members.join(sketch, "node").select("root", "node", "label", "n", "ranges"))
-        x, y = members.toDF("root", "a", "la", "na", "ra"), members.toDF("root", "b", "lb", "nb", "rb")
-        more = x.join(y, "root").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & may_link(num, den)).select("a", "b").distinct()
+        members = written(spark, members.join(sketch.drop("bits"), "node").select("root", "node", "label", "n"))
+        bits = written(spark, classes.select("node", "bits").join(checked(members.select("node").distinct()), "node", "left_semi"))
+        if late := fits(bits):  # few parities: they wait where the pairs are made
+            x, y = members.toDF("root", "a", "la", "na"), members.toDF("root", "b", "lb", "nb")
+        else:
+            wide = written(spark, members.join(bits, "node").select("root", "node", "label", "n", "bits"))
+            x, y = wide.toDF("root", "a", "la", "na", "ra"), wide.toDF("root", "b", "lb", "nb", "rb")
+        more = x.join(y, "root").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & sizes_allow(num, den))
+        if late:
+            more = more.join(F.broadcast(bits.toDF("a", "ra")), "a").join(F.broadcast(bits.toDF("b", "rb")), "b")
+        more = more.filter(may_link(num, den)).select("a", "b").distinct()
         more = written(spark, more.join(pairs, ["a", "b"], "left_anti"))
         extra = links(more)
         if extra.limit(1).count():
@@ -288,7 +325,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = 5, num:
     ids = written(spark, labelled.join(checked(least), "label").select("node", "component_id"))
     named = written(spark, classes.join(checked(ids), "node", "left").select("node", "class_size", F.coalesce("component_id", "rep").alias("component_id"), F.col("component_id").isNotNull().alias("linked")))
     own = F.col("n_shingles") == 0
-    out = rows.drop("ranges").join(checked(named.filter("linked OR class_size > 1")), "node", "left")
+    out = rows.drop("bits").join(checked(named.filter("linked OR class_size > 1")), "node", "left")
     return out.select(
         "doc_id",
         "n_shingles",
