@@ -2,8 +2,9 @@
 
 The shingles of all texts have one global order, that of their 64-bit hashes, and every set is
 cut into fragments at fixed places of that order.  Two sets that reach the threshold differ in
-at most D shingles, where D follows from their sizes; with more than D fragments at least one
-is equal in both, so equal fragments name all candidates.  For each candidate pair the overlap
+at most D shingles, where D follows from their sizes; with D + s + 2 fragments more than s are equal
+in both, so equal fragments name all candidates, even if each set leaves out its s fragments
+of the largest groups (passages of many texts): that order is the same for all sets.  For each candidate pair the overlap
 is then counted fragment by fragment and summed per pair.
 
 Sizes fall in classes, and a set is cut once for its own class and, if a larger partner may be
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from relevara.llm.common import checked, drop_rows, forget, ship, text_session, written
@@ -64,34 +65,63 @@ def class_starts(num: int, den: int, most: int) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def fragments(sets: np.ndarray, off: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the set, signature) of all fragments that may show a link."""
+def cuts(sets: np.ndarray, off: np.ndarray, num: int, den: int, up: int) -> tuple[np.ndarray, ...]:
+    """How sets are cut for their own class (up 0) or the next one (up 1).
+
+    Returns per set its class, the fragments and the spare ones (0 for a set not cut for this
+    class), then which shingles are cut, their sets and their fragments.
+    """
     n = np.diff(off)
     starts = class_starts(num, den, int(n.max(initial=0)) * 2 + 2)
     own = np.searchsorted(starts, n, "right") - 1
+    c = own + up
+    # in class c sets have up to starts[c + 1] - 1 shingles; two of them with the threshold differ in D at most
+    differ = (den - num) * 2 * (starts[c + 1] - 1) // (den + num)
+    use = (n > 0) & (differ > 0) & ((n * den // num >= starts[own + 1]) if up else True)
+    spare = np.where(use, differ // 3 + 1, 0)
+    count = np.where(use, differ + spare + 2, 0)
+    rows = np.repeat(use, n)
+    doc = np.repeat(np.arange(len(n)), n)[rows]
+    frag = ((sets[rows] >> np.uint64(32)) * count[doc].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+    return c, count, spare, rows, doc, frag
+
+
+def breaks(doc: np.ndarray, frag: np.ndarray) -> np.ndarray:
+    """Where a new fragment starts."""
+    return np.flatnonzero(np.concatenate([[True], (frag[1:] != frag[:-1]) | (doc[1:] != doc[:-1])])) if len(doc) else np.zeros(0, np.int64)
+
+
+def spares(sets: np.ndarray, off: np.ndarray, num: int, den: int) -> list[np.ndarray]:
+    """Parity of each set's own class, and its fragments that may be left out in that and in the next class.
+
+    Empty fragments, which are not sent, count as left out.
+    """
+    out = []
+    for up in (0, 1):
+        c, count, spare, _, doc, frag = cuts(sets, off, num, den, up)
+        filled = np.bincount(doc[breaks(doc, frag)], minlength=len(c))
+        out += [(c & 1).astype(np.int32)] * (1 - up) + [np.maximum(spare - (count - filled), 0).astype(np.int32)]
+    return out
+
+
+def fragments(sets: np.ndarray, off: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the set, signature) of all fragments that may show a link; bit 16 is the parity of the class."""
     keys, ids = [], []
     for up in (0, 1):
-        c = own + up
-        # in class c sets have up to starts[c + 1] - 1 shingles; two of them with the threshold differ in D at most
-        differ = (den - num) * 2 * (starts[c + 1] - 1) // (den + num)
-        use = (n > 0) & (differ > 0) & ((n * den // num >= starts[own + 1]) if up else True)
-        count = np.where(use, differ + 2 + differ // 16, 0)
-        rows = np.repeat(use, n)
+        c, count, spare, rows, doc, frag = cuts(sets, off, num, den, up)
         if not rows.any():
             continue
-        s, doc = sets[rows], np.repeat(np.arange(len(n)), n)[rows]
-        frag = ((s >> np.uint64(32)) * count[doc].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
-        new = np.concatenate([[True], (frag[1:] != frag[:-1]) | (doc[1:] != doc[:-1])])
-        at = np.flatnonzero(new)
-        whole = np.add.reduceat(mix(s + _SALT), at)
+        at = breaks(doc, frag)
+        whole = np.add.reduceat(mix(sets[rows] + _SALT), at)
         d, f = doc[at], frag[at]
         # of the equal fragments all may be empty only in sets with so many empty ones: those name them too
-        filled = np.bincount(d, minlength=len(n))
-        for e in np.flatnonzero(use & (count - filled >= count - differ)):
+        filled = np.bincount(d, minlength=len(c))
+        for e in np.flatnonzero((count > 0) & (count - filled > spare)):
             miss = np.setdiff1d(np.arange(count[e]), f[d == e])
             d, f, whole = np.append(d, np.full(len(miss), e)), np.append(f, miss), np.append(whole, np.zeros(len(miss), np.uint64))
         tag = (c[d].astype(np.uint64) << np.uint64(40)) + f.astype(np.uint64)
-        keys.append(mix(whole ^ mix(tag + _SALT)))
+        odd = (c[d] & 1).astype(np.uint64) << np.uint64(16)
+        keys.append(mix(whole ^ mix(tag + _SALT)) & ~np.uint64(1 << 16) | odd)
         ids.append(d)
     return (np.concatenate(ids), np.concatenate(keys)) if keys else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
@@ -107,14 +137,14 @@ def parities(sets: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.packbits(odd, bitorder="little").view(np.int64), ends
 
 
-def profile_batches(batches: Iterator[pa.RecordBatch], size: int, seed: int) -> Iterator[pa.RecordBatch]:
+def profile_batches(batches: Iterator[pa.RecordBatch], size: int, num: int, den: int, seed: int) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in pieces(whole, 2):
             sets, off = shingle_sets(batch, 2, size)
             ids = [set_ids(sets, off, s).view(np.int64) for s in (seed, seed + 1000)]
             n = np.diff(off)
             bits, ends = parities(sets, off)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(ids[0]), pa.array(ids[1]), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(bits))], names=["doc_id", "text_hash", "n_shingles", "node", "check", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(ids[0]), pa.array(ids[1]), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(bits)), *map(pa.array, spares(sets, off, num, den))], names=["doc_id", "text_hash", "n_shingles", "node", "check", "bits", "odd", "spare", "spare_up"])
 
 
 def fragment_batches(batches: Iterator[pa.RecordBatch], size: int, num: int, den: int, seed: int) -> Iterator[pa.RecordBatch]:
@@ -266,8 +296,8 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = 5, num:
     text_session(spark)
     flat = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
     for seed in range(8):
-        rows = written(spark, flat.mapInArrow(lambda it, s=seed: profile_batches(it, size, s), "doc_id long, text_hash long, n_shingles long, node long, check long, bits array<long>"))
-        found = rows.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("class_size"), F.min("check").alias("c0"), F.max("check").alias("c1"), F.max("n_shingles").alias("n"), F.first("bits").alias("bits"))
+        rows = written(spark, flat.mapInArrow(lambda it, s=seed: profile_batches(it, size, num, den, s), "doc_id long, text_hash long, n_shingles long, node long, check long, bits array<long>, odd int, spare int, spare_up int"))
+        found = rows.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("class_size"), F.min("check").alias("c0"), F.max("check").alias("c1"), F.max("n_shingles").alias("n"), *[F.first(x).alias(x) for x in ("bits", "odd", "spare", "spare_up")])
         classes = written(spark, found)
         if not classes.filter("c0 <> c1").limit(1).count():
             break
@@ -299,10 +329,14 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = 5, num:
     # groups that hold several components: all pairs between these
     own = stars.select("root", F.explode(F.array("a", "b")).alias("node")).distinct().join(checked(label), "node", "left")
     own = written(spark, own.select("root", "node", F.coalesce("label", "node").alias("label")))
-    roots = written(spark, own.groupBy("root").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("root"))
+    roots = written(spark, own.groupBy("root").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("heat")).filter("lo <> hi").select("root", "heat"))
     if n := roots.count():
-        members = own.join(checked(roots, n), "root", "left_semi")
-        members = written(spark, members.join(sketch.drop("bits"), "node").select("root", "node", "label", "n"))
+        # a link shows in more fragments than a set has spare ones, so the largest groups may be left out
+        members = own.join(checked(roots, n), "root").join(checked(classes.select("node", "n", "odd", "spare", "spare_up")), "node")
+        odd = F.col("root").bitwiseAND(F.lit(1))
+        largest = Window.partitionBy("node", odd).orderBy(F.desc("heat"), "root")
+        members = members.withColumn("rank", F.row_number().over(largest)).filter(F.col("rank") > F.when(odd == F.col("odd"), F.col("spare")).otherwise(F.col("spare_up")))
+        members = written(spark, members.select("root", "node", "label", "n"))
         bits = written(spark, classes.select("node", "bits").join(checked(members.select("node").distinct()), "node", "left_semi"))
         if late := fits(bits):  # few parities: they wait where the pairs are made
             x, y = members.toDF("root", "a", "la", "na"), members.toDF("root", "b", "lb", "nb")
@@ -325,7 +359,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = 5, num:
     ids = written(spark, labelled.join(checked(least), "label").select("node", "component_id"))
     named = written(spark, classes.join(checked(ids), "node", "left").select("node", "class_size", F.coalesce("component_id", "rep").alias("component_id"), F.col("component_id").isNotNull().alias("linked")))
     own = F.col("n_shingles") == 0
-    out = rows.drop("bits").join(checked(named.filter("linked OR class_size > 1")), "node", "left")
+    out = rows.select("doc_id", "text_hash", "n_shingles", "node").join(checked(named.filter("linked OR class_size > 1")), "node", "left")
     return out.select(
         "doc_id",
         "n_shingles",
