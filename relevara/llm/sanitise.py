@@ -2,14 +2,14 @@
 
 Base spans are e-mail addresses, IP addresses, card and phone numbers.  Each value found is a
 protected entity.  The words around its mentions are candidate terms; corpus co-occurrence
-estimates how strongly a term reveals the entity: with n(t, e) distinct contexts of the entity
-that hold the term and n(t) documents of the corpus that hold it, p(e | t) = n(t, e) / n(t), and
+estimates how strongly a term reveals the entity: with n(t, e) distinct texts that hold it near
+the entity and n(t) distinct texts of the corpus that hold it, p(e | t) = n(t, e) / n(t), and
 log2(p(e | t) / p(e)) are the bits that the term discloses.  A term that reaches the thresholds
-(at least ``MIN_CONTEXTS`` contexts, ``MIN_SHARE`` and ``MIN_BITS``) is a span of kind term where it
+(at least ``MIN_CONTEXTS`` texts, ``MIN_SHARE`` and ``MIN_BITS``) is a span of kind term where it
 stands near the entity; ``sanitised`` removes a term that discloses nearly everything and
 generalises all other spans to a placeholder.
 
-Copies of a text repeat a context and count once.
+Copies of a text count once in every one of these numbers.
 
 The patterns are rewritten so that Java's engine neither recurses nor backtracks over long
 runs: single separators between digits and single dots between labels are first replaced, one
@@ -29,7 +29,7 @@ from relevara.llm.common import checked, keyed, same_key, ship, text_session, wr
 
 #: Kinds in the order in which spans that start together are listed.
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Disclosure thresholds: distinct contexts, share of the term's documents, bits.
+#: Disclosure thresholds: distinct texts, share of the term's documents, bits.
 MIN_CONTEXTS, MIN_SHARE, MIN_BITS = 3, 0.5, 4.0
 #: From this share on a term is removed, not generalised.
 REMOVE_SHARE = 0.95
@@ -108,14 +108,18 @@ def span_text(spans: Column) -> Column:
 
 
 def revealing_terms(spark: SparkSession, texts: DataFrame, mentions: DataFrame) -> DataFrame:
-    """(entity, term, share): terms near the entity that disclose it, from the whole corpus ``texts`` (text)."""
-    contexts = mentions.select("entity", "context", F.explode(F.array_distinct(F.transform("words", lambda w: w["value"]))).alias("term")).distinct()
+    """(entity, term, share): terms near the entity that disclose it, from the whole corpus ``texts`` (text_hash, text).
+
+    Every count is one of distinct texts.
+    """
+    contexts = mentions.select("entity", "text_hash", F.explode(F.array_distinct(F.transform("words", lambda w: w["value"]))).alias("term")).distinct()
     near = contexts.groupBy("entity", "term").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= MIN_CONTEXTS)
     near = written(spark, near)
     if not near.limit(1).count():
         return near.select("entity", "term", F.lit(1.0).alias("share"))
-    total = mentions.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
+    total = mentions.select("entity", "text_hash").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     terms = near.select("term").distinct()
+    texts = texts.dropDuplicates(["text_hash"])
     words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("term"))
     # counted before they meet the candidates: the join then has a row for each term, not for each occurrence
     df = words.groupBy("term").agg(F.count("*").alias("n_t")).join(checked(terms), "term", "left_semi")
@@ -142,8 +146,8 @@ def find_spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
     # words cut by the window's edges or grown together with the mention are no candidates
     ahead = shift(located(F.col("m.before"), WORD), F.col("m.at"), lambda w: whole(w) & ((w["start"] > F.col("m.at")) | (F.col("m.at") == 0)) & (w["end"] < F.col("m.start")))
     after = shift(located(F.col("m.behind"), WORD), F.col("m.end"), lambda w: whole(w) & (w["start"] > F.col("m.end")) & (w["end"] < F.col("m.end") + WINDOW))
-    mentions = written(spark, once.select("doc_id", "text_hash", F.xxhash64("m.entity").alias("entity"), F.xxhash64("m.before", "m.behind").alias("context"), F.concat(ahead, after).alias("words")))
-    terms = written(spark, revealing_terms(spark, flat.select("text"), mentions))
+    mentions = written(spark, once.select("doc_id", "text_hash", F.xxhash64("m.entity").alias("entity"), F.concat(ahead, after).alias("words")))
+    terms = written(spark, revealing_terms(spark, flat.select("text_hash", "text"), mentions))
     hits = mentions.select("doc_id", "text_hash", "entity", F.explode("words").alias("w")).select("doc_id", "text_hash", "entity", F.col("w.value").alias("term"), F.col("w.start").alias("start"), F.col("w.end").alias("end"))
     added = hits.join(checked(terms), ["entity", "term"]).groupBy("doc_id", "text_hash", "start", "end").agg(F.min("term").alias("value"), F.max("share").alias("share"))
     span = F.struct("start", F.lit(4).alias("kind"), "end", "value")

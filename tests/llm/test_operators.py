@@ -346,6 +346,20 @@ def test_pii_terms_that_reveal(spark):
     assert clean[900] is None and all("<EMAIL>" in clean[i] and "kestrelman" not in clean[i] and "bob@" not in clean[i] for i in range(8))
 
 
+def test_pii_terms_count_distinct_texts(spark):
+    rnd = random.Random(8)
+    say = lambda: " ".join(f"word{rnd.randrange(40)}" for _ in range(20))
+    copied = [f"{say()} peregrine wrote zed@corp.example {say()}" for _ in range(3)]
+    same = "stand very long and always equal words before it merlinella uma@corp.example and as many equal words that stand behind it"
+    rows = [*copied, *[copied[0]] * 30, *[f"{say()} {same} {say()}" for _ in range(4)], *[say() for _ in range(300)]]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    out = {r.doc_id: r.s for r in find_spans(spark, df).select("doc_id", span_text(F.col("all")).alias("s")).collect()}
+    for i, t in enumerate(rows[:37]):
+        at, end = re.search("peregrine|merlinella", t).span()
+        assert f"term:{at}:{end}" in out[i]
+    assert not any(out[i] for i in range(37, len(rows)))
+
+
 def test_quality(spark, docs, empty):
     out = {r.doc_id: r.score for r in quality_scores(spark, docs).collect()}
     assert len(out) == docs.select("doc_id").distinct().count() and all(0 <= s <= 1 for s in out.values())
