@@ -1,13 +1,13 @@
 """Information-theoretic sanitisation of personal data, in DataFrame operations alone.
 
 Base spans are e-mail addresses, IP addresses, card and phone numbers.  Each value found is a
-protected entity.  The words around its mentions are candidate terms; corpus co-occurrence
-estimates how strongly a term reveals the entity: with n(t, e) distinct texts that hold it near
-the entity and n(t) distinct texts of the corpus that hold it, p(e | t) = n(t, e) / n(t), and
-log2(p(e | t) / p(e)) are the bits that the term discloses.  A term that reaches the thresholds
-(at least ``MIN_CONTEXTS`` texts, ``MIN_SHARE`` and ``MIN_BITS``) is a span of kind term where it
-stands near the entity; ``sanitised`` removes a term that discloses nearly everything and
-generalises all other spans to a placeholder.
+protected entity.  The words of the texts that hold it, wherever they stand outside of base spans,
+are candidate terms; corpus co-occurrence estimates how strongly a term reveals the entity: with
+n(t, e) distinct texts that hold both and n(t) distinct texts of the corpus that hold the term,
+p(e | t) = n(t, e) / n(t), and log2(p(e | t) / p(e)) are the bits that the term discloses.  A term
+that reaches the thresholds (at least ``MIN_CONTEXTS`` texts, ``MIN_SHARE`` and ``MIN_BITS``) for any
+entity is a span of kind term wherever it stands, in every text; ``sanitised`` removes a term that
+discloses nearly everything and generalises all other spans to a placeholder.
 
 Copies of a text count once in every one of these numbers.
 
@@ -22,6 +22,8 @@ are not read by ``find_spans`` and kept by ``sanitised``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,13 +35,14 @@ KINDS = ("email", "ip", "card", "phone", "term")
 MIN_CONTEXTS, MIN_SHARE, MIN_BITS = 3, 0.5, 4.0
 #: From this share on a term is removed, not generalised.
 REMOVE_SHARE = 0.95
-#: Characters before and after a mention in which terms are sought.
-WINDOW = 48
 #: Shortest term.
 TERM_CHARS = 4
 
 #: Private-use characters that stand for a dot between labels, a separator between digits, and themselves.
 DOT, JOINT, OTHER = "\ue000", "\ue001", "\ue002"
+#: What stands for a base span when words are cut; a MARK of the text itself is followed by another letter.
+MARK = "\ue003"
+MASK = MARK + "m"
 _LOCAL = "A-Za-z0-9._%+-"
 EMAIL = rf"(?:\G|(?<![{DOT}{_LOCAL}]))[{DOT}{_LOCAL}]++@[A-Za-z0-9-]++{DOT}[A-Za-z0-9{DOT}-]++"
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
@@ -49,8 +52,8 @@ WORD = r"[^\x20\x09-\x0D]++"
 SPAN = "struct<start:int,kind:int,end:int,value:string>"
 
 
-def located(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, value>> of all matches, leftmost and non-overlapping, in code points."""
+def located(text: Column, pattern: str, keep: Callable[[Column], Column] = lambda _: F.lit(True)) -> Column:
+    """array<struct<start, end, value>> of all matches, leftmost and non-overlapping, whose value ``keep`` takes, in code points."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
@@ -58,7 +61,8 @@ def located(text: Column, pattern: str) -> Column:
     def step(s: Column, p: Column) -> Column:
         start = s["at"] + F.length(p["gap"])
         end = start + F.length(p["value"])
-        return F.struct(end.alias("at"), F.concat(s["out"], F.array(F.struct(start.alias("start"), end.alias("end"), p["value"].alias("value")))).alias("out"))
+        more = F.concat(s["out"], F.array(F.struct(start.alias("start"), end.alias("end"), p["value"].alias("value"))))
+        return F.struct(end.alias("at"), F.when(keep(p["value"]), more).otherwise(s["out"]).alias("out"))
 
     pairs = F.filter(F.arrays_zip(gaps.alias("gap"), found.alias("value")), lambda p: p["value"].isNotNull())
     return F.aggregate(pairs, zero, step, lambda s: s["out"])
@@ -107,26 +111,48 @@ def span_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(name, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def revealing_terms(spark: SparkSession, texts: DataFrame, mentions: DataFrame) -> DataFrame:
-    """(entity, term, share): terms near the entity that disclose it, from the whole corpus ``texts`` (text_hash, text).
+def masked(text: Column, base: Column) -> Column:
+    """``text`` with ``MASK`` in place of each base span; a mark that stands in the text itself is escaped."""
+    plain = lambda x: F.replace(x, F.lit(MARK), F.lit(MARK + "o"))
+
+    def step(s: Column, p: Column) -> Column:
+        out = F.when(p["start"] >= s["at"], F.concat(s["out"], plain(F.substr(text, s["at"] + 1, p["start"] - s["at"])), F.lit(MASK))).otherwise(s["out"])
+        return F.struct(F.greatest(s["at"], p["end"]).alias("at"), out.alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    return F.when(F.size(base) == 0, plain(text)).otherwise(F.aggregate(base, start, step, lambda s: F.concat(s["out"], plain(F.substr(text, s["at"] + 1, F.length(text))))))
+
+
+def candidates(text: Column, base: Column) -> Column:
+    """The distinct lower-cased words of at least ``TERM_CHARS`` characters that touch no base span."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(masked(text, base)), F.lit(WORD), F.lit(0)))
+    free = F.filter(words, lambda w: (F.length(w) >= TERM_CHARS) & ~F.contains(w, F.lit(MASK)))
+    unescaped = F.filter(F.transform(free, lambda w: F.replace(w, F.lit(MARK + "o"), F.lit(MARK))), lambda w: F.length(w) >= TERM_CHARS)
+    return F.when(F.contains(text, F.lit(MARK)), unescaped).otherwise(free)
+
+
+def revealing_terms(spark: SparkSession, texts: DataFrame) -> DataFrame:
+    """(term, share): terms that disclose an entity, with their highest share.
 
-    Every count is one of distinct texts.
+    ``texts`` (text_hash, entities, words) has each distinct text once; every count is one of texts.
     """
-    contexts = mentions.select("entity", "text_hash", F.explode(F.array_distinct(F.transform("words", lambda w: w["value"]))).alias("term")).distinct()
-    near = contexts.groupBy("entity", "term").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= MIN_CONTEXTS)
-    near = written(spark, near)
-    if not near.limit(1).count():
-        return near.select("entity", "term", F.lit(1.0).alias("share"))
-    total = mentions.select("entity", "text_hash").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    terms = near.select("term").distinct()
-    texts = texts.dropDuplicates(["text_hash"])
-    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("term"))
-    # counted before they meet the candidates: the join then has a row for each term, not for each occurrence
-    df = words.groupBy("term").agg(F.count("*").alias("n_t")).join(checked(terms), "term", "left_semi")
-    n = texts.count()
-    found = near.join(checked(written(spark, df)), "term").join(checked(written(spark, total)), "entity")
-    share = F.least(F.col("n_te") / F.col("n_t"), F.lit(1.0))
-    return found.select("entity", "term", share.alias("share"), F.log2(share * n / F.col("n_e")).alias("bits")).filter((F.col("share") >= MIN_SHARE) & (F.col("bits") >= MIN_BITS)).drop("bits")
+    # a pair needs MIN_CONTEXTS texts, so entity and term each do, and no more of the term's than the share allows
+    entities = texts.select("text_hash", F.explode("entities").alias("entity"))
+    often = written(spark, entities.groupBy("entity").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= MIN_CONTEXTS))
+    if not often.limit(1).count():
+        return often.select(F.lit("").alias("term"), F.lit(1.0).alias("share")).limit(0)
+    counts = texts.select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    most = often.agg(F.max("n_e")).first()[0]
+    counts = written(spark, counts.filter((F.col("n_t") >= MIN_CONTEXTS) & (F.col("n_t") * MIN_SHARE <= most)))
+    held = written(spark, entities.join(checked(often), "entity").select(F.col("text_hash").alias("held_by"), "entity", "n_e"))
+    per_text = held.groupBy("held_by").agg(F.max("n_e").alias("most"))
+    words = texts.select("text_hash", "words").join(checked(per_text), F.col("text_hash") == F.col("held_by")).select("text_hash", "most", F.explode("words").alias("term"))
+    words = words.join(checked(counts), "term").filter(F.col("n_t") * MIN_SHARE <= F.col("most")).select("text_hash", "term", "n_t")
+    pairs = words.join(checked(held), (F.col("text_hash") == F.col("held_by")) & (F.col("n_t") * MIN_SHARE <= F.col("n_e")))
+    both = pairs.groupBy("entity", "term", "n_e", "n_t").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= MIN_CONTEXTS)
+    share = F.col("n_te") / F.col("n_t")
+    found = both.select("term", share.alias("share"), F.log2(share * texts.count() / F.col("n_e")).alias("bits"))
+    return found.filter((F.col("share") >= MIN_SHARE) & (F.col("bits") >= MIN_BITS)).groupBy("term").agg(F.max("share").alias("share"))
 
 
 def find_spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -134,26 +160,27 @@ def find_spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
     text_session(spark)
     text = F.coalesce(F.col("text"), F.lit(""))
     flat = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    flat = flat.withColumn("_digits", F.col("text").rlike("[0-9]"))
-    spans = flat.withColumn("base", base_spans(F.col("text")))
-    # a mention: the value, and the words that lie whole in the characters around it
-    left = lambda s: F.greatest(s["start"] - WINDOW, F.lit(0))
-    around = lambda s: F.struct(s["value"].alias("entity"), s["start"].alias("start"), s["end"].alias("end"), left(s).alias("at"), F.substr(F.col("text"), left(s) + 1, s["start"] - left(s)).alias("before"), F.substr(F.col("text"), s["end"] + 1, F.lit(WINDOW)).alias("behind"))
-    rows = written(spark, spans.select("doc_id", "text_hash", "base", F.transform("base", around).alias("mentions")))
-    once = rows.filter(F.size("mentions") > 0).dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text_hash", F.explode("mentions").alias("m"))
-    shift = lambda ws, by, keep: F.filter(F.transform(ws, lambda w: F.struct((w["start"] + by).alias("start"), (w["end"] + by).alias("end"), F.lower(w["value"]).alias("value"))), keep)
-    whole = lambda w: F.length(w["value"]) >= TERM_CHARS
-    # words cut by the window's edges or grown together with the mention are no candidates
-    ahead = shift(located(F.col("m.before"), WORD), F.col("m.at"), lambda w: whole(w) & ((w["start"] > F.col("m.at")) | (F.col("m.at") == 0)) & (w["end"] < F.col("m.start")))
-    after = shift(located(F.col("m.behind"), WORD), F.col("m.end"), lambda w: whole(w) & (w["start"] > F.col("m.end")) & (w["end"] < F.col("m.end") + WINDOW))
-    mentions = written(spark, once.select("doc_id", "text_hash", F.xxhash64("m.entity").alias("entity"), F.concat(ahead, after).alias("words")))
-    terms = written(spark, revealing_terms(spark, flat.select("text_hash", "text"), mentions))
-    hits = mentions.select("doc_id", "text_hash", "entity", F.explode("words").alias("w")).select("doc_id", "text_hash", "entity", F.col("w.value").alias("term"), F.col("w.start").alias("start"), F.col("w.end").alias("end"))
-    added = hits.join(checked(terms), ["entity", "term"]).groupBy("doc_id", "text_hash", "start", "end").agg(F.min("term").alias("value"), F.max("share").alias("share"))
-    span = F.struct("start", F.lit(4).alias("kind"), "end", "value")
-    per = written(spark, added.groupBy("doc_id", "text_hash").agg(F.collect_list(span).alias("terms"), F.map_from_entries(F.collect_list(F.struct("start", "share"))).alias("shares")))
-    per = per.withColumnsRenamed({"doc_id": "d", "text_hash": "h"})
-    out = rows.join(checked(per), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
+    spans = flat.withColumn("_digits", F.col("text").rlike("[0-9]")).withColumn("base", base_spans(F.col("text"))).drop("_digits")
+    entities = F.array_distinct(F.transform("base", lambda s: F.xxhash64(s["value"])))
+    rows = written(spark, spans.select("doc_id", "text_hash", "base", entities.alias("entities"), candidates(F.col("text"), F.col("base")).alias("words"), F.monotonically_increasing_id().alias("uid")))
+    # each distinct text once: of copies, all rows but the first are left out of the counts
+    first = rows.groupBy("text_hash").agg(F.min("uid").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    first = written(spark, first.select(F.col("text_hash").alias("copied"), "first"))
+    spare = written(spark, rows.select("text_hash", "uid").join(checked(first), F.col("text_hash") == F.col("copied")).filter("uid > first").select("uid"))
+    texts = rows.join(checked(spare), "uid", "left_anti").select("text_hash", "entities", "words")
+    terms = written(spark, revealing_terms(spark, texts))
+    # the terms of each distinct text that holds any, then every place of theirs in it
+    marked = texts.select("text_hash", F.explode("words").alias("term")).join(checked(terms), "term")
+    marked = written(spark, marked.groupBy("text_hash").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("revealing")).withColumnRenamed("text_hash", "h"))
+    own = spans.join(checked(marked), F.col("text_hash") == F.col("h"))
+    place = located(F.col("text"), WORD, lambda w: F.map_contains_key("revealing", F.lower(w)))
+    clear = F.filter(place, lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
+    placed = own.dropDuplicates(["text_hash"]).select("text_hash", "revealing", clear.alias("places"))
+    share_of = lambda w: F.try_element_at("revealing", F.lower(w["value"]))
+    term = lambda w: F.struct(w["start"].alias("start"), F.lit(4).alias("kind"), w["end"].alias("end"), F.lower(w["value"]).alias("value"))
+    shares = F.map_from_entries(F.transform("places", lambda w: F.struct(w["start"].alias("start"), share_of(w).alias("share"))))
+    per = written(spark, placed.select(F.col("text_hash").alias("h"), F.transform("places", term).alias("terms"), shares.alias("shares")))
+    out = rows.join(checked(per), F.col("text_hash") == F.col("h"), "left")
     every = F.array_sort(F.concat("base", F.coalesce("terms", F.array().cast(f"array<{SPAN}>"))))
     return out.select("doc_id", "text_hash", "base", every.alias("all"), "shares")
 

@@ -360,6 +360,22 @@ def test_pii_terms_count_distinct_texts(spark):
     assert not any(out[i] for i in range(37, len(rows)))
 
 
+def test_pii_terms_anywhere_in_all_texts(spark):
+    rnd = random.Random(9)
+    say = lambda n=30: " ".join(f"word{rnd.randrange(40)}" for _ in range(n))
+    rows = [f"Ospreyson {say()} kim@corp.example {say()} \ue003m OSPREYSON\ue003 ospreyson" for _ in range(6)]
+    rows += [f"{say()} ospreyson {say()}\n ospreyson's", *[say() for _ in range(300)]]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    spans = find_spans(spark, df)
+    out = {r.doc_id: r.s.split(",") for r in spans.select("doc_id", span_text(F.col("all")).alias("s")).collect()}
+    for i, t in enumerate(rows[:7]):
+        want = {f"term:{m.start()}:{m.end()}" for m in re.finditer(r"\S+", t) if m[0].lower() in ("ospreyson", "ospreyson\ue003")}
+        assert {x for x in out[i] if x.startswith("term")} == want
+    assert all(out[i] == [""] for i in range(7, len(rows)))
+    clean = {r.doc_id: r.text for r in sanitised(df, spans).collect()}
+    assert not any(re.search(r"(?i)\bospreyson(?!')", t) for t in clean.values())
+
+
 def test_quality(spark, docs, empty):
     out = {r.doc_id: r.score for r in quality_scores(spark, docs).collect()}
     assert len(out) == docs.select("doc_id").distinct().count() and all(0 <= s <= 1 for s in out.values())
