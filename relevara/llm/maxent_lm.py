@@ -3,13 +3,18 @@
 log P(word | history) = log P(class | history) + log P(word | class).  The class of a word comes
 from its last two bytes.  P(class | history) is a softmax over hashed features of the history:
 the last word, the last two words (n-grams), the word before the last and the one before that
-(skips).  P(word | class) is the add-one estimate from the counts of the whole corpus, with one
-share for all words that the class has not seen.
+(skips).  P(word | class, history) goes down a binary tree over the leading bits of the word's hash:
+each decision is a logistic model of the same four features, hashed together with the node, on top
+of the node's log odds in the counts of the whole corpus.  The tree has about one leaf per word of
+the largest class, at most 2^``DEPTH``; words of one leaf share it in proportion to their counts plus
+one.  Words that the class has not seen have one share, the same for every history.  The table of
+the decisions grows with the number of training tokens, up to 2^``TREE_BITS`` entries.
 
 Counting covers every training document.  The softmax is trained by rounds of distributed
-gradient updates: the training documents are dealt to the rounds by hash, each task takes
-gradient steps over its documents from the common weights, and the changes are averaged, block
-of weights by block, in two levels.  Scoring is sparse numpy over batches: four table rows per token.
+gradient updates, and the tree with it: the training documents are dealt to the rounds by hash,
+each task takes gradient steps over its documents from the common weights, and the changes are
+averaged (those of the tree by the uses of each weight), block of weights by block, in two levels.
+Scoring is sparse numpy over batches: four table rows per token, four entries per decision.
 
 Defined cases: a null text counts as empty and scores its end alone; a null doc_id is hashed as
 the empty text; repeated rows score alike; without training documents every word is unknown;
@@ -36,6 +41,11 @@ CLASSES, BUCKETS, PASSES, STEP = 32, 1 << 13, 2, 1 << 15
 COMMON_WORDS = 1 << 18
 #: Weights that travel together, and the rate of a step.
 SPAN, RATE = 1 << 14, 0.5
+#: Most decisions on the way to a word, least and most bits of their table, tokens per entry, their rate.
+DEPTH, LEAST_BITS, TREE_BITS, TOKENS_PER_ENTRY, TREE_RATE = 16, 16, 22, 64, 1.0
+#: Training tasks that always run, and tokens per task beyond them.
+TASKS, TASK_TOKENS = 32, 1 << 21
+_NODE, _SLOT = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9FB21C651E98DF25)
 END = np.uint64(0x9E3779B97F4A7C15)
 FEATURES = 4
 _KEYS = mix(np.arange(1, 3 * FEATURES + 1, dtype=np.uint64))
@@ -53,14 +63,66 @@ def tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, cls, off
 
 
-def features(words: np.ndarray, off: np.ndarray, buckets: int) -> np.ndarray:
-    """Buckets of the four features of each token; before a text's start stands 0."""
+def histories(words: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Hashes of the four features of each token; before a text's start stands 0."""
     n = len(words)
     place = np.arange(n) - np.repeat(off[:-1], np.diff(off))
     w = [np.where(place >= k, np.roll(words, k), np.uint64(0)) for k in (1, 2, 3)]
-    mask = np.uint64(buckets // FEATURES - 1)
     keyed = [w[0] * _KEYS[0] ^ _KEYS[1], w[0] * _KEYS[2] + w[1] * _KEYS[3], w[1] * _KEYS[4] ^ _KEYS[5], w[2] * _KEYS[6] ^ _KEYS[7]]
-    return np.stack([(mix(x) & mask).astype(np.int32) + i * (buckets // FEATURES) for i, x in enumerate(keyed)])
+    return np.stack([mix(x) for x in keyed])
+
+
+def features(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets of the four features of each token."""
+    mask = np.uint64(buckets // FEATURES - 1)
+    return np.stack([(x & mask).astype(np.int32) + i * (buckets // FEATURES) for i, x in enumerate(hashes)])
+
+
+def node_odds(cls: np.ndarray, leaf: np.ndarray, mass: np.ndarray, depth: int) -> np.ndarray:
+    """Log odds of going right at each class and node; NaN where only one side has words."""
+    heap = np.zeros((CLASSES, 2 << depth))
+    np.add.at(heap, (cls, (1 << depth) + leaf), mass)
+    for j in range(depth - 1, -1, -1):
+        heap[:, 1 << j : 2 << j] = heap[:, 2 << j : 4 << j].reshape(CLASSES, -1, 2).sum(2)
+    low, high = heap[:, 0::2], heap[:, 1::2]
+    both = (low > 0) & (high > 0)
+    both[:, 0] = False
+    return np.where(both, np.log(np.where(both, high, 1.0)) - np.log(np.where(both, low, 1.0)), np.nan).astype(np.float32).ravel()
+
+
+def decisions(words: np.ndarray, cls: np.ndarray, hashes: np.ndarray, odds: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Token, direction, odds and four table entries of each decision on the ways to the words."""
+    depth = (len(odds) // CLASSES).bit_length() - 1
+    leaf = (words >> np.uint64(64 - depth)).astype(np.int64)
+    down = np.arange(depth)
+    node = (cls.astype(np.int64) << depth)[:, None] + (1 << down) + (leaf[:, None] >> (depth - down))
+    base = odds[node]
+    free = ~np.isnan(base)
+    token = np.repeat(np.arange(len(words)), free.sum(1))
+    right = ((leaf[:, None] >> (depth - 1 - down)) & 1)[free].astype(np.float32)
+    key = (node[free].astype(np.uint64) + np.uint64(1)) * _NODE
+    key ^= key >> np.uint64(29)
+    slots = np.stack([(((h[token] ^ key) * _SLOT) >> np.uint64(64 - bits)).astype(np.int32) for h in hashes])
+    return token, right, base[free], slots
+
+
+def tree_gain(words: np.ndarray, cls: np.ndarray, hashes: np.ndarray, odds: np.ndarray, tree: np.ndarray) -> np.ndarray:
+    """What the history adds to log P(word | class) of the counts, for each token."""
+    token, right, base, slots = decisions(words, cls, hashes, odds, len(tree).bit_length() - 1)
+    sign = 1 - 2 * right  # of the exponent
+    with_history = np.clip(base + sum(tree[x] for x in slots), -60, 60)
+    gain = np.log1p(np.exp(sign * base)) - np.log1p(np.exp(sign * with_history))
+    return np.bincount(token, gain, len(words))
+
+
+def tree_step(tree: np.ndarray, used: np.ndarray, words: np.ndarray, cls: np.ndarray, hashes: np.ndarray, odds: np.ndarray) -> None:
+    """Moves the entries that occur by TREE_RATE times their mean residual, damped for rare ones; adds up their uses."""
+    _, right, base, slots = decisions(words, cls, hashes, odds, len(tree).bit_length() - 1)
+    res = right - 1 / (1 + np.exp(-np.clip(base + sum(tree[x] for x in slots), -60, 60)))
+    at = slots.ravel()
+    n = np.bincount(at, minlength=len(tree))
+    tree += (TREE_RATE * np.bincount(at, np.tile(res, len(slots)), len(tree)) / (n + 2.0)).astype(np.float32)
+    used += n
 
 
 def log_softmax(weights: np.ndarray, bias: np.ndarray, f: np.ndarray) -> np.ndarray:
@@ -104,18 +166,20 @@ def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield out()
 
 
-def update_batches(batches: Iterator[pa.RecordBatch], weights: np.ndarray, bias: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(block, part, n_tokens, change) after this task's gradient steps."""
-    new, seen = weights.copy(), 0
+def update_batches(batches: Iterator[pa.RecordBatch], weights: np.ndarray, bias: np.ndarray, tree: np.ndarray, odds: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(block, part, n_tokens, change) after this task's gradient steps: the softmax's, the tree's, the uses of the tree's."""
+    new, grown, used, seen = weights.copy(), tree.copy(), np.zeros(len(tree), np.float32), 0
     for whole in batches:
         for batch in pieces(whole, 0):
             words, cls, off = tokens(batch.column(0))
-            f = features(words, off, len(weights))
+            h = histories(words, off)
+            f = features(h, len(weights))
             for i in range(0, len(words), STEP):
                 gradient_step(new, bias, f[:, i : i + STEP], cls[i : i + STEP])
+                tree_step(grown, used, words[i : i + STEP], cls[i : i + STEP], h[:, i : i + STEP], odds)
             seen += len(words)
     if seen:
-        change = ((new - weights).astype(np.float64) * seen).astype(np.float32).ravel()
+        change = np.concatenate([((new - weights).astype(np.float64) * seen).astype(np.float32).ravel(), (grown - tree) * used, used])
         blocks = range(0, len(change), SPAN)
         part = TaskContext.get().partitionId()
         cols = [pa.array([i // SPAN for i in blocks], pa.int32()), pa.array([part] * len(blocks), pa.int32()), pa.array([seen] * len(blocks), pa.int64()), pa.array([change[i : i + SPAN].tobytes() for i in blocks], pa.binary())]
@@ -128,21 +192,25 @@ def summed(x: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": x["block"].iloc[:1], "part": x["part"].iloc[:1], "n": [x["n"].sum()], "change": [total.tobytes()]})
 
 
-def train(spark: SparkSession, texts: DataFrame, bias: np.ndarray, key: Column, passes: int = PASSES) -> np.ndarray:
-    """Weights after ``passes`` averaged updates; together they read every training text once."""
-    weights = np.zeros((BUCKETS, CLASSES), np.float32)
+def train(spark: SparkSession, texts: DataFrame, bias: np.ndarray, odds: np.ndarray, n_tokens: int, key: Column, passes: int = PASSES) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of softmax and tree after ``passes`` averaged updates; together they read every training text once."""
+    bits = min(TREE_BITS, max(LEAST_BITS, (n_tokens // TOKENS_PER_ENTRY).bit_length()))
+    weights, tree = np.zeros((BUCKETS, CLASSES), np.float32), np.zeros(1 << bits, np.float32)
     for k in range(passes):
-        shared = spark.sparkContext.broadcast((weights, bias))
+        shared = spark.sparkContext.broadcast((weights, bias, tree, odds))
         own = texts.filter(F.pmod(key, F.lit(passes)) == k).select("text")
         schema = "block int, part int, n long, change binary"
+        own = own.coalesce(max(TASKS, n_tokens // passes // TASK_TOKENS))
         changes = own.mapInArrow(lambda it, b=shared: update_batches(it, *b.value), schema)
         near = changes.groupBy("block", F.pmod("part", F.lit(max(1, int(changes.rdd.getNumPartitions() ** 0.5)))).alias("salt")).applyInPandas(summed, schema)
         rows = near.groupBy("block").applyInPandas(summed, schema).orderBy("block").collect()
         if rows:
-            total = np.concatenate([np.frombuffer(r["change"], np.float32) for r in rows]).reshape(weights.shape)
-            weights = weights + total / np.float32(max(r["n"] for r in rows))
+            total = np.concatenate([np.frombuffer(r["change"], np.float32) for r in rows])
+            flat, grown, used = np.split(total, [weights.size, weights.size + len(tree)])
+            weights = weights + flat.reshape(weights.shape) / np.float32(max(r["n"] for r in rows))
+            tree = tree + grown / np.maximum(used, 1)
         shared.unpersist()
-    return weights
+    return weights, tree
 
 
 def class_logs(n: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -166,32 +234,35 @@ def frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], values[order]
 
 
-SCORED = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>"
+SCORED = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>, gains array<float>"
 
 
 def score_batches(batches: Iterator[pa.RecordBatch], model: dict) -> Iterator[pa.RecordBatch]:
-    """Per text (doc_id, held_out, text) a row of SCORED; the words whose counts are not at hand are listed in ``rare``."""
-    weights, bias, denominator, keys, values = (model[k] for k in ("weights", "bias", "denominator", "words", "counts"))
+    """Per text (doc_id, held_out, text) a row of SCORED; the words whose counts are not at hand are listed in ``rare``, with what the history adds to them in ``gains``."""
+    weights, bias, denominator, keys, values, tree, odds = (model[k] for k in ("weights", "bias", "denominator", "words", "counts", "tree", "odds"))
     base, uid = np.log10(float(model["n"] + model["v"] + 1)), TaskContext.get().partitionId() << 40
     for whole in batches:
         for batch in pieces(whole, 2):
             words, cls, off = tokens(batch.column(2))
-            f, n = features(words, off, len(weights)), np.diff(off)
+            h, n = histories(words, off), np.diff(off)
+            f = features(h, len(weights))
             steps = range(0, len(words), STEP)
             by_class = np.concatenate([log_softmax(weights, bias, f[:, i : i + STEP])[np.arange(len(cls[i : i + STEP])), cls[i : i + STEP]] for i in steps])
+            gain = np.concatenate([tree_gain(words[i : i + STEP], cls[i : i + STEP], h[:, i : i + STEP], odds, tree) for i in steps]) / np.log(10.0)
             c = np.zeros(len(words), np.int64)
             if len(keys):
                 at = np.minimum(np.searchsorted(keys, words), len(keys) - 1)
                 c = np.where(keys[at] == words, values[at], 0)
             logs, here = np.log10(c + 1.0), c > 0
             own = np.add.reduceat(logs, off[:-1])
-            score = np.add.reduceat(by_class / np.log(10.0) - denominator[cls], off[:-1]) + own
+            score = np.add.reduceat(by_class / np.log(10.0) - denominator[cls] + np.where(here, gain, 0.0), off[:-1]) + own
             known = np.add.reduceat(here.astype(np.int64), off[:-1])
             ends = np.concatenate([[0], np.cumsum(n - known)]).astype(np.int32)
             rare = pa.ListArray.from_arrays(pa.array(ends), pa.array(words[~here].view(np.int64)))
+            gains = pa.ListArray.from_arrays(pa.array(ends), pa.array(gain[~here].astype(np.float32)))
             ids = np.arange(uid, uid + len(n))
             uid += len(n)
-            cols = [pa.array(ids), batch.column(0), batch.column(1), pa.array(n), pa.array(known), pa.array(own - n * base), pa.array(score.astype(float)), rare]
+            cols = [pa.array(ids), batch.column(0), batch.column(1), pa.array(n), pa.array(known), pa.array(own - n * base), pa.array(score.astype(float)), rare, gains]
             yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in SCORED.split(", ")])
 
 
@@ -208,17 +279,20 @@ def maxent_scores(spark: SparkSession, docs: DataFrame, held_out: Column, common
     per = {r["cls"]: (r["n"], r["v"]) for r in counts.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
     n, v = (np.array([per.get(c, (0, 0))[i] for c in range(CLASSES)], np.float64) for i in range(2))
     bias = np.log((n + 1) / (n.sum() + CLASSES)).astype(np.float32)
-    weights = train(spark, training, bias, F.xxhash64("doc_id", F.length("text")))
+    depth = min(DEPTH, int(max(v.max(), 1)).bit_length())
+    leaves = counts.groupBy("cls", F.shiftrightunsigned("word", 64 - depth).alias("leaf")).agg(F.sum(F.col("n") + 1).alias("mass")).toArrow()
+    odds = node_odds(*(leaves.column(k).to_numpy() for k in ("cls", "leaf", "mass")), depth)
+    weights, tree = train(spark, training, bias, odds, int(n.sum()), F.xxhash64("doc_id", F.length("text")))
     words, known = frequent(counts, common_words)
-    model = {"weights": weights, "bias": bias, "denominator": class_logs(n, v), "n": int(n.sum()), "v": int(v.sum()), "words": words, "counts": known}
+    model = {"weights": weights, "tree": tree, "odds": odds, "bias": bias, "denominator": class_logs(n, v), "n": int(n.sum()), "v": int(v.sum()), "words": words, "counts": known}
     shared = spark.sparkContext.broadcast(model)
     scored = written(spark, flat.mapInArrow(lambda it: score_batches(it, shared.value), SCORED))
     # the counts of all other words come by a join
     others = counts.filter(F.col("n") < int(known.min())) if len(known) else counts
-    rare = scored.select("uid", F.explode("rare").alias("word")).join(others.select("word", "n"), "word")
-    found = rare.groupBy("uid").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1)).alias("add"))
+    rare = scored.select("uid", F.explode(F.arrays_zip("rare", "gains")).alias("r")).select("uid", F.col("r.rare").alias("word"), "r.gains").join(others.select("word", "n"), "word")
+    found = rare.groupBy("uid").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1)).alias("add"), F.sum(F.col("gains").cast("double")).alias("gain"))
     add = F.coalesce("add", F.lit(0.0))
-    return scored.drop("rare").join(found, "uid", "left").select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"), F.lit(model["n"]).cast("long").alias("train_tokens"), (F.col("base_score") + add).alias("base_score"), (F.col("score") + add).alias("score"))
+    return scored.drop("rare", "gains").join(found, "uid", "left").select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"), F.lit(model["n"]).cast("long").alias("train_tokens"), (F.col("base_score") + add).alias("base_score"), (F.col("score") + add + F.coalesce("gain", F.lit(0.0))).alias("score"))
 
 
 ship(__name__)

@@ -286,6 +286,26 @@ def test_lm_model_is_a_distribution_and_beats_the_base(spark, empty):
     assert rows_of(maxent_lm.maxent_scores(spark, empty, F.lit(False))) == []
 
 
+@pytest.mark.parametrize("common", [4, 1 << 18])
+def test_lm_history_tells_words_of_a_class_apart(spark, common):
+    rnd = random.Random(3)
+    pair = lambda i, j: f"head{i}aa tail{j}zz"
+    say = lambda by: " ".join(pair(i, (i + by) % 12) for i in rnd.choices(range(12), k=60))
+    df = spark.createDataFrame([(d, say(0) if d < 350 else say(5)) for d in range(400)], "doc_id long, text string")
+    out = {r.doc_id: r.score for r in maxent_lm.maxent_scores(spark, df, F.col("doc_id") >= 300, common).collect()}
+    assert min(out[d] for d in range(300, 350)) > max(out[d] for d in range(350, 400)) + 5
+
+
+def test_lm_words_of_a_class_sum_to_its_share():
+    rng = np.random.default_rng(2)
+    words, cls, mass = rng.integers(0, 2**64, 300, np.uint64), rng.integers(1, maxent_lm.CLASSES, 300), rng.integers(2, 99, 300)
+    for depth in (1, 3, 9):
+        odds = maxent_lm.node_odds(cls, (words >> np.uint64(64 - depth)).astype(int), mass, depth)
+        tree, h = rng.normal(size=1 << 16).astype(np.float32), np.repeat(rng.integers(0, 2**64, (4, 1), np.uint64), 300, 1)
+        p = mass * np.exp(maxent_lm.tree_gain(words, cls, h, odds, tree))
+        assert np.allclose(np.bincount(cls, p), np.bincount(cls, mass), rtol=1e-3)
+
+
 def test_exact_top_k(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(size=8) * rng.choice([0.1, 1, 3])]) for i in range(3000)]
