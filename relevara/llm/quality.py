@@ -177,7 +177,7 @@ def quality_scores(spark: SparkSession, docs: DataFrame, fit_rows: int = FIT_ROW
         chosen = rows.filter((F.col("pattern") >= 0) & (F.col("order") <= bound)).dropDuplicates(["order"]).join(F.broadcast(labels), "pattern").select(F.col("order").alias("o"), "label")
         texts = written(spark, flat.join(F.broadcast(chosen), F.col("order") == F.col("o")).select("label", "text").repartition(6))
         weights[-1] = np.log(prior / (1 - prior))
-        for _ in range(PASSES // 10):
+        for _ in range(PASSES):
             shared = spark.sparkContext.broadcast(weights)
             parts = texts.mapInArrow(lambda it, b=shared: gradient_batches(it, b.value), "n long, grad binary")
             total = parts.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(added, "n long, grad binary").first()

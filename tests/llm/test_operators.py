@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from relevara.llm import maxent_lm, queries
+from relevara.llm import maxent_lm, quality, queries
 from relevara.llm.exact_dedup import exact_dedup
 from relevara.llm.inner_product import norm_sorted_search
 from relevara.llm.language_id import Parser, identify, suffix_automaton
@@ -411,6 +411,14 @@ def test_quality_ranks_labelled_documents(spark):
     assert auc > 0.9 and (both["good"][good]).mean() > 0.9
 
 
+def test_quality_runs_all_rounds(spark, docs, monkeypatch):
+    sent, broadcast = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, x: sent.append(x) or broadcast(self, x))
+    quality_scores(spark, docs)
+    weights = [x for x in sent if isinstance(x, np.ndarray)]
+    assert len(weights) == quality.PASSES + 1 and all((a != b).any() for a, b in itertools.pairwise(weights))
+
+
 def test_em_finds_a_bad_labeller():
     rng = np.random.default_rng(0)
     from relevara.llm.quality import HEURISTICS
