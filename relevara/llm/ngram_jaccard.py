@@ -1,20 +1,22 @@
 """N-gram Jaccard join by vertical partitioning.
 
-The shingles of all texts have one global order, that of their 64-bit hashes, and every set is
-cut into fragments at fixed places of that order.  Two sets that reach the threshold differ in
-at most D shingles, where D follows from their sizes; with D + s + 2 fragments more than s are equal
-in both, so equal fragments name all candidates, even if each set leaves out its s fragments
-of the largest groups (passages of many texts): that order is the same for all sets.  For each candidate pair the overlap
-is then counted fragment by fragment and summed per pair.
-
-Sizes fall in classes, and a set is cut once for its own class and, if a larger partner may be
-in the next one, once more for that.  Equal sets are one node from the start.  Within a fragment
-group every member is paired with the smallest node only; where a group then holds several
-components, all its pairs between different components follow whose parities allow a link, so that
-no link between components is lost and groups of near copies never give all their pairs.
-
-The parities of a set tell for each of many buckets whether it holds an odd number of shingles.
-Two sets differ in at least as many shingles as in parities (an odd sketch, used as a bound).
+The shingles have one global order: rare ones first, by document frequency, then by hash.  Two sets
+of sizes x and y that reach the threshold t share at least o = t / (1 + t) * (x + y) shingles, so the
+first shingle that they share in that order stands before place x - o + 1 in the one set and before
+place y - o + 1 in the other.  Only the places before x - ceil(t * x) + 1 can meet any partner: these
+prefixes are the fragment of the order in which candidates are sought.  A passage that many texts hold
+lies behind the prefixes of all texts that have enough of their own.
+
+A shingle that only one set holds meets nothing.  They are counted in a fragment of the order of
+hashes first, over the whole corpus: a set with more of them there than its prefix is long has no
+partner and takes no further part; most texts of a corpus end here, after a fragment of their shingles
+has travelled.  Frequencies are then those in the sets that are left, which no link leaves out.
+
+Equal sets are one node from the start.  Each member of a shingle's group is paired with the one
+that holds the shingle earliest, so near copies never give all their pairs; where a group then holds
+several components, the members outside of its largest component are paired with those of other
+components whose sizes and places allow a link.  For each candidate pair the overlap is counted
+fragment by fragment of the order of hashes and summed per pair.
 
 Defined cases: a null text or one without words has no shingles, is linked with nothing and is
 a component by itself; a null doc_id is never a component's id unless it is alone; repeated
@@ -27,7 +29,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,10 +37,8 @@ from relevara.llm.graph import components
 from relevara.llm.textvec import buffers, distinct_sets, mix, pieces, shingle_hashes, sums, word_hashes
 
 _SALT = np.uint64(0xA24BAED4963EE407)
-#: Parts of the global order whose overlaps are counted apart when a pair is verified.
+#: Fragments of the order of hashes whose overlaps are counted apart when a pair is verified.
 PARTS = 4
-#: Parities that may be broadcast, in bytes; beyond it they travel with the rows.
-PARITY_BYTES = 32 << 20
 #: Partners that one copy of a set is compared with; a set with more partners is sent in several copies.
 PARTNERS = 256
 #: Roots that one row of a text is sent to; a text with more has several rows.
@@ -57,137 +56,26 @@ def set_ids(sets: np.ndarray, off: np.ndarray, seed: int) -> np.ndarray:
     return mix(sums(mix(sets + np.uint64((2 * seed + 1) * int(_SALT) % 2**64)), off) ^ mix(n + np.uint64(seed)))
 
 
-def class_starts(num: int, den: int, most: int) -> np.ndarray:
-    """First sizes of the classes; a partner of a set is in its class or in the next one."""
-    out, more = [1], 3
-    while out[-1] <= most or (more := more - 1) >= 0:
-        out.append(max(out[-1] + 1, out[-1] * den * den // (num * num) + 1))
-    return np.array(out, np.int64)
-
-
-def cuts(sets: np.ndarray, off: np.ndarray, num: int, den: int, up: int) -> tuple[np.ndarray, ...]:
-    """How sets are cut for their own class (up 0) or the next one (up 1).
-
-    Returns per set its class, the fragments and the spare ones (0 for a set not cut for this
-    class), then which shingles are cut, their sets and their fragments.
-    """
-    n = np.diff(off)
-    starts = class_starts(num, den, int(n.max(initial=0)) * 2 + 2)
-    own = np.searchsorted(starts, n, "right") - 1
-    c = own + up
-    # in class c sets have up to starts[c + 1] - 1 shingles; two of them with the threshold differ in D at most
-    differ = (den - num) * 2 * (starts[c + 1] - 1) // (den + num)
-    use = (n > 0) & (differ > 0) & ((n * den // num >= starts[own + 1]) if up else True)
-    spare = np.where(use, differ // 3 + 1, 0)
-    count = np.where(use, differ + spare + 2, 0)
-    rows = np.repeat(use, n)
-    doc = np.repeat(np.arange(len(n)), n)[rows]
-    frag = ((sets[rows] >> np.uint64(32)) * count[doc].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
-    return c, count, spare, rows, doc, frag
-
-
-def breaks(doc: np.ndarray, frag: np.ndarray) -> np.ndarray:
-    """Where a new fragment starts."""
-    return np.flatnonzero(np.concatenate([[True], (frag[1:] != frag[:-1]) | (doc[1:] != doc[:-1])])) if len(doc) else np.zeros(0, np.int64)
-
-
-def spares(sets: np.ndarray, off: np.ndarray, num: int, den: int) -> list[np.ndarray]:
-    """Parity of each set's own class, and its fragments that may be left out in that and in the next class.
-
-    Empty fragments, which are not sent, count as left out.
-    """
-    out = []
-    for up in (0, 1):
-        c, count, spare, _, doc, frag = cuts(sets, off, num, den, up)
-        filled = np.bincount(doc[breaks(doc, frag)], minlength=len(c))
-        out += [(c & 1).astype(np.int32)] * (1 - up) + [np.maximum(spare - (count - filled), 0).astype(np.int32)]
-    return out
-
-
-def fragments(sets: np.ndarray, off: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the set, signature) of all fragments that may show a link; bit 16 is the parity of the class."""
-    keys, ids = [], []
-    for up in (0, 1):
-        c, count, spare, rows, doc, frag = cuts(sets, off, num, den, up)
-        if not rows.any():
-            continue
-        at = breaks(doc, frag)
-        whole = np.add.reduceat(mix(sets[rows] + _SALT), at)
-        d, f = doc[at], frag[at]
-        # of the equal fragments all may be empty only in sets with so many empty ones: those name them too
-        filled = np.bincount(d, minlength=len(c))
-        for e in np.flatnonzero((count > 0) & (count - filled > spare)):
-            miss = np.setdiff1d(np.arange(count[e]), f[d == e])
-            d, f, whole = np.append(d, np.full(len(miss), e)), np.append(f, miss), np.append(whole, np.zeros(len(miss), np.uint64))
-        tag = (c[d].astype(np.uint64) << np.uint64(40)) + f.astype(np.uint64)
-        odd = (c[d] & 1).astype(np.uint64) << np.uint64(16)
-        keys.append(mix(whole ^ mix(tag + _SALT)) & ~np.uint64(1 << 16) | odd)
-        ids.append(d)
-    return (np.concatenate(ids), np.concatenate(keys)) if keys else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
-
-
-def parities(sets: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(words, offsets): per set at least one bucket for each shingle, a power of two of 64-bit words."""
-    n = np.diff(off)
-    words = 1 << np.ceil(np.log2(np.maximum(n, 64) / 64)).astype(np.int64)
-    ends = np.concatenate([[0], np.cumsum(words)])
-    doc = np.repeat(np.arange(len(n)), n)
-    place = ends[doc] * 64 + (sets & (words[doc] * 64 - 1).astype(np.uint64)).astype(np.int64)
-    odd = (np.bincount(place, minlength=int(ends[-1]) * 64) & 1).astype(np.uint8)
-    return np.packbits(odd, bitorder="little").view(np.int64), ends
-
-
-def profile_batches(batches: Iterator[pa.RecordBatch], size: int, num: int, den: int, seed: int) -> Iterator[pa.RecordBatch]:
+def profile_batches(batches: Iterator[pa.RecordBatch], size: int, seed: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text_hash, n_shingles, node, check) of (doc_id, text_hash, text)."""
     for whole in batches:
         for batch in pieces(whole, 2):
             sets, off = shingle_sets(batch, 2, size)
             ids = [set_ids(sets, off, s).view(np.int64) for s in (seed, seed + 1000)]
-            n = np.diff(off)
-            bits, ends = parities(sets, off)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(ids[0]), pa.array(ids[1]), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(bits)), *map(pa.array, spares(sets, off, num, den))], names=["doc_id", "text_hash", "n_shingles", "node", "check", "bits", "odd", "spare", "spare_up"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(off)), pa.array(ids[0]), pa.array(ids[1])], names=["doc_id", "text_hash", "n_shingles", "node", "check"])
 
 
-def fragment_batches(batches: Iterator[pa.RecordBatch], size: int, num: int, den: int, seed: int) -> Iterator[pa.RecordBatch]:
-    """(sig, node) rows; sets of one batch that share a fragment meet here and send on a single row.
-
-    The upper 48 bits of sig tell the fragment; the lower 16 are 0 for the row sent on, and
-    otherwise tell the batch whose members stay among themselves.
-    """
-    salt = TaskContext.get().partitionId() * 7919
-    low = np.uint64(0xFFFF)
+def token_batches(batches: Iterator[pa.RecordBatch], size: int, seed: int, share: float = 1.0) -> Iterator[pa.RecordBatch]:
+    """(token, node, n): the shingles of each set in the first ``share`` of the order of hashes, once per batch."""
+    below = np.uint64(min(int(share * 2.0**64), 2**64 - 1))
     for whole in batches:
         for batch in pieces(whole, 0):
-            salt += 1
             sets, off = shingle_sets(batch, 0, size)
-            doc, sig = fragments(sets, off, num, den)
-            node, sig = set_ids(sets, off, seed)[doc].view(np.int64), sig & ~low
-            order = np.lexsort((node, sig))
-            node, sig = node[order], sig[order]
-            if not len(sig):
-                continue
-            first = np.concatenate([[True], sig[1:] != sig[:-1]])
-            new = first | np.concatenate([[True], node[1:] != node[:-1]])
-            node, sig, first = node[new], sig[new], first[new]
-            size_of = np.diff(np.append(np.flatnonzero(first), len(sig)))
-            shared = np.repeat(size_of > 1, size_of)
-            local = sig[shared] | np.uint64(salt % 0xFFFF + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([sig[first], local]).view(np.int64)), pa.array(np.concatenate([node[first], node[shared]]))], names=["sig", "node"])
-
-
-def star_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (sig, node): pairs each node with the smallest one of its sig."""
-    last_sig, head, last_node = None, 0, 0
-    for batch in batches:
-        sig, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
-        if not len(sig):
-            continue
-        new = np.concatenate([[last_sig is None or sig[0] != last_sig], sig[1:] != sig[:-1]])
-        heads = np.concatenate([[head], node[new]])[np.cumsum(new)]
-        again = np.concatenate([[last_sig is not None and sig[0] == last_sig and node[0] == last_node], (sig[1:] == sig[:-1]) & (node[1:] == node[:-1])])
-        use = (node != heads) & ~again
-        last_sig, head, last_node = sig[-1], heads[-1], node[-1]
-        if use.any():
-            yield pa.RecordBatch.from_arrays([pa.array(sig[use] >> 16), pa.array(heads[use]), pa.array(node[use])], names=["root", "a", "b"])
+            ids, n = set_ids(sets, off, seed), np.diff(off)
+            _, first = np.unique(ids, return_index=True)
+            use = np.repeat(np.isin(np.arange(len(n)), first), n) & (sets <= below)
+            doc = np.repeat(np.arange(len(n)), n)[use]
+            yield pa.RecordBatch.from_arrays([pa.array(sets[use].view(np.int64)), pa.array(ids[doc].view(np.int64)), pa.array(n[doc])], names=["token", "node", "n"])
 
 
 def part_batches(batches: Iterator[pa.RecordBatch], size: int, seed: int) -> Iterator[pa.RecordBatch]:
@@ -228,8 +116,8 @@ def overlap_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["a", "b", "n_a", "n_b", "k"])
 
 
-def uses_of(spark: SparkSession, rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, uses): for each set in ``pairs`` one document, and the roots it is sent to.
+def uses_of(spark: SparkSession, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, uses): for each set in ``pairs`` its document, and the roots it is sent to.
 
     A root with many partners is a root in several slots, which share the partners; a set with
     many roots has several rows.
@@ -238,53 +126,103 @@ def uses_of(spark: SparkSession, rows: DataFrame, pairs: DataFrame) -> DataFrame
     others = pairs.join(checked(fan), "a").select(F.col("b").alias("node"), F.col("a").alias("root"), F.pmod(F.xxhash64("b"), F.col("slots")).cast("int").alias("slot"))
     heads = fan.select(F.col("a").alias("node"), F.col("a").alias("root"), F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"))
     each = written(spark, others.unionByName(heads))
-    often = each.groupBy("node").agg(F.ceil(F.count("*") / USES).cast("int").alias("runs"))
-    one = rows.join(checked(often), "node").groupBy("node", "runs").agg(F.max_by(F.struct("doc_id", "text_hash"), F.coalesce("doc_id", F.lit(-1))).alias("of"))
-    one = written(spark, one)
-    dealt = each.join(checked(one), "node").withColumn("run", F.pmod(F.xxhash64("root", "slot"), F.col("runs")))
-    return written(spark, dealt.groupBy("node", "run", "of").agg(F.collect_list(F.struct("root", "slot")).alias("uses")).select("of.*", "uses"))
+    runs = written(spark, each.groupBy("node").agg(F.ceil(F.count("*") / USES).cast("int").alias("runs")))
+    dealt = each.join(checked(runs), "node").withColumn("run", F.pmod(F.xxhash64("root", "slot"), F.col("runs")))
+    uses = dealt.groupBy("node", "run").agg(F.collect_list(F.struct("root", "slot")).alias("uses"))
+    of = written(spark, classes.select("node", "of").join(checked(runs), "node", "left_semi"))
+    out = written(spark, uses.join(checked(of), "node").select("of.*", "uses"))
+    forget(spark, fan, each, runs, of)
+    return out
 
 
-def verified(spark: SparkSession, docs: DataFrame, rows: DataFrame, pairs: DataFrame, size: int, seed: int, num: int, den: int) -> DataFrame:
-    """(a, b, linked): partial overlaps of each part of the order, summed per pair.
+def texts_of(docs: DataFrame, ids: DataFrame, *columns: str) -> DataFrame:
+    """(text, *columns) of the documents that ``ids`` names by doc_id and text_hash."""
+    named = docs.select(F.col("doc_id").cast("long").alias("of_id"), "text")
+    ids = checked(ids)
+    return named.join(ids, named["of_id"].eqNullSafe(ids["doc_id"]) & (F.xxhash64(F.coalesce(named["text"], F.lit(""))) == ids["text_hash"])).select("text", *columns)
+
+
+def verified(spark: SparkSession, docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, seed: int, num: int, den: int) -> DataFrame:
+    """(a, b) of ``pairs`` that link: partial overlaps of each fragment of the order, summed per pair.
 
     The sets are made again from the texts and travel once, to the roots of their pairs.
     """
-    uses = uses_of(spark, rows, pairs)
-    total = uses.agg(F.sum(F.size("uses"))).first()[0] or 0
-    ids = checked(uses, total)
-    named = docs.select("doc_id", "text")
-    texts = named.join(ids, named["doc_id"].eqNullSafe(ids["doc_id"]) & (F.xxhash64(F.coalesce(named["text"], F.lit(""))) == ids["text_hash"])).select("text", "uses")
-    parts = texts.mapInArrow(lambda it: part_batches(it, size, seed), "uses array<struct<root: bigint, slot: int>>, node long, part int, n long, hashes array<long>")
+    uses = uses_of(spark, classes, pairs)
+    parts = texts_of(docs, uses, "uses").mapInArrow(lambda it: part_batches(it, size, seed), "uses array<struct<root: bigint, slot: int>>, node long, part int, n long, hashes array<long>")
     sent = parts.select(F.inline("uses"), "node", "part", "n", "hashes").repartition("root", "slot", "part")
     ordered = sent.sortWithinPartitions("root", "slot", "part", F.col("node") != F.col("root"), "node")
     partial = ordered.mapInArrow(overlap_batches, "a long, b long, n_a long, n_b long, k long")
     shared = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("k").alias("k"))
-    return shared.select("a", "b", (den * F.col("k") >= num * (F.col("n_a") + F.col("n_b") - F.col("k"))).alias("linked"))
+    out = written(spark, shared.filter(den * F.col("k") >= num * (F.col("n_a") + F.col("n_b") - F.col("k"))).select("a", "b"))
+    forget(spark, uses)
+    return out
 
 
-def sizes_allow(num: int, den: int) -> Column:
-    """Whether sets of na and nb shingles may link by their sizes."""
-    return den * F.least("na", "nb") >= num * F.greatest("na", "nb")
+def prefix_size(num: int, den: int) -> Column:
+    """n - ceil(num / den * n) + 1: the places of a set of n shingles where a link shows."""
+    return F.col("n") - F.expr(f"(n * {num} + {den - 1}) div {den}") + 1
 
 
 def may_link(num: int, den: int) -> Column:
-    """Whether sets of na and nb shingles with parities ra and rb may link.
+    """Whether sets of na and nb shingles whose first common one stands at pa and pb may link."""
+    sizes = den * F.least("na", "nb") >= num * F.greatest("na", "nb")
+    left = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    return sizes & ((den + num) * left >= num * (F.col("na") + F.col("nb")))
 
-    Sets that link differ in so many shingles at most, and in no fewer than in parities.  Of two
-    numbers of buckets the smaller one counts: a half folds onto the other by exclusive or.
-    """
-    least = F.least(F.size("ra"), F.size("rb"))
-    xor = lambda i, j: i.bitwiseXOR(j)
-    folded = [F.when(F.size(x) > least, F.zip_with(F.slice(x, F.lit(1), least), F.slice(x, least + 1, least), xor)).otherwise(F.col(x)) for x in ("ra", "rb")]
-    apart = F.aggregate(F.zip_with(*folded, xor), F.lit(0), lambda t, d: t + F.bit_count(d).cast("int"))
-    near = (F.col("na") + F.col("nb")) * (den - num) >= apart * (den + num)
-    return F.when(~sizes_allow(num, den), F.lit(False)).when(F.greatest(F.size("ra"), F.size("rb")) > 2 * least, F.lit(True)).otherwise(near)
 
+def set_classes(spark: SparkSession, docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame, int]:
+    """Rows of all documents, the classes of equal sets, and the seed of their ids."""
+    flat = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
+    for seed in range(8):
+        rows = written(spark, flat.mapInArrow(lambda it, s=seed: profile_batches(it, size, s), "doc_id long, text_hash long, n_shingles long, node long, check long"))
+        of = F.max_by(F.struct("doc_id", "text_hash"), F.coalesce("doc_id", F.lit(-1)))
+        found = rows.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("class_size"), F.min("check").alias("c0"), F.max("check").alias("c1"), F.max("n_shingles").alias("n"), of.alias("of"))
+        classes = written(spark, found)
+        if not classes.filter("c0 <> c1").limit(1).count():
+            return rows, classes, seed
+        forget(spark, rows, classes)  # two sets with one id: take other ids
+    raise RuntimeError("set ids collide under every seed")
+
+
+def prefixes(spark: SparkSession, docs: DataFrame, classes: DataFrame, size: int, seed: int, num: int, den: int) -> DataFrame:
+    """(token, node, n, pos): the shared shingles in the prefix of each set, and their places in it."""
+    share = 2 * (den - num) / den  # of texts without a partner, twice as many lone shingles as the prefix has places
+    tokens = docs.select("text").mapInArrow(lambda it: token_batches(it, size, seed, share), "token long, node long, n long")
+    held = tokens.groupBy("token").agg(F.min("node").alias("node"), F.max("node").alias("last"))
+    lone = written(spark, held.filter("node = last").groupBy("node").agg(F.count("*").alias("lone")).join(classes.select("node", "n"), "node").filter(F.col("lone") >= prefix_size(num, den)).select("node"))
+    live = written(spark, classes.join(checked(lone), "node", "left_anti").select("of.*"))
+    tokens = texts_of(docs, live).mapInArrow(lambda it: token_batches(it, size, seed), "token long, node long, n long")
+    tokens = written(spark, tokens)
+    often = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+    behind = Window.partitionBy("node", "n").orderBy(F.desc("df"), F.desc("token"))
+    placed = tokens.join(often, "token").withColumn("pos", F.col("n") - F.dense_rank().over(behind))
+    out = written(spark, placed.filter(F.col("pos") < prefix_size(num, den)).select("token", "node", "n", F.col("pos")).distinct())
+    forget(spark, lone, live, tokens)
+    return out
 
-def fits(sketch: DataFrame) -> bool:
-    """Whether the parities of ``sketch`` are few enough for a broadcast."""
-    return (sketch.agg(F.sum(8 * F.size("bits") + 32)).first()[0] or 0) <= PARITY_BYTES
+
+def star_pairs(prefix: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): each member of a token's group with the one that holds the token earliest."""
+    first = prefix.groupBy("token").agg(F.min(F.struct("pos", "node", "n")).alias("c"), F.count("*").alias("members")).filter("members > 1")
+    first = first.select("token", F.col("c.node").alias("a"), F.col("c.n").alias("na"), F.col("c.pos").alias("pa"))
+    both = prefix.toDF("token", "b", "nb", "pb").join(first, "token")
+    return both.filter((F.col("a") != F.col("b")) & may_link(num, den)).select("a", "b").distinct()
+
+
+def cross_pairs(spark: SparkSession, prefix: DataFrame, label: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): members of a token's group outside of its largest component with those of other components."""
+    own = prefix.join(checked(label), "node", "left").select("token", "node", "n", "pos", F.coalesce("label", "node").alias("label"))
+    own = written(spark, own)
+    sizes = own.groupBy("token", "label").agg(F.count("*").alias("k"))
+    mixed = sizes.groupBy("token").agg(F.max(F.struct("k", "label")).alias("top"), F.count("*").alias("labels")).filter("labels > 1")
+    mixed = written(spark, mixed.select("token", F.col("top.label").alias("main")))
+    some = own.join(checked(mixed), "token")
+    x = some.filter("label <> main").select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("label").alias("la"))
+    y = some.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("label").alias("lb"))
+    found = x.join(y, "token").filter((F.col("la") != F.col("lb")) & may_link(num, den))
+    out = written(spark, found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    forget(spark, own, mixed)
+    return out
 
 
 def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -294,67 +232,24 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = 5, num:
     shingles; component_id is the smallest doc_id that links reach.
     """
     text_session(spark)
-    flat = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
-    for seed in range(8):
-        rows = written(spark, flat.mapInArrow(lambda it, s=seed: profile_batches(it, size, num, den, s), "doc_id long, text_hash long, n_shingles long, node long, check long, bits array<long>, odd int, spare int, spare_up int"))
-        found = rows.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("class_size"), F.min("check").alias("c0"), F.max("check").alias("c1"), F.max("n_shingles").alias("n"), *[F.first(x).alias(x) for x in ("bits", "odd", "spare", "spare_up")])
-        classes = written(spark, found)
-        if not classes.filter("c0 <> c1").limit(1).count():
-            break
-        forget(spark, rows, classes)  # two sets with one id: take other ids
-    else:
-        raise RuntimeError("set ids collide under every seed")
-    text = docs.select("text")
-    sigs = text.mapInArrow(lambda it: fragment_batches(it, size, num, den, seed), "sig long, node long")
-    stars = written(spark, sigs.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(star_batches, "root long, a long, b long"))
-    pairs = written(spark, stars.groupBy("a", "b").agg(F.count("*").alias("k")))
-    sketch = classes.select("node", "n", "bits")
-    if fits(sketch):
-        sketch = F.broadcast(sketch)
-    sized = pairs.join(sketch.toDF("a", "na", "ra"), "a").join(sketch.toDF("b", "nb", "rb"), "b")
-    close = written(spark, sized.filter(may_link(num, den)).select("a", "b", "k"))
+    rows, classes, seed = set_classes(spark, docs, size)
+    prefix = prefixes(spark, docs, classes, size, seed, num, den)
 
     def links(some: DataFrame) -> DataFrame:
-        return written(spark, verified(spark, docs, rows, some, size, seed, num, den).filter("linked").select("a", "b"))
+        return verified(spark, docs, classes, some, size, seed, num, den)
 
-    # first each set with the one it shares most fragments with; then only pairs between components
-    first = written(spark, close.groupBy("b").agg(F.max_by("a", F.struct("k", "a")).alias("a")).select("a", "b"))
-    linked = links(first)
-    label = components(spark, linked)
-    la, lb = label.toDF("a", "la"), label.toDF("b", "lb")
-    labelled = close.join(checked(la), "a", "left").join(checked(lb), "b", "left").filter(F.coalesce("la", "a") != F.coalesce("lb", "b"))
-    rest = written(spark, labelled.select("a", "b").join(first, ["a", "b"], "left_anti"))
-    linked = linked.unionByName(links(rest))
+    stars = written(spark, star_pairs(prefix, num, den))
+    linked = links(stars)
     label = components(spark, linked)
-    # groups that hold several components: all pairs between these
-    own = stars.select("root", F.explode(F.array("a", "b")).alias("node")).distinct().join(checked(label), "node", "left")
-    own = written(spark, own.select("root", "node", F.coalesce("label", "node").alias("label")))
-    roots = written(spark, own.groupBy("root").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("heat")).filter("lo <> hi").select("root", "heat"))
-    if n := roots.count():
-        # a link shows in more fragments than a set has spare ones, so the largest groups may be left out
-        members = own.join(checked(roots, n), "root").join(checked(classes.select("node", "n", "odd", "spare", "spare_up")), "node")
-        odd = F.col("root").bitwiseAND(F.lit(1))
-        largest = Window.partitionBy("node", odd).orderBy(F.desc("heat"), "root")
-        members = members.withColumn("rank", F.row_number().over(largest)).filter(F.col("rank") > F.when(odd == F.col("odd"), F.col("spare")).otherwise(F.col("spare_up")))
-        members = written(spark, members.select("root", "node", "label", "n"))
-        bits = written(spark, classes.select("node", "bits").join(checked(members.select("node").distinct()), "node", "left_semi"))
-        if late := fits(bits):  # few parities: they wait where the pairs are made
-            x, y = members.toDF("root", "a", "la", "na"), members.toDF("root", "b", "lb", "nb")
-        else:
-            wide = written(spark, members.join(bits, "node").select("root", "node", "label", "n", "bits"))
-            x, y = wide.toDF("root", "a", "la", "na", "ra"), wide.toDF("root", "b", "lb", "nb", "rb")
-        more = x.join(y, "root").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & sizes_allow(num, den))
-        if late:
-            more = more.join(F.broadcast(bits.toDF("a", "ra")), "a").join(F.broadcast(bits.toDF("b", "rb")), "b")
-        more = more.filter(may_link(num, den)).select("a", "b").distinct()
-        more = written(spark, more.join(pairs, ["a", "b"], "left_anti"))
-        extra = links(more)
+    cross = cross_pairs(spark, prefix, label, num, den)
+    seen = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = written(spark, cross.join(checked(seen), ["a", "b"], "left_anti"))
+    if rest.limit(1).count():
+        extra = links(rest)
         if extra.limit(1).count():
             label = components(spark, linked.unionByName(extra))
-        forget(spark, members, more)
-    forget(spark, first, rest, own)
-    forget(spark, stars, pairs, roots)
-    labelled = written(spark, classes.join(label, "node").select("node", "label", "rep"))
+    forget(spark, prefix, stars, cross, rest)
+    labelled = written(spark, classes.join(checked(label), "node").select("node", "label", "rep"))
     least = labelled.groupBy("label").agg(F.min("rep").alias("component_id"))
     ids = written(spark, labelled.join(checked(least), "label").select("node", "component_id"))
     named = written(spark, classes.join(checked(ids), "node", "left").select("node", "class_size", F.coalesce("component_id", "rep").alias("component_id"), F.col("component_id").isNotNull().alias("linked")))
