@@ -6,10 +6,14 @@ the cross entropy.  The language that needs the fewest normalised phrases wins.
 
 The automata of all languages are one dense transition table, and texts are parsed in blocks
 that advance together, so that each step is a few numpy operations over thousands of blocks.
-A phrase ends with its block at the latest, which adds less than one phrase per block.
+Each block is first parsed as if a phrase began with it; then the parse of the block before it
+goes on into it until both begin a phrase at the same place, from where they agree, and the phrases
+up to there are exchanged.  The sum is that of one parse of the whole text.
 
-Training reads a bounded sample: the ``ROWS`` labelled rows per language with the smallest
-hashes of their ids, whole texts up to ``SYMBOLS`` symbols together.  Every text is scored whole.
+Training reads a bounded sample (arguments ``rows`` and ``symbols``): of the labelled rows per
+language with the smallest hashes of their ids those whole texts, in that order, that fit
+together; where none fits, the shortest one.  Every text is scored whole.  There is one automaton
+per distinct label, so labels should be a closed set.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; so is every text
 if nothing is labelled; ties go to the language first in code point order; repeated rows are
@@ -86,18 +90,17 @@ def suffix_automaton(text: bytes) -> list[dict[int, int]]:
     return edges
 
 
-def automaton_frame(x: pd.DataFrame) -> pd.DataFrame:
+def automaton_frame(x: pd.DataFrame, most: int) -> pd.DataFrame:
     """One language's automaton from its sample: (lang, n_symbols, n_states, edges) with edges as state, byte, state."""
     x = x.sort_values(["order", "text"])
     texts = pa.array(x["text"], pa.large_string())
     s, off = symbols(*buffers(texts))
-    parts, used = [], 0
-    for a, b in zip(off[:-1], off[1:], strict=True):
-        if used + b - a <= SYMBOLS:
-            parts += [s[a:b].tobytes(), b"\0"]
-            used += int(b - a) + 1
-    if not used:  # all texts are longer than the bound: the first one stands in, cut
-        parts, used = [s[:SYMBOLS].tobytes()], min(len(s), SYMBOLS)
+    parts, used, size = [], 0, np.diff(off)
+    alone = size.min() >= most
+    for i in [int(size.argmin())] if alone else range(len(size)):
+        if alone or used + size[i] < most:
+            parts += [s[off[i] : off[i + 1]].tobytes(), b"\0"]
+            used += int(size[i]) + 1
     edges = suffix_automaton(b"".join(parts))
     flat = np.array([(i, c, j) for i, e in enumerate(edges) for c, j in e.items()], np.int32)
     return pd.DataFrame({"lang": [x["lang"].iloc[0]], "n_symbols": [used], "n_states": [len(edges)], "edges": [flat.tobytes()]})
@@ -126,38 +129,86 @@ class Parser:
         # after a miss the symbol opens a new phrase, or is one by itself
         self.fresh = np.where(starts >= 0, starts, self.root[:, None]).astype(np.int32)
 
+    def step(self, state: np.ndarray, root: np.ndarray, fresh: np.ndarray, sym: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next state, and whether a phrase begins here: at the start, after a symbol that nothing matches, or where a match ends."""
+        nxt = self.table[state + sym]
+        miss = nxt < 0
+        return np.where(miss, fresh, nxt), miss | (state == root)
+
     def phrases(self, s: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Number of phrases of each text (rows) under each language (columns)."""
-        n, k = len(off) - 1, len(self.langs)
+        n, k, coded = len(off) - 1, len(self.langs), self.code[s]
         size = np.diff(off)
         blocks = (size + BLOCK - 1) // BLOCK
         own = np.repeat(np.arange(n), blocks)
-        if not len(own):
-            return np.zeros((n, k))
-        nth = np.arange(len(own)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-        start = off[:-1][own] + nth * BLOCK
-        length = np.minimum(size[own] - nth * BLOCK, BLOCK)
-        order = np.argsort(-length, kind="stable")
-        start, length, own = start[order], length[order], own[order]
-        coded = self.code[s]
-        alive = len(own) - np.searchsorted(length[::-1], np.arange(1, int(length[0]) + 1), "left")
-        state = np.repeat(self.root[:, None], len(own), 1)
-        count = np.zeros((k, len(own)), np.int32)
-        lanes = np.arange(k)[:, None]
-        for i in range(int(length[0])):
-            m = alive[i]
-            sym = coded[start[:m] + i]
-            nxt = self.table[state[:, :m] + sym]
-            miss = nxt < 0
-            nxt = np.where(miss, self.fresh[lanes, sym], nxt)
-            # a phrase starts at the start, after a symbol that nothing matches, and where a match ends
-            count[:, :m] += miss | (state[:, :m] == self.root[:, None])
-            state[:, :m] = nxt
         out = np.zeros((n, k))
-        for j in range(k):
-            out[:, j] = np.bincount(own, count[j], n)
+        if len(own):
+            nth = np.arange(len(own)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            start, length = off[:-1][own] + nth * BLOCK, np.minimum(size[own] - nth * BLOCK, BLOCK)
+            for j in range(k):
+                out[:, j] = np.bincount(own, self.block_phrases(j, coded, own, start, length), n)
         return out
 
+    def block_phrases(self, j: int, coded: np.ndarray, own: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """What each block adds to its text's phrases under language j."""
+        root, fresh, m = self.root[j], self.fresh[j], len(own)
+        order = np.argsort(-length, kind="stable")
+        alive = m - np.searchsorted(length[order][::-1], np.arange(1, int(length.max()) + 1), "left")
+        begins = np.zeros((BLOCK, m), bool)
+        state, first = np.full(m, root), start[order]
+        for i, a in enumerate(alive):
+            sym = coded[first[:a] + i]
+            state[:a], begins[i, :a] = self.step(state[:a], root, fresh[sym], sym)
+        back = np.argsort(order)
+        begins, final = begins[:, back], state[back]
+        count = begins.sum(0).astype(np.int64)
+        counted = np.ones(m, bool)
+        lane = np.flatnonzero(own[1:] == own[:-1])  # blocks whose parse goes on into the next one
+        agreed, state, add = self.carry(coded, begins, start, length, lane + 1, final[lane], root, fresh)
+        count[lane] += add
+        lane, state = lane[~agreed], state[~agreed]
+        reach = lane + 1
+        while len(lane):
+            # of each text, the first of these is a part of the parse; it covers whole blocks up to where it agrees
+            _, at = np.unique(own[lane], return_index=True)
+            counted[reach[at]] = False
+            covered = np.full(int(own[-1]) + 1, -1)
+            covered[own[lane[at]]] = reach[at]
+            goes = np.zeros(len(lane), bool)
+            goes[at] = (reach[at] + 1 < m) & (own[np.minimum(reach[at] + 1, m - 1)] == own[lane[at]])
+            agreed, now, add = self.carry(coded, begins, start, length, reach[goes] + 1, state[goes], root, fresh)
+            count[lane[goes]] += add
+            reach[goes] += 1
+            state[goes] = now
+            goes[goes] = ~agreed
+            covered[own[lane[goes]]] = reach[goes]
+            keep = goes | (lane > covered[own[lane]])
+            lane, reach, state = lane[keep], reach[keep], state[keep]
+        return np.where(counted, count, 0)
+
+    def carry(self, coded: np.ndarray, begins: np.ndarray, start: np.ndarray, length: np.ndarray, target: np.ndarray, state: np.ndarray, root: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Goes on from ``state`` into the block ``target``: whether the parses agree in it, the state, the phrases gained.
+
+        Where they agree, the block's own phrases up to there are taken off.
+        """
+        state, agreed = state.copy(), np.zeros(len(target), bool)
+        mine, theirs = np.zeros(len(target), np.int64), np.zeros(len(target), np.int64)
+        live = np.arange(len(target))
+        for i in range(BLOCK):
+            live = live[length[target[live]] > i]
+            if not len(live):
+                break
+            t = target[live]
+            sym = coded[start[t] + i]
+            state[live], new = self.step(state[live], root, fresh[sym], sym)
+            old = begins[i, t]
+            both = new & old
+            mine[live] += new & ~both
+            theirs[live] += old & ~both
+            agreed[live[both]] = True
+            live = live[~both]
+        return agreed, state, np.where(agreed, mine - theirs, mine)
+
     def predict(self, s: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index of the language, score) of each text."""
         if not self.langs:
@@ -182,7 +233,7 @@ def predict_batches(batches: Iterator[pa.RecordBatch], models: list) -> Iterator
             yield pa.RecordBatch.from_arrays([*batch.columns[: last - 1], pa.array(pred, pa.string()), pa.array(score)], names=[*batch.schema.names[: last - 1], "lang_pred", "score"])
 
 
-def sample(spark: SparkSession, docs: DataFrame, use: Column, rows: int = ROWS) -> DataFrame:
+def sample(spark: SparkSession, docs: DataFrame, use: Column, rows: int) -> DataFrame:
     """(lang, order, text) of at most ``rows`` labelled rows per language, by the hash of their ids."""
     order = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     labelled = docs.filter(use & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").alias("sample_id"), F.col("lang").alias("sample_lang"), order.alias("order"))
@@ -192,20 +243,21 @@ def sample(spark: SparkSession, docs: DataFrame, use: Column, rows: int = ROWS)
     return texts.filter(F.col("text").isNotNull()).select("lang", "order", "text").distinct()
 
 
-def train(spark: SparkSession, docs: DataFrame, use: Column) -> list[tuple[str, int, int, bytes]]:
+def train(spark: SparkSession, docs: DataFrame, use: Column, rows: int = ROWS, most: int = SYMBOLS) -> list[tuple[str, int, int, bytes]]:
     """(language, training symbols, states, edges) of each language; a few MB each by the sample's bounds."""
-    picked = written(spark, sample(spark, docs, use))
-    models = picked.groupBy("lang").applyInPandas(automaton_frame, "lang string, n_symbols long, n_states long, edges binary")
+    picked = written(spark, sample(spark, docs, use, rows))
+    models = picked.groupBy("lang").applyInPandas(lambda x: automaton_frame(x, most), "lang string, n_symbols long, n_states long, edges binary")
     return [(r["lang"], r["n_symbols"], r["n_states"], bytes(r["edges"])) for r in models.collect()]
 
 
-def identify(spark: SparkSession, docs: DataFrame, use: Column, keep: list[str] | None = None) -> DataFrame:
+def identify(spark: SparkSession, docs: DataFrame, use: Column, keep: list[str] | None = None, rows: int = ROWS, symbols: int = SYMBOLS) -> DataFrame:
     """``keep`` columns of every document with lang_pred and score, learning from rows where ``use`` holds.
 
-    Names that the result adds must not be among ``keep``.
+    Names that the result adds must not be among ``keep``; ``rows`` and ``symbols`` bound the training
+    sample of each language.
     """
     text_session(spark)
-    models = spark.sparkContext.broadcast(train(spark, docs, use))
+    models = spark.sparkContext.broadcast(train(spark, docs, use, rows, symbols))
     keep = ["doc_id"] if keep is None else keep
     flat = docs.select(*keep, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letter"), "text")
     types = dict(docs.dtypes)
