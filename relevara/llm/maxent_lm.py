@@ -1,21 +1,24 @@
 """Language-model scoring by a hashed maximum-entropy model.
 
-log P(word | history) = log P(class | history) + log P(word | class).  The class of a word comes
-from its last two bytes.  P(class | history) is a softmax over hashed features of the history:
+log P(word | history) = log P(class | history) + log P(word | class, history).  The class of a word
+comes from its last two bytes.  P(class | history) is a softmax over hashed features of the history:
 the last word, the last two words (n-grams), the word before the last and the one before that
-(skips).  P(word | class, history) goes down a binary tree over the leading bits of the word's hash:
-each decision is a logistic model of the same four features, hashed together with the node, on top
-of the node's log odds in the counts of the whole corpus.  The tree has about one leaf per word of
-the largest class, at most 2^``DEPTH``; words of one leaf share it in proportion to their counts plus
-one.  Words that the class has not seen have one share, the same for every history.  The table of
-the decisions grows with the number of training tokens, up to 2^``TREE_BITS`` entries.
+(skips).  P(word | class, history) is a hierarchical softmax over the candidates of the class, its
+words among the ``CANDIDATES`` most frequent ones of the corpus, and one place for all its other words:
+a Huffman tree by counts, each decision a logistic model of the same four features, hashed
+together with the node, on top of the node's log odds in the counts.  The other words of a class
+share their place in proportion to their counts plus one, with one share for the unknown.  Both
+tables grow with the number of training tokens, the softmax's up to ``BUCKETS`` rows, that of the
+decisions up to 2^``TREE_BITS`` entries.
 
 Counting covers every training document.  The softmax is trained by rounds of distributed
-gradient updates, and the tree with it: the training documents are dealt to the rounds by hash,
+gradient updates, and the trees with it: the training documents are dealt to the rounds by hash,
 each task takes gradient steps over its documents from the common weights, and the changes are
-averaged (those of the tree by the uses of each weight), block of weights by block, in two levels.
+averaged (those of the trees by the uses of each weight), block of weights by block, in two levels.
 Scoring is sparse numpy over batches: four table rows per token, four entries per decision.
 
+Words are told apart by a 64-bit hash alone.
+
 Defined cases: a null text counts as empty and scores its end alone; a null doc_id is hashed as
 the empty text; repeated rows score alike; without training documents every word is unknown;
 an empty table gives an empty result; extra columns are not read.
@@ -23,6 +26,7 @@ an empty table gives an empty result; extra columns are not read.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,16 +39,20 @@ from pyspark.sql import functions as F
 from relevara.llm.common import ship, text_session, written
 from relevara.llm.textvec import buffers, mix, pieces, word_hashes
 
-#: Classes (0: the end of a text), feature buckets, rounds of updates, tokens of a gradient step.
-CLASSES, BUCKETS, PASSES, STEP = 32, 1 << 13, 2, 1 << 15
+#: Classes (0: the end of a text), rounds of updates, tokens of a gradient step.
+CLASSES, PASSES, STEP = 32, 2, 1 << 15
+#: Least and most feature buckets of the softmax, and tokens per bucket.
+LEAST_BUCKETS, BUCKETS, TOKENS_PER_BUCKET = 1 << 13, 1 << 16, 1 << 12
+#: Words with places of their own in the trees, the most frequent ones.
+CANDIDATES = 1 << 13
 #: Words, the most frequent ones, whose counts go to every task; the counts of all others are joined.
 COMMON_WORDS = 1 << 18
 #: Weights that travel together, and the rate of a step.
 SPAN, RATE = 1 << 14, 0.5
-#: Most decisions on the way to a word, least and most bits of their table, tokens per entry, their rate.
-DEPTH, LEAST_BITS, TREE_BITS, TOKENS_PER_ENTRY, TREE_RATE = 16, 16, 22, 64, 1.0
+#: Least and most bits of the decisions' table, tokens per entry, their rate.
+LEAST_BITS, TREE_BITS, TOKENS_PER_ENTRY, TREE_RATE = 16, 22, 64, 1.0
 #: Training tasks that always run, and tokens per task beyond them.
-TASKS, TASK_TOKENS = 32, 1 << 21
+TASKS, TASK_TOKENS = 6, 1 << 23
 _NODE, _SLOT = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9FB21C651E98DF25)
 END = np.uint64(0x9E3779B97F4A7C15)
 FEATURES = 4
@@ -78,51 +86,66 @@ def features(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return np.stack([(x & mask).astype(np.int32) + i * (buckets // FEATURES) for i, x in enumerate(hashes)])
 
 
-def node_odds(cls: np.ndarray, leaf: np.ndarray, mass: np.ndarray, depth: int) -> np.ndarray:
-    """Log odds of going right at each class and node; NaN where only one side has words."""
-    heap = np.zeros((CLASSES, 2 << depth))
-    np.add.at(heap, (cls, (1 << depth) + leaf), mass)
-    for j in range(depth - 1, -1, -1):
-        heap[:, 1 << j : 2 << j] = heap[:, 2 << j : 4 << j].reshape(CLASSES, -1, 2).sum(2)
-    low, high = heap[:, 0::2], heap[:, 1::2]
-    both = (low > 0) & (high > 0)
-    both[:, 0] = False
-    return np.where(both, np.log(np.where(both, high, 1.0)) - np.log(np.where(both, low, 1.0)), np.nan).astype(np.float32).ravel()
-
-
-def decisions(words: np.ndarray, cls: np.ndarray, hashes: np.ndarray, odds: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Token, direction, odds and four table entries of each decision on the ways to the words."""
-    depth = (len(odds) // CLASSES).bit_length() - 1
-    leaf = (words >> np.uint64(64 - depth)).astype(np.int64)
-    down = np.arange(depth)
-    node = (cls.astype(np.int64) << depth)[:, None] + (1 << down) + (leaf[:, None] >> (depth - down))
-    base = odds[node]
-    free = ~np.isnan(base)
-    token = np.repeat(np.arange(len(words)), free.sum(1))
-    right = ((leaf[:, None] >> (depth - 1 - down)) & 1)[free].astype(np.float32)
-    key = (node[free].astype(np.uint64) + np.uint64(1)) * _NODE
-    key ^= key >> np.uint64(29)
-    slots = np.stack([(((h[token] ^ key) * _SLOT) >> np.uint64(64 - bits)).astype(np.int32) for h in hashes])
-    return token, right, base[free], slots
-
-
-def tree_gain(words: np.ndarray, cls: np.ndarray, hashes: np.ndarray, odds: np.ndarray, tree: np.ndarray) -> np.ndarray:
-    """What the history adds to log P(word | class) of the counts, for each token."""
-    token, right, base, slots = decisions(words, cls, hashes, odds, len(tree).bit_length() - 1)
-    sign = 1 - 2 * right  # of the exponent
-    with_history = np.clip(base + sum(tree[x] for x in slots), -60, 60)
-    gain = np.log1p(np.exp(sign * base)) - np.log1p(np.exp(sign * with_history))
-    return np.bincount(token, gain, len(words))
-
-
-def tree_step(tree: np.ndarray, used: np.ndarray, words: np.ndarray, cls: np.ndarray, hashes: np.ndarray, odds: np.ndarray) -> None:
+class Trees:
+    """The Huffman trees of all classes, as the decisions on the way to each symbol.
+
+    Symbols are the candidates, by their hashes, then the place of all other words of each class.
+    """
+
+    def __init__(self, keys: np.ndarray, cls: np.ndarray, counts: np.ndarray, rest: np.ndarray) -> None:
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        owner, mass = np.concatenate([cls[order], np.arange(CLASSES)]), np.concatenate([counts[order].astype(float), rest])
+        ways: list[list[tuple[int, bool]]] = [[] for _ in owner]
+        odds: list[float] = []
+        for c in range(CLASSES):
+            heap = [(float(mass[i]), int(i), [int(i)]) for i in np.flatnonzero(owner == c)]
+            heapq.heapify(heap)
+            while len(heap) > 1:
+                (m0, i0, low), (m1, _, high) = heapq.heappop(heap), heapq.heappop(heap)
+                for right, part in enumerate((low, high)):
+                    for i in part:
+                        ways[i].append((len(odds), bool(right)))
+                odds.append(float(np.log(m1 / m0)))
+                heapq.heappush(heap, (m0 + m1, i0, low + high))
+        self.ends = np.concatenate([[0], np.cumsum([len(w) for w in ways])]).astype(np.int64)
+        self.node = np.array([x for w in ways for x, _ in w], np.int32)
+        self.right = np.array([x for w in ways for _, x in w], np.float32)
+        self.odds = np.array(odds, np.float32)
+
+    def symbols(self, words: np.ndarray, cls: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return cls.astype(np.int64)
+        at = np.minimum(np.searchsorted(self.keys, words), len(self.keys) - 1)
+        return np.where(self.keys[at] == words, at, len(self.keys) + cls)
+
+    def decisions(self, symbols: np.ndarray, hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Token, direction, odds and four table entries of each decision on the ways to the symbols."""
+        size = self.ends[symbols + 1] - self.ends[symbols]
+        token = np.repeat(np.arange(len(symbols)), size)
+        at = np.arange(len(token)) + np.repeat(self.ends[symbols] - (np.cumsum(size) - size), size)
+        node = self.node[at]
+        key = (node.astype(np.uint64) + np.uint64(1)) * _NODE
+        key ^= key >> np.uint64(29)
+        slots = [(((h[token] ^ key) * _SLOT) >> np.uint64(64 - bits)).astype(np.int32) for h in hashes]
+        return token, self.right[at], self.odds[node], slots
+
+
+def tree_logs(trees: Trees, tree: np.ndarray, symbols: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """log P(symbol | class, history) of each token."""
+    token, right, base, slots = trees.decisions(symbols, hashes, len(tree).bit_length() - 1)
+    s = np.clip(base + sum(tree[x] for x in slots), -60, 60)
+    return -np.bincount(token, np.log1p(np.exp((1 - 2 * right) * s)), len(symbols))
+
+
+def tree_step(trees: Trees, tree: np.ndarray, used: np.ndarray, symbols: np.ndarray, hashes: np.ndarray) -> None:
     """Moves the entries that occur by TREE_RATE times their mean residual, damped for rare ones; adds up their uses."""
-    _, right, base, slots = decisions(words, cls, hashes, odds, len(tree).bit_length() - 1)
+    _, right, base, slots = trees.decisions(symbols, hashes, len(tree).bit_length() - 1)
     res = right - 1 / (1 + np.exp(-np.clip(base + sum(tree[x] for x in slots), -60, 60)))
-    at = slots.ravel()
-    n = np.bincount(at, minlength=len(tree))
-    tree += (TREE_RATE * np.bincount(at, np.tile(res, len(slots)), len(tree)) / (n + 2.0)).astype(np.float32)
-    used += n
+    at, where = np.unique(np.concatenate(slots), return_inverse=True)
+    n = np.bincount(where, minlength=len(at))
+    tree[at] += (TREE_RATE * np.bincount(where, np.tile(res, len(slots)), len(at)) / (n + 2.0)).astype(np.float32)
+    used[at] += n
 
 
 def log_softmax(weights: np.ndarray, bias: np.ndarray, f: np.ndarray) -> np.ndarray:
@@ -166,17 +189,17 @@ def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield out()
 
 
-def update_batches(batches: Iterator[pa.RecordBatch], weights: np.ndarray, bias: np.ndarray, tree: np.ndarray, odds: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(block, part, n_tokens, change) after this task's gradient steps: the softmax's, the tree's, the uses of the tree's."""
+def update_batches(batches: Iterator[pa.RecordBatch], weights: np.ndarray, bias: np.ndarray, tree: np.ndarray, trees: Trees) -> Iterator[pa.RecordBatch]:
+    """(block, part, n_tokens, change) after this task's gradient steps: the softmax's, the trees', the uses of the trees'."""
     new, grown, used, seen = weights.copy(), tree.copy(), np.zeros(len(tree), np.float32), 0
     for whole in batches:
         for batch in pieces(whole, 0):
             words, cls, off = tokens(batch.column(0))
-            h = histories(words, off)
+            h, symbols = histories(words, off), trees.symbols(words, cls)
             f = features(h, len(weights))
             for i in range(0, len(words), STEP):
                 gradient_step(new, bias, f[:, i : i + STEP], cls[i : i + STEP])
-                tree_step(grown, used, words[i : i + STEP], cls[i : i + STEP], h[:, i : i + STEP], odds)
+                tree_step(trees, grown, used, symbols[i : i + STEP], h[:, i : i + STEP])
             seen += len(words)
     if seen:
         change = np.concatenate([((new - weights).astype(np.float64) * seen).astype(np.float32).ravel(), (grown - tree) * used, used])
@@ -192,12 +215,17 @@ def summed(x: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": x["block"].iloc[:1], "part": x["part"].iloc[:1], "n": [x["n"].sum()], "change": [total.tobytes()]})
 
 
-def train(spark: SparkSession, texts: DataFrame, bias: np.ndarray, odds: np.ndarray, n_tokens: int, key: Column, passes: int = PASSES) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of softmax and tree after ``passes`` averaged updates; together they read every training text once."""
-    bits = min(TREE_BITS, max(LEAST_BITS, (n_tokens // TOKENS_PER_ENTRY).bit_length()))
-    weights, tree = np.zeros((BUCKETS, CLASSES), np.float32), np.zeros(1 << bits, np.float32)
+def power(least: int, most: int, n: int) -> int:
+    """The smallest power of two from ``least`` on that is over ``n``, at most ``most``."""
+    return min(most, max(least, 1 << n.bit_length()))
+
+
+def train(spark: SparkSession, texts: DataFrame, bias: np.ndarray, trees: Trees, n_tokens: int, key: Column, passes: int = PASSES) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of softmax and trees after ``passes`` averaged updates; together they read every training text once."""
+    weights = np.zeros((power(LEAST_BUCKETS, BUCKETS, n_tokens // TOKENS_PER_BUCKET), CLASSES), np.float32)
+    tree = np.zeros(power(1 << LEAST_BITS, 1 << TREE_BITS, n_tokens // TOKENS_PER_ENTRY), np.float32)
     for k in range(passes):
-        shared = spark.sparkContext.broadcast((weights, bias, tree, odds))
+        shared = spark.sparkContext.broadcast((weights, bias, tree, trees))
         own = texts.filter(F.pmod(key, F.lit(passes)) == k).select("text")
         schema = "block int, part int, n long, change binary"
         own = own.coalesce(max(TASKS, n_tokens // passes // TASK_TOKENS))
@@ -213,13 +241,8 @@ def train(spark: SparkSession, texts: DataFrame, bias: np.ndarray, odds: np.ndar
     return weights, tree
 
 
-def class_logs(n: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """log10 of the add-one denominator of each class: its tokens, its words, and the unknown."""
-    return np.log10(n + v + 1.0)
-
-
-def frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The words above the lowest count that at most ``most`` words exceed, sorted, and their counts."""
+def frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words above the lowest count that at most ``most`` words exceed, sorted, their counts and classes."""
     sizes = sorted(((r["n"], r["v"]) for r in counts.groupBy("n").agg(F.count("*").alias("v")).filter("n > 1").collect()), reverse=True)
     above, low = 0, None
     for n, v in sizes:
@@ -227,46 +250,44 @@ def frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
             break
         above, low = above + v, n
     if low is None:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    table = counts.filter(F.col("n") >= low).select("word", "n").toArrow()
-    keys, values = table.column(0).to_numpy().view(np.uint64), table.column(1).to_numpy()
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+    table = counts.filter(F.col("n") >= low).select("word", "n", "cls").toArrow()
+    keys, values, cls = table.column(0).to_numpy().view(np.uint64), table.column(1).to_numpy(), table.column(2).to_numpy()
     order = np.argsort(keys)
-    return keys[order], values[order]
+    return keys[order], values[order], cls[order]
 
 
-SCORED = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>, gains array<float>"
+SCORED = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>"
 
 
 def score_batches(batches: Iterator[pa.RecordBatch], model: dict) -> Iterator[pa.RecordBatch]:
-    """Per text (doc_id, held_out, text) a row of SCORED; the words whose counts are not at hand are listed in ``rare``, with what the history adds to them in ``gains``."""
-    weights, bias, denominator, keys, values, tree, odds = (model[k] for k in ("weights", "bias", "denominator", "words", "counts", "tree", "odds"))
+    """Per text (doc_id, held_out, text) a row of SCORED; the words whose counts are not at hand are listed in ``rare``."""
+    weights, bias, share, keys, values, tree, trees = (model[k] for k in ("weights", "bias", "share", "words", "counts", "tree", "trees"))
     base, uid = np.log10(float(model["n"] + model["v"] + 1)), TaskContext.get().partitionId() << 40
     for whole in batches:
         for batch in pieces(whole, 2):
             words, cls, off = tokens(batch.column(2))
-            h, n = histories(words, off), np.diff(off)
+            h, symbols, n = histories(words, off), trees.symbols(words, cls), np.diff(off)
             f = features(h, len(weights))
-            steps = range(0, len(words), STEP)
-            by_class = np.concatenate([log_softmax(weights, bias, f[:, i : i + STEP])[np.arange(len(cls[i : i + STEP])), cls[i : i + STEP]] for i in steps])
-            gain = np.concatenate([tree_gain(words[i : i + STEP], cls[i : i + STEP], h[:, i : i + STEP], odds, tree) for i in steps]) / np.log(10.0)
+            logs = np.zeros(len(words))
+            for i in range(0, len(words), STEP):
+                part = slice(i, i + STEP)
+                logs[part] = log_softmax(weights, bias, f[:, part])[np.arange(len(cls[part])), cls[part]] + tree_logs(trees, tree, symbols[part], h[:, part])
             c = np.zeros(len(words), np.int64)
             if len(keys):
                 at = np.minimum(np.searchsorted(keys, words), len(keys) - 1)
                 c = np.where(keys[at] == words, values[at], 0)
-            logs, here = np.log10(c + 1.0), c > 0
-            own = np.add.reduceat(logs, off[:-1])
-            score = np.add.reduceat(by_class / np.log(10.0) - denominator[cls] + np.where(here, gain, 0.0), off[:-1]) + own
+            own, other, here = np.log10(c + 1.0), symbols >= len(trees.keys), c > 0
+            score = np.add.reduceat(logs / np.log(10.0) + np.where(other, own - share[cls], 0.0), off[:-1])
             known = np.add.reduceat(here.astype(np.int64), off[:-1])
-            ends = np.concatenate([[0], np.cumsum(n - known)]).astype(np.int32)
-            rare = pa.ListArray.from_arrays(pa.array(ends), pa.array(words[~here].view(np.int64)))
-            gains = pa.ListArray.from_arrays(pa.array(ends), pa.array(gain[~here].astype(np.float32)))
+            rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n - known)]).astype(np.int32)), pa.array(words[~here].view(np.int64)))
             ids = np.arange(uid, uid + len(n))
             uid += len(n)
-            cols = [pa.array(ids), batch.column(0), batch.column(1), pa.array(n), pa.array(known), pa.array(own - n * base), pa.array(score.astype(float)), rare, gains]
+            cols = [pa.array(ids), batch.column(0), batch.column(1), pa.array(n), pa.array(known), pa.array(np.add.reduceat(own, off[:-1]) - n * base), pa.array(score), rare]
             yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in SCORED.split(", ")])
 
 
-def maxent_scores(spark: SparkSession, docs: DataFrame, held_out: Column, common_words: int = COMMON_WORDS) -> DataFrame:
+def maxent_scores(spark: SparkSession, docs: DataFrame, held_out: Column, common_words: int = COMMON_WORDS, candidates: int = CANDIDATES) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     ``base_score`` is the add-one unigram's log10 probability and ``score`` the model's.
@@ -279,20 +300,21 @@ def maxent_scores(spark: SparkSession, docs: DataFrame, held_out: Column, common
     per = {r["cls"]: (r["n"], r["v"]) for r in counts.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
     n, v = (np.array([per.get(c, (0, 0))[i] for c in range(CLASSES)], np.float64) for i in range(2))
     bias = np.log((n + 1) / (n.sum() + CLASSES)).astype(np.float32)
-    depth = min(DEPTH, int(max(v.max(), 1)).bit_length())
-    leaves = counts.groupBy("cls", F.shiftrightunsigned("word", 64 - depth).alias("leaf")).agg(F.sum(F.col("n") + 1).alias("mass")).toArrow()
-    odds = node_odds(*(leaves.column(k).to_numpy() for k in ("cls", "leaf", "mass")), depth)
-    weights, tree = train(spark, training, bias, odds, int(n.sum()), F.xxhash64("doc_id", F.length("text")))
-    words, known = frequent(counts, common_words)
-    model = {"weights": weights, "tree": tree, "odds": odds, "bias": bias, "denominator": class_logs(n, v), "n": int(n.sum()), "v": int(v.sum()), "words": words, "counts": known}
+    words, known, cls = frequent(counts, common_words)
+    top = np.lexsort((words, -known))[:candidates]
+    # what is left of each class: tokens plus words plus the unknown
+    rest = n + v + 1 - np.bincount(cls[top], known[top] + 1.0, CLASSES)
+    trees = Trees(words[top], cls[top], known[top], rest)
+    weights, tree = train(spark, training, bias, trees, int(n.sum()), F.xxhash64("doc_id", F.length("text")))
+    model = {"weights": weights, "tree": tree, "trees": trees, "bias": bias, "share": np.log10(rest), "n": int(n.sum()), "v": int(v.sum()), "words": words, "counts": known}
     shared = spark.sparkContext.broadcast(model)
     scored = written(spark, flat.mapInArrow(lambda it: score_batches(it, shared.value), SCORED))
     # the counts of all other words come by a join
     others = counts.filter(F.col("n") < int(known.min())) if len(known) else counts
-    rare = scored.select("uid", F.explode(F.arrays_zip("rare", "gains")).alias("r")).select("uid", F.col("r.rare").alias("word"), "r.gains").join(others.select("word", "n"), "word")
-    found = rare.groupBy("uid").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1)).alias("add"), F.sum(F.col("gains").cast("double")).alias("gain"))
+    rare = scored.select("uid", F.explode("rare").alias("word")).groupBy("uid", "word").agg(F.count("*").alias("times")).join(others.select("word", "n"), "word")
+    found = rare.groupBy("uid").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("add"))
     add = F.coalesce("add", F.lit(0.0))
-    return scored.drop("rare", "gains").join(found, "uid", "left").select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"), F.lit(model["n"]).cast("long").alias("train_tokens"), (F.col("base_score") + add).alias("base_score"), (F.col("score") + add + F.coalesce("gain", F.lit(0.0))).alias("score"))
+    return scored.drop("rare").join(found, "uid", "left").select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"), F.lit(model["n"]).cast("long").alias("train_tokens"), (F.col("base_score") + add).alias("base_score"), (F.col("score") + add).alias("score"))
 
 
 ship(__name__)

@@ -216,25 +216,51 @@ def test_mixing(spark, docs, empty):
     assert rows_of(mix(spark, empty)) == []
 
 
+def greedy_phrases(text, train):
+    i = n = 0
+    while i < len(text):
+        size = 1
+        while i + size < len(text) and text[i : i + size + 1] in train and text[i : i + size] in train:
+            size += 1
+        i, n = i + size, n + 1
+    return n
+
+
+def parser_of(train):
+    models = []
+    for k, t in enumerate(train):
+        edges = suffix_automaton(t)
+        flat = np.array([(i, c, j) for i, e in enumerate(edges) for c, j in e.items()], np.int32)
+        models.append((str(k), len(t), len(edges), flat.tobytes()))
+    return Parser(models)
+
+
 def test_suffix_automaton_and_parse():
     rnd = random.Random(2)
     for _ in range(20):
         train = ["".join(rnd.choice("abc") for _ in range(rnd.randrange(1, 60))).encode() for _ in range(2)]
-        models = []
-        for k, t in enumerate(train):
-            edges = suffix_automaton(t)
-            flat = np.array([(i, c, j) for i, e in enumerate(edges) for c, j in e.items()], np.int32)
-            models.append((str(k), len(t), len(edges), flat.tobytes()))
         text = "".join(rnd.choice("abcd") for _ in range(rnd.randrange(1, 300))).encode()
-        got = Parser(models).phrases(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0]
-        for k, t in enumerate(train):
-            i = n = 0
-            while i < len(text):
-                size = 1
-                while i + size < len(text) and text[i : i + size + 1] in t and text[i : i + size] in t:
-                    size += 1
-                i, n = i + size, n + 1
-            assert got[k] == n
+        got = parser_of(train).phrases(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0]
+        assert list(got) == [greedy_phrases(text, t) for t in train]
+
+
+def test_parse_of_long_texts_is_one_parse():
+    rnd = random.Random(4)
+    word = lambda n: "".join(rnd.choice("abcde") for _ in range(n)).encode()
+    train = [word(4000), word(3000) + b"zz" * 600]
+    texts = [train[0], train[0][500:3700], train[1][7:] + word(900), word(5000), word(700) + train[1] + train[1][100:2900] + train[0][:2000], b"z" * 2600, b"", b"y" * 1500, train[0][:512] * 4, word(513), train[1][2000:4100]]
+    off = np.cumsum([0, *map(len, texts)])
+    got = parser_of(train).phrases(np.frombuffer(b"".join(texts), np.uint8), off)
+    assert got.tolist() == [[greedy_phrases(x, t) for t in train] for x in texts]
+    assert got[0, 0] == got[1, 0] == 1
+
+
+def test_training_sample_takes_whole_texts():
+    from relevara.llm.language_id import automaton_frame
+
+    frame = lambda texts, most: automaton_frame(pd.DataFrame({"lang": "x", "order": range(len(texts)), "text": texts}), most).iloc[0]
+    assert frame(["abc", "d" * 50, "ef"], 10).n_symbols == 7
+    assert frame(["a" * 30, "b" * 20], 10).n_symbols == 21
 
 
 def test_language_id(spark, docs, empty):
@@ -296,14 +322,28 @@ def test_lm_history_tells_words_of_a_class_apart(spark, common):
     assert min(out[d] for d in range(300, 350)) > max(out[d] for d in range(350, 400)) + 5
 
 
-def test_lm_words_of_a_class_sum_to_its_share():
+def test_lm_symbols_of_a_class_sum_to_one():
     rng = np.random.default_rng(2)
-    words, cls, mass = rng.integers(0, 2**64, 300, np.uint64), rng.integers(1, maxent_lm.CLASSES, 300), rng.integers(2, 99, 300)
-    for depth in (1, 3, 9):
-        odds = maxent_lm.node_odds(cls, (words >> np.uint64(64 - depth)).astype(int), mass, depth)
-        tree, h = rng.normal(size=1 << 16).astype(np.float32), np.repeat(rng.integers(0, 2**64, (4, 1), np.uint64), 300, 1)
-        p = mass * np.exp(maxent_lm.tree_gain(words, cls, h, odds, tree))
-        assert np.allclose(np.bincount(cls, p), np.bincount(cls, mass), rtol=1e-3)
+    words, cls, counts, rest = rng.integers(0, 2**64, 300, np.uint64), rng.integers(1, maxent_lm.CLASSES, 300), rng.integers(1, 999, 300), rng.integers(1, 99, maxent_lm.CLASSES).astype(float)
+    trees = maxent_lm.Trees(words, cls, counts, rest)
+    symbols = np.concatenate([trees.symbols(words, cls), trees.symbols(np.arange(maxent_lm.CLASSES, dtype=np.uint64), np.arange(maxent_lm.CLASSES))])
+    owner, mass = np.concatenate([cls, np.arange(maxent_lm.CLASSES)]), np.concatenate([counts, rest])
+    h = np.repeat(rng.integers(0, 2**64, (4, 1), np.uint64), len(symbols), 1)
+    p = np.exp(maxent_lm.tree_logs(trees, rng.normal(size=1 << 16).astype(np.float32), symbols, h))
+    assert len(set(symbols)) == len(symbols) and np.allclose(np.bincount(owner, p), 1, rtol=1e-3)
+    flat = np.exp(maxent_lm.tree_logs(trees, np.zeros(1 << 16, np.float32), symbols, h))
+    assert np.allclose(flat, mass / np.bincount(owner, mass)[owner], rtol=1e-3)
+
+
+@pytest.mark.parametrize("candidates", [0, 3, 1 << 13])
+def test_lm_probabilities_of_all_words_sum_to_one(spark, candidates):
+    """Whatever the candidates, the known words and one unknown of each class make up the whole after any history."""
+    rnd = random.Random(8)
+    vocabulary = [f"w{i}{rnd.choice('abc')}{rnd.choice('xy')}" for i in range(30)]
+    train = [(d, " ".join(rnd.choices(vocabulary, k=20))) for d in range(60)]
+    df = spark.createDataFrame([*train, *((1000 + i, w) for i, w in enumerate(vocabulary))], "doc_id long, text string")
+    out = {r.doc_id: r.score for r in maxent_lm.maxent_scores(spark, df, F.col("doc_id") >= 1000, candidates=candidates).collect()}
+    assert 0 < sum(10 ** out[1000 + i] for i in range(30)) < 1
 
 
 def test_exact_top_k(spark):
