@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relevara.llm.common import drop_rows, written
+from relevara.llm.common import written
 from relevara.llm.exact_dedup import exact_dedup, without_copies
 from relevara.llm.language_id import identify
 from relevara.llm.mixing import mix, remixed
@@ -21,17 +21,18 @@ from relevara.llm.queries import vocabulary
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that have no language: a null text, or no letter.
+    """Without the documents that have no language, a null text or no letter; a null ``lang`` becomes the language found.
 
     The languages are learned from the labels in ``docs``; without any label all texts with a
-    letter stay.
+    letter stay as they are.
     """
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("has_letter"))
-    found = written(spark, identify(spark, named, F.lit(True), ["doc_id", "text_hash", "has_letter"]))
-    rejected = F.col("lang_pred") == "und"
-    if not found.filter(~rejected).limit(1).count():
-        rejected = ~F.col("has_letter")
-    return drop_rows(spark, docs, found.filter(rejected).select("doc_id", "text_hash", F.lit(0).alias("n_kept")).distinct())
+    has_letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    if not docs.filter(F.col("lang").isNotNull() & has_letter).limit(1).count():
+        return docs.filter(has_letter)
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row")
+    found = identify(spark, docs.select(row, "doc_id", "lang", "text"), F.lit(True), ["row"]).filter("lang_pred <> 'und'")
+    col = lambda i, c: F.coalesce(F.col(f"row.c{i}"), F.col("lang_pred")) if c == "lang" else F.col(f"row.c{i}")
+    return found.select(*[col(i, c).alias(c) for i, c in enumerate(docs.columns)])
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
