@@ -41,8 +41,33 @@ def op3_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *count, F.sha2(span_text(F.col("base")), 256).alias("base_sha256"), span_text(F.col("all")).alias("spans"))
 
 
+#: What the answers of a conversation are as a tool.
+ANSWER_TOOL = '{"tools":[{"name":"answer","parameters":{"required":["question","n_chars"],"properties":{"question":{"type":"string"},"n_chars":{"type":"integer"}}}}]}'
+
+
+def as_tool_calls(conversations: DataFrame) -> DataFrame:
+    """Conversations with their exchanges as tool traffic, turns at every fourth number.
+
+    The first turn is preceded by the tool's declaration; each turn of the user is followed by a call whose arguments
+    come from its text and which builds on the call of the exchange before; each turn of the assistant
+    is preceded by the result of the turn before it.  Turns with JSON of their own stay as they are.
+    """
+    turn, text = F.col("turn").cast("long"), F.coalesce("text", F.lit(""))
+    name = lambda t: F.concat(F.lit("c"), t.cast("string"))
+    own = conversations.select("conv_id", (turn * 4 + 2).alias("turn"), F.col("role").cast("string").alias("role"), "text")
+    args = F.struct(text.alias("question"), F.length(text).alias("n_chars"))
+    call = F.struct(F.array(F.struct(name(turn).alias("id"), F.lit("answer").alias("name"), args.alias("arguments"), F.array(name(turn - 2)).alias("after"))).alias("tool_calls"))
+    result = F.struct(name(turn - 1).alias("tool_call_id"), text.alias("content"))
+    asked, answered = conversations.filter(F.col("role") == "user"), conversations.filter(F.col("role") == "assistant")
+    told = conversations.filter(turn == 0).select("conv_id", F.lit(0).cast("long").alias("turn"), F.lit("system").alias("role"), F.lit(ANSWER_TOOL).alias("text"))
+    calls = asked.select("conv_id", (turn * 4 + 3).alias("turn"), F.lit("assistant").alias("role"), F.to_json(call).alias("text"))
+    results = answered.select("conv_id", (turn * 4 + 1).alias("turn"), F.lit("tool").alias("role"), F.to_json(result).alias("text"))
+    return own.unionByName(told).unionByName(calls).unionByName(results)
+
+
 def op4_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linked_chats(spark, spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    """All conversations, their exchanges as calls of a declared tool with their results."""
+    return linked_chats(spark, as_tool_calls(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
