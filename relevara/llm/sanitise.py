@@ -37,6 +37,8 @@ MIN_CONTEXTS, MIN_SHARE, MIN_BITS = 3, 0.5, 4.0
 REMOVE_SHARE = 0.95
 #: Shortest term.
 TERM_CHARS = 4
+#: Matches whose places are found together.
+BLOCK = 256
 
 #: Private-use characters that stand for a dot between labels, a separator between digits, and themselves.
 DOT, JOINT, OTHER = "\ue000", "\ue001", "\ue002"
@@ -52,11 +54,26 @@ WORD = r"[^\x20\x09-\x0D]++"
 SPAN = "struct<start:int,kind:int,end:int,value:string>"
 
 
+def once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def located(text: Column, pattern: str, keep: Callable[[Column], Column] = lambda _: F.lit(True)) -> Column:
     """array<struct<start, end, value>> of all matches, leftmost and non-overlapping, whose value ``keep`` takes, in code points."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+    pairs = F.filter(F.arrays_zip(gaps.alias("gap"), found.alias("value")), lambda p: p["value"].isNotNull())
+    none, spans = F.array().cast("array<int>"), F.array().cast("array<struct<start:int,end:int,value:string>>")
+
+    def cut(all_: Column) -> Column:  # an array that grows by one is copied each time, so only arrays of BLOCK places grow
+        many = F.when(F.size(all_) > 0, F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / BLOCK).cast("int"))).otherwise(none)
+        return F.transform(many, lambda i: F.slice(all_, i * BLOCK + 1, F.lit(BLOCK)))
+
+    def starts(blocks: Column) -> Column:
+        sizes = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda n, p: n + F.length(p["gap"]) + F.length(p["value"])))
+        grown = F.struct(F.lit(0).alias("at"), none.alias("out"))
+        return F.aggregate(sizes, grown, lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
 
     def step(s: Column, p: Column) -> Column:
         start = s["at"] + F.length(p["gap"])
@@ -64,8 +81,10 @@ def located(text: Column, pattern: str, keep: Callable[[Column], Column] = lambd
         more = F.concat(s["out"], F.array(F.struct(start.alias("start"), end.alias("end"), p["value"].alias("value"))))
         return F.struct(end.alias("at"), F.when(keep(p["value"]), more).otherwise(s["out"]).alias("out"))
 
-    pairs = F.filter(F.arrays_zip(gaps.alias("gap"), found.alias("value")), lambda p: p["value"].isNotNull())
-    return F.aggregate(pairs, zero, step, lambda s: s["out"])
+    def placed(blocks: Column) -> Column:
+        return F.flatten(F.zip_with(blocks, starts(blocks), lambda b, at: F.aggregate(b, F.struct(at.alias("at"), spans.alias("out")), step, lambda s: s["out"])))
+
+    return once(pairs, lambda p: once(cut(p), placed))
 
 
 def luhn(digits: Column) -> Column:
