@@ -3,7 +3,7 @@
 Vectors become integers, floor(scale * x).  They are sorted by descending length and cut into
 blocks.  The first block gives each query a first threshold, the k-th best score so far; by
 Cauchy-Schwarz, only blocks whose longest vector times the query's length reaches it can matter,
-and these are a prefix of the blocks.  Within a block the vectors are rotated by the singular
+and these are a prefix of the blocks; thresholds rise with what a task finds.  Within a block the vectors are rotated by the singular
 vectors of all data, most of the product then lies in the leading coordinates, and a candidate
 is dropped once its partial sum plus the product of both remaining lengths stays below the
 threshold.  What is left is scored exactly in integers.
@@ -13,7 +13,8 @@ the block number, so nothing is broadcast that grows with the data.
 
 Defined cases: a vector that is null or has a null or non-finite component takes no part, nor
 does a null id; shorter vectors count as filled up with zeros; an empty vector scores 0; a row
-repeated whole is a candidate each time and asks once, and a query excludes the rows of its own id; ties go to the
+repeated whole is a candidate each time and asks once, and a query excludes the rows of its own id; rows of
+one id with other vectors ask together, the best of all their scores count; ties go to the
 smaller id; scores beyond 64 bits are cut to that range; an empty table gives an empty result.
 """
 
@@ -31,8 +32,8 @@ from relevara.llm.common import ship, written
 
 #: Vectors and queries of a block.
 BLOCK, QUERIES = 1024, 256
-#: Leading coordinates of the first partial sum.
-LEAD = 4
+#: Leading coordinates of the first partial sum, and the share of pairs from which on single ones are summed.
+LEAD, SPARSE = 4, 0.05
 #: Components and products below this are exact in doubles.
 EXACT = float(2**52)
 
@@ -95,43 +96,60 @@ def best(q_ids: np.ndarray, v_ids: np.ndarray, scores: np.ndarray, k: int) -> np
     return order[rank < k]
 
 
-def search_block(q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, v_ids: np.ndarray, x: np.ndarray, rotation: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, vector, score) of the k best of a block for each query, where they can reach its threshold."""
-    qr, xr = q @ rotation, x @ rotation
-    slack = 1e-9 * np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(x, axis=1)) + 1e-6
-    bound = np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(x, axis=1)) + slack
-    alive = ~(bound < floor[:, None]) & (q_ids[:, None] != v_ids[None, :])
-    rows, cols = np.nonzero(alive)
-    at, dim = 0, rotation.shape[0]
-    partial = np.zeros(len(rows))
-    for to in (LEAD, dim // 4, dim // 2):
-        if to <= at or not len(rows):
-            continue
-        step = qr[:, at:to] @ xr[:, at:to].T
-        partial += step[rows, cols]
-        rest = np.outer(np.linalg.norm(qr[:, to:], axis=1), np.linalg.norm(xr[:, to:], axis=1)) + slack
-        keep = ~(partial + rest[rows, cols] < floor[rows])  # so stays what overflows
-        rows, cols, partial, at = rows[keep], cols[keep], partial[keep], to
+def search_block(q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, v_ids: np.ndarray, x: np.ndarray, rotation: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(query, vector, score) of the k best of a block for each query, where they reach its threshold, and how many pairs were scored."""
+    qr, xr, dim = q @ rotation, x @ rotation, rotation.shape[0]
+    lengths = np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(x, axis=1))
+    slack = 1e-9 * lengths + 1e-6
+    alive = ~(lengths + slack < floor[:, None]) & (q_ids[:, None] != v_ids[None, :])
+    # sums over all pairs, as products of matrices, while many are left; then over single pairs
+    rows, cols, partial, at = None, None, np.zeros(alive.shape), 0
+    for to in sorted({min(LEAD, dim), dim // 4, dim // 2, dim * 3 // 4, dim * 7 // 8, dim} - {0}):
+        rest_q, rest_x = np.linalg.norm(qr[:, to:], axis=1), np.linalg.norm(xr[:, to:], axis=1)
+        if rows is None:
+            partial += qr[:, at:to] @ xr[:, at:to].T
+            alive &= ~(partial + np.outer(rest_q, rest_x) + slack < floor[:, None])  # so stays what overflows
+            if alive.mean() < SPARSE or to == dim:
+                rows, cols = np.nonzero(alive)
+                partial = partial[rows, cols]
+        else:
+            partial += np.einsum("ij,ij->i", qr[rows, at:to], xr[cols, at:to])
+            keep = ~(partial + rest_q[rows] * rest_x[cols] + slack[rows, cols] < floor[rows])
+            rows, cols, partial = rows[keep], cols[keep], partial[keep]
+        at = to
     found: list[tuple] = []
     for i in range(0, len(rows), 1 << 16):
         r, c = rows[i : i + (1 << 16)], cols[i : i + (1 << 16)]
-        found.append((q_ids[r], v_ids[c], exact_scores(q[r], x[c])))
+        s = exact_scores(q[r], x[c])
+        reach = ~(s < floor[r])
+        found.append((q_ids[r][reach], v_ids[c][reach], s[reach]))
     if not found:
-        return (np.zeros(0, np.int64),) * 3
+        return (*(np.zeros(0, np.int64),) * 3, 0)
     qi, vi, s = (np.concatenate(y) for y in zip(*found, strict=True))
     use = best(qi, vi, s, k)
-    return qi[use], vi[use], s[use]
+    return qi[use], vi[use], s[use], len(rows)
 
 
 def search_batches(batches: Iterator[pa.RecordBatch], rotation: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
-    """Rows that hold a block of queries with thresholds and a block of vectors."""
+    """Rows that hold a block of queries with thresholds and a block of vectors.
+
+    A query's threshold rises with the scores that this task has found for it.
+    """
     dim = rotation.shape[0]
+    known: dict[int, np.ndarray] = {}
     for b in batches:
         cols = [b.column(c).to_pylist() for c in ("q_ids", "floors", "q_data", "ids", "data")]
         for q_ids, floors, q_data, ids, data in zip(*cols, strict=True):
             q, x = (np.frombuffer(d, np.float64).reshape(-1, dim) for d in (q_data, data))
             floor = np.array([-np.inf if f is None else f for f in floors])
-            out = search_block(np.array(q_ids), q, floor, np.array(ids), x, rotation, k)
+            seen = [known.get(i) for i in q_ids]
+            floor = np.maximum(floor, [-np.inf if s is None or len(s) < k else float(s[0]) for s in seen])
+            *out, _ = search_block(np.array(q_ids), q, floor, np.array(ids), x, rotation, k)
+            if len(set(q_ids)) == len(q_ids):  # one id, one vector
+                ends = np.flatnonzero(np.concatenate([out[0][1:] != out[0][:-1], [True]])) + 1 if len(out[0]) else []
+                for i, j in zip([0, *ends], ends, strict=False):
+                    qid = int(out[0][i])
+                    known[qid] = np.sort(np.concatenate([known.get(qid, out[2][:0]), out[2][i:j]]))[-k:]
             yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], names=["query_id", "vec_id", "score"])
 
 
@@ -209,9 +227,4 @@ def norm_sorted_search(spark: SparkSession, vectors: DataFrame, queries: Column,
     return final.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def add_grams(g):
-    total = np.sum([np.frombuffer(b, np.float64) for b in g["gram"]], axis=0)
-    return g.head(1).assign(gram=[total.tobytes()])
-
-
 ship(__name__)
