@@ -148,7 +148,7 @@ def gradient_batches(batches: Iterator[pa.RecordBatch], weights: np.ndarray) ->
 
 
 def added(x: pd.DataFrame) -> pd.DataFrame:
-    total = np.sum([np.frombuffer(g, np.float64) for g in x["grad"]], axis=0)
+    total = np.sum([np.frombuffer(g, np.float64) for g in sorted(x["grad"])], axis=0)  # the same sum whatever the order of rows
     return pd.DataFrame({"n": [x["n"].sum()], "grad": [total.tobytes()]})
 
 
@@ -175,7 +175,7 @@ def quality_scores(spark: SparkSession, docs: DataFrame, fit_rows: int = FIT_ROW
         # the sample: hashes below the bound that about fit_rows rows keep
         bound = rows.filter("pattern >= 0").selectExpr(f"percentile_approx(order, {min(1.0, fit_rows / n.sum())}, 10000)").first()[0]
         chosen = rows.filter((F.col("pattern") >= 0) & (F.col("order") <= bound)).dropDuplicates(["order"]).join(F.broadcast(labels), "pattern").select(F.col("order").alias("o"), "label")
-        texts = written(spark, flat.join(F.broadcast(chosen), F.col("order") == F.col("o")).select("label", "text").repartition(6))
+        texts = written(spark, flat.join(F.broadcast(chosen), F.col("order") == F.col("o")).select("o", "label", "text").repartition(6, "o").sortWithinPartitions("o").select("label", "text"))
         weights[-1] = np.log(prior / (1 - prior))
         for _ in range(PASSES):
             shared = spark.sparkContext.broadcast(weights)

@@ -362,6 +362,23 @@ def test_exact_top_k(spark):
     assert rows_of(norm_sorted_search(spark, df.limit(0), F.col("vec_id") % 100 == 0)) == []
 
 
+def test_top_k_scores_few_pairs_of_clustered_vectors():
+    from relevara.llm.inner_product import search_block
+
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 64))
+    x = np.floor(1024 * (centres[rng.integers(0, 40, 1024)] + 0.05 * rng.normal(size=(1024, 64))))
+    q, ids = x[:50], np.arange(1024)
+    rotation = np.linalg.eigh(x.T @ x)[1][:, ::-1]
+    scores = q @ x.T
+    scores[np.arange(50), np.arange(50)] = -np.inf
+    floor = np.sort(scores, 1)[:, -10]
+    qi, vi, s, n = search_block(ids[:50], q, floor, ids, x, rotation, 10)
+    assert n < 0.1 * 50 * 1024
+    want = [(i, j, scores[i, j]) for i in range(50) for j in np.lexsort((ids, -scores[i]))[:10]]
+    assert sorted(zip(qi, vi, s, strict=True)) == sorted(want)
+
+
 def luhn(d):
     return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
 
@@ -442,6 +459,69 @@ def test_quality(spark, docs, empty):
     assert rows_of(quality_scores(spark, empty)) == []
 
 
+def plain_measures(text):
+    b = (text or "").encode()
+    letters, capitals = sum(chr(c).islower() and c < 128 or c > 127 for c in b), sum(chr(c).isupper() and c < 128 for c in b)
+    words = low_words(text)
+    size, total = max(sum(c not in b" \t\n\x0b\x0c\r" for c in b), 1), max(len(words), 1)
+    symbols, ends = sum(chr(c) in "!\"#$%&*+/:;<=>@[\\]^_`{|}~" for c in b), b.count(b".") + b.count(b"?")
+    every = letters + capitals
+    return [every / size, symbols / size, capitals / max(every, 1), sum(48 <= c < 58 for c in b) / size, size / total, min(1.0, len(set(words)) / max(1.0, total**0.85)), ends / total, float(len(words))]
+
+
+def plain_votes(text):
+    out = []
+    for x, (a, b, c, d) in zip(plain_measures(text), quality.HEURISTICS.values(), strict=True):
+        out.append(0 if x < a or x > d else 1 if b <= x <= c else 2)
+    return tuple(out)
+
+
+def test_quality_against_a_plain_version(spark, docs, monkeypatch):
+    """Votes, posteriors and scores, each by plain loops; a second run gives the same scores."""
+    sent, posted, broadcast, fit = [], [], type(spark.sparkContext).broadcast, quality.accuracies
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, x: sent.append(x) or broadcast(self, x))
+    monkeypatch.setattr(quality, "accuracies", lambda patterns, n: posted.append((patterns, n, fit(patterns, n))) or posted[-1][2])
+    long = spark.createDataFrame([(900, "word " * 60_000 + "End.", "en", "a", 0, "x", 1), (901, "A" * 200_000, "en", "a", 0, "x", 1)], SCHEMA)
+    table = docs.union(long)
+    got = quality_scores(spark, table).collect()
+    rows = table.collect()
+    patterns, n, (post, acc, prior) = posted[0]
+    counts = Counter(sum(v * 3**j for j, v in enumerate(plain_votes(r.text))) for r in rows if low_words(r.text))
+    assert dict(zip(patterns.tolist(), n.astype(int).tolist(), strict=True)) == counts
+    # one more round of expectation and maximisation by loops leaves the posteriors where they are
+    v = {p: [p // 3**j % 3 for j in range(8)] for p in patterns.tolist()}
+    for p, have in zip(patterns.tolist(), post, strict=True):
+        up, down = math.log(prior), math.log(1 - prior)
+        for j, x in enumerate(v[p]):
+            if x < 2:
+                up += math.log(acc[1][j] if x else 1 - acc[1][j])
+                down += math.log(1 - acc[0][j] if x else acc[0][j])
+        assert abs(1 / (1 + math.exp(down - up)) - have) < 1e-9
+    for c in (0, 1):
+        for j in range(8):
+            mass = {p: (q if c else 1 - q) * counts[p] for p, q in zip(patterns.tolist(), post, strict=True)}
+            right, all_ = sum(m for p, m in mass.items() if v[p][j] == c), sum(m for p, m in mass.items() if v[p][j] < 2)
+            assert abs(min(0.98, max(0.05, (right + 2) / (all_ + 3))) - acc[c][j]) < 0.02
+    weights = [x for x in sent if isinstance(x, np.ndarray)][-1]
+    half = quality.BUCKETS - 512
+    for r in got:
+        text = {(x.doc_id): x.text for x in rows if x.doc_id is not None}.get(r.doc_id) if r.doc_id is not None else None
+        words = low_words(text)
+        if r.doc_id is None or not words or r.doc_id > 60:
+            continue
+        z = weights[-1]
+        for w, k in Counter(words).items():
+            h = int(quality.word_hashes(*quality.buffers(quality.pa.array([w])))[0][0])
+            z += weights[h % half] * k / len(words)
+        for j, (x, (_, _, _, hi)) in enumerate(zip(plain_measures(text), quality.HEURISTICS.values(), strict=True)):
+            edges = np.linspace(0, 1, 15)[1:] if hi <= 1.1 else np.geomspace(1, max(2.0, min(hi, 1e5)), 14)
+            band = sum(math.sqrt(e) < math.sqrt(x) for e in edges) if edges[-1] <= 1.1 else sum(e < x for e in edges)
+            z += 0.25 * weights[half + j * 32 + band]
+        assert abs(r.score - 1 / (1 + math.exp(-max(-30, min(30, z))))) < 1e-9
+    again = quality_scores(spark, table.repartition(3)).collect()
+    assert sorted((r.doc_id or -1, r.score) for r in again) == sorted((r.doc_id or -1, r.score) for r in got)
+
+
 def test_quality_ranks_labelled_documents(spark):
     data = DATA.replace("0.001", "0.01")
     out = queries.op1_quality_classifier(spark, data).toPandas()
