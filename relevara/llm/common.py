@@ -10,9 +10,12 @@ from collections.abc import Sequence
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
 #: Rows that a side may have to be broadcast; beyond it the join shuffles both sides.
 BROADCAST_ROWS = 200_000
+#: Bytes that it may have.
+BROADCAST_BYTES = 16 << 20
 
 
 def ship(module: str) -> None:
@@ -28,9 +31,11 @@ def text_session(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see; a temporary one only where the session names none (tests)."""
+    """The folder that all executors see; a temporary one only where a session on a local master names none (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         at = "file://" + tempfile.mkdtemp(prefix="relevara-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -52,10 +57,25 @@ def forget(spark: SparkSession, *tables: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def checked(small: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``small`` with a broadcast hint if it has at most ``limit`` rows (counted here unless given)."""
+def width(kind: DataType) -> int | None:
+    """Bytes of a value of fixed size; None if sizes differ."""
+    if isinstance(kind, StructType):
+        parts = [width(f.dataType) for f in kind.fields]
+        return None if None in parts else 8 + sum(parts)
+    return None if isinstance(kind, (ArrayType, MapType, StringType, BinaryType)) else 8
+
+
+def checked(small: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``small`` with a broadcast hint if it has at most ``limit`` rows (counted here unless given) and ``most`` bytes."""
     n = rows if rows is not None else small.limit(limit + 1).count()
-    return F.broadcast(small) if n <= limit else small
+    if n > limit:
+        return small
+    size = width(small.schema)
+    if size is None:  # as JSON, which is longer than the values
+        size = small.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0] or 0
+    else:
+        size *= n
+    return F.broadcast(small) if size <= most else small
 
 
 def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
