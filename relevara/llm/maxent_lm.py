@@ -142,10 +142,10 @@ def tree_step(trees: Trees, tree: np.ndarray, used: np.ndarray, symbols: np.ndar
     """Moves the entries that occur by TREE_RATE times their mean residual, damped for rare ones; adds up their uses."""
     _, right, base, slots = trees.decisions(symbols, hashes, len(tree).bit_length() - 1)
     res = right - 1 / (1 + np.exp(-np.clip(base + sum(tree[x] for x in slots), -60, 60)))
-    at, where = np.unique(np.concatenate(slots), return_inverse=True)
-    n = np.bincount(where, minlength=len(at))
-    tree[at] += (TREE_RATE * np.bincount(where, np.tile(res, len(slots)), len(at)) / (n + 2.0)).astype(np.float32)
-    used[at] += n
+    at, n = np.concatenate(slots), np.zeros(len(tree), np.float32)
+    np.add.at(n, at, np.float32(1))
+    np.add.at(tree, at, np.tile(np.float32(TREE_RATE) * res.astype(np.float32), len(slots)) / (n[at] + 2))
+    used += n
 
 
 def log_softmax(weights: np.ndarray, bias: np.ndarray, f: np.ndarray) -> np.ndarray:
@@ -159,15 +159,17 @@ def log_softmax(weights: np.ndarray, bias: np.ndarray, f: np.ndarray) -> np.ndar
 
 def gradient_step(weights: np.ndarray, bias: np.ndarray, f: np.ndarray, cls: np.ndarray) -> None:
     """Moves the weights of the features that occur by RATE times their mean residual, damped for rare ones."""
-    res = -np.exp(log_softmax(weights, bias, f))
+    res = bias + weights[f[0]]
+    for x in f[1:]:
+        res += weights[x]
+    res -= res.max(1, keepdims=True)
+    np.exp(res, out=res)
+    res /= -res.sum(1, keepdims=True)
     res[np.arange(len(cls)), cls] += 1
+    flat, columns = weights.reshape(-1), np.arange(CLASSES, dtype=np.int32)
     for x in f:
-        order = np.argsort(x, kind="stable")
-        seen = x[order]
-        at = np.flatnonzero(np.concatenate([[True], seen[1:] != seen[:-1]]))
-        total = np.add.reduceat(res[order], at)
-        n = np.diff(np.append(at, len(seen)))
-        weights[seen[at]] += (RATE * total / (n + 2.0)[:, None]).astype(np.float32)
+        each = res * (RATE / (np.bincount(x, minlength=len(weights))[x] + 2.0)).astype(np.float32)[:, None]
+        np.add.at(flat, (x[:, None] * np.int32(CLASSES) + columns).ravel(), each.ravel())
 
 
 def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
