@@ -7,9 +7,12 @@ import time
 
 from pyspark.sql import SparkSession
 
-from relevara.plans.queries import QUERIES
+from relevara.plans import catalogue, judging
+from relevara.plans import queries as core
 
-HEADLINE = ("a03_pooled_ndcg", "a08_cells", "a15_aggregates", "a28_metrics_by_label_set", "a25_kappa", "j08_collisions", "w04_first_seen", "w05_holm", "a19_median_fill", "p13_strip_html", "p28_discount", "t01_bm25_top30", "c01_audit_class")
+QUERIES = core.QUERIES | catalogue.QUERIES | judging.QUERIES
+
+HEADLINE = ("a03_pooled_ndcg", "a08_cells", "a15_aggregates", "a28_metrics_by_label_set", "a25_kappa", "j08_collisions", "w04_first_seen", "w05_holm", "a19_median_fill", "p13_strip_html", "p28_discount", "t01_bm25_top30", "c01_audit_class", "f02_upload_items", "w10_chunks")
 
 
 def main() -> None:

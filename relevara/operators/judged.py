@@ -61,10 +61,11 @@ def pool(hits: DataFrame) -> DataFrame:
 
 
 def ideal(hits: DataFrame, ks: tuple[int, ...] = (10, 20)) -> DataFrame:
-    """IDCG of each query from its pool, in fixed-point units."""
+    """IDCG of each query from its pool, in fixed-point units, and the number of its Exact products: one pass over the pool."""
     order = Window.partitionBy("query_id").orderBy(F.desc("gain_code"), "norm_id")
-    best = pool(hits).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= max(ks))
-    return best.groupBy("query_id").agg(*[F.sum(F.when(F.col("r") <= k, F.col("gain_code") * discount(F.col("r"))).otherwise(0)).cast("long").alias(f"idcg{k}") for k in ks])
+    best = pool(hits).withColumn("r", F.row_number().over(order))
+    at = lambda k: F.when(F.col("r") <= k, F.col("gain_code") * discount(F.least(F.col("r"), F.lit(len(DISCOUNTS))))).otherwise(0)
+    return best.groupBy("query_id").agg(*[F.sum(at(k)).cast("long").alias(f"idcg{k}") for k in ks], F.count_if(F.col("gain_code") == 100).alias("n_exact"))
 
 
 def exact_pool(hits: DataFrame) -> DataFrame:

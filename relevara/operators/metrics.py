@@ -8,12 +8,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from relevara.operators.judged import discount, exact_pool, grid, ideal, judged_hit
+from relevara.operators.judged import discount, grid, ideal, judged_hit
 
 
 def query_engine(spark: SparkSession, sf_dir: str, hits: DataFrame | None = None) -> DataFrame:
     """One row per query and engine with all per-query counts and sums: a single pass over the hits."""
     hits = judged_hit(spark, sf_dir) if hits is None else hits
+    # the first place of each product in a list carries it in the counts of distinct products
+    hits = hits.withColumn("first", F.row_number().over(Window.partitionBy("query_id", "engine", "norm_id").orderBy("rank")) == 1)
     at = lambda k, x: F.sum(F.when(F.col("rank") <= k, x).otherwise(0)).cast("long")
     one = F.lit(1)
     own = hits.groupBy("query_id", "engine").agg(
@@ -24,10 +26,10 @@ def query_engine(spark: SparkSession, sf_dir: str, hits: DataFrame | None = None
         *[at(k, one).alias(f"n{k}") for k in (10, 20)],
         *[at(k, F.col("gain_code")).alias(f"gain{k}") for k in (10, 20)],
         *[at(k, (F.col("gain_code") == 0).cast("int")).alias(f"junk{k}") for k in (10, 20)],
-        *[F.countDistinct(F.when((F.col("rank") <= k) & (F.col("gain_code") == 100), F.col("norm_id"))).alias(f"exact{k}") for k in (10, 20)],
+        *[F.count_if((F.col("rank") <= k) & (F.col("gain_code") == 100) & F.col("first")).alias(f"exact{k}") for k in (10, 20)],
     )
     full = grid(spark, sf_dir).join(own, ["query_id", "engine"], "left").na.fill(0)
-    return full.join(ideal(hits), "query_id", "left").join(exact_pool(hits), "query_id", "left").na.fill(0, ["idcg10", "idcg20", "n_exact"])
+    return full.join(ideal(hits), "query_id", "left").na.fill(0, ["idcg10", "idcg20", "n_exact"])
 
 
 def mean(x: Column) -> Column:
@@ -39,7 +41,8 @@ def ndcg(k: int) -> Column:
 
 
 def precision(k: int) -> Column:
-    return F.when(F.col(f"n{k}") > 0, F.col(f"gain{k}") / (F.col(f"n{k}") * 100)).otherwise(0.0)
+    """Mean gain of the returned top k, stored with four decimals."""
+    return F.when(F.col(f"n{k}") > 0, F.expr(f"(200 * gain{k} + n{k}) div (2 * n{k})") / 10000).otherwise(0.0)
 
 
 def recall(k: int) -> Column:

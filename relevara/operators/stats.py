@@ -1,34 +1,82 @@
-"""Paired bootstrap, Holm's step-down, average-tie ranks and Spearman's correlation."""
+"""Paired bootstrap, Holm's step-down, families of tests, average-tie ranks and Spearman's correlation."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import sys
+from collections.abc import Iterator, Mapping
+
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# primes of the deterministic draw
-P1, P2, P3, P4 = 7919, 104729, 1299709, 15485863
+# fixed values: multipliers of the mixing of 32 bits and the step between draws
+MIX = ((16, 0x7FEB352D), (15, 0x31848BAB), (14, 0x2C1B3C6D))
+STEP = 0x1E3779B1
+#: Replicates that a row of work has, and draws of one numpy step.
+BLOCK, DRAWS = 100, 1 << 18
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Mixes 32 bits; arithmetic wraps."""
+    x = x.astype(np.uint32)
+    for shift, factor in MIX:
+        x ^= x >> np.uint32(shift)
+        x *= np.uint32(factor)
+    return x ^ x >> np.uint32(16)
 
 
 def paired(scores: DataFrame, focal: str) -> DataFrame:
-    """focal - rival of each query and rival; ``scores`` has query_id, engine, score, slice columns."""
-    a = scores.filter(F.col("engine") == focal).select("query_id", F.col("score").alias("focal_score"))
-    b = scores.filter(F.col("engine") != focal)
-    return b.join(a, "query_id").withColumn("diff", F.col("focal_score") - F.col("score"))
+    """focal - rival of each query and rival; ``scores`` has query_id, engine, score, slice columns.
+
+    A query that only one side has is an error: every rival must be paired with every query.
+    """
+    a = scores.filter(F.col("engine") == focal).select("query_id", F.col("score").alias("focal_score"), F.lit(True).alias("has_focal"))
+    b = scores.filter(F.col("engine") != focal).withColumn("has_rival", F.lit(True))
+    both = b.join(a, "query_id", "full")
+    whole = F.when(F.col("has_focal") & F.col("has_rival"), F.col("focal_score") - F.col("score")).otherwise(F.raise_error(F.concat(F.lit("unpaired query "), F.col("query_id").cast("string"))))
+    return both.withColumn("diff", whole).drop("has_focal", "has_rival")
 
 
-def bootstrap(diffs: DataFrame, cell: list[str], replicates: int, seed: int = 42) -> DataFrame:
-    """(cell, rep, total): sums of ``diff`` over resamples of whole queries.
+def replicate_totals(frames: Iterator[pd.DataFrame], cell: list[str]) -> Iterator[pd.DataFrame]:
+    """Totals of each replicate of a row's block, from the cell's distinct differences and their counts."""
+    for frame in frames:
+        out = []
+        for r in frame.to_dict("records"):
+            values, ends = np.array([v["diff"] for v in r["values"]], float), np.cumsum([v["times"] for v in r["values"]])
+            keys = mixed(mixed(np.array([(r["seed"] * 65536 + r["cell_no"]) % 2**32])) + np.arange(r["first"], r["first"] + r["size"], dtype=np.uint32))
+            n, totals = int(ends[-1]), np.zeros(r["size"])
+            for at in range(0, n, DRAWS):
+                draws = np.arange(at, min(at + DRAWS, n), dtype=np.uint32) * np.uint32(STEP)
+                many = max(1, DRAWS // len(draws))
+                for i in range(0, len(keys), many):
+                    index = mixed(draws[None, :] + keys[i : i + many, None]) % np.uint32(n)
+                    if len(ends) <= 8:
+                        below = np.stack([(index < e).sum(1) for e in ends], 1)
+                        totals[i : i + many] += np.diff(below, prepend=0) @ values
+                    else:
+                        totals[i : i + many] += values[np.searchsorted(ends, index, "right")].sum(1)
+            out.append(pd.DataFrame({**{c: [r[c]] * r["size"] for c in cell}, "rep": np.arange(r["first"], r["first"] + r["size"]), "total": totals, "n": n}))
+        if out:
+            yield pd.concat(out)
 
-    Draw i of replicate r takes the query with number ((r P1 + i P2 + seed P3) mod P4) mod n of
-    its cell.  Draws are counted per query before they meet the differences, so the join has a
-    row for each query drawn.
+
+def bootstrap(diffs: DataFrame, cell: list[str], replicates: int = 10_000, seed: int = 42, digits: int = 9) -> DataFrame:
+    """(cell, rep, total, n): sums of ``diff`` over resamples of whole queries, as many as the cell has.
+
+    The queries of a cell stand in order of their differences, rounded to ``digits``, so that a
+    cell is its distinct differences and their counts.  Draw i of replicate r takes the query
+    number mixed(mixed(mixed(seed, cell) + r) + i * STEP) mod n: each cell has a stream of its own.
     """
-    numbered = diffs.withColumn("i", F.row_number().over(Window.partitionBy(*cell).orderBy("query_id")) - 1)
-    sizes = numbered.groupBy(*cell).agg(F.count("*").alias("n"))
-    reps = sizes.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("draw", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
-    index = (F.col("rep") * P1 + F.col("draw") * P2 + F.lit(seed * P3)) % P4 % F.col("n")
-    drawn = reps.withColumn("i", index).groupBy(*cell, "rep", "i").agg(F.count("*").alias("times"))
-    return drawn.join(numbered.select(*cell, "i", "diff"), [*cell, "i"]).groupBy(*cell, "rep").agg(F.sum(F.col("times") * F.col("diff")).alias("total"), F.sum("times").alias("n"))
+    counts = diffs.groupBy(*cell, F.round("diff", digits).alias("diff")).agg(F.count("*").alias("times"))
+    per = counts.groupBy(*cell).agg(F.array_sort(F.collect_list(F.struct("diff", "times"))).alias("values"))
+    numbered = per.withColumn("cell_no", F.row_number().over(Window.orderBy(*cell)))  # one row per cell
+    first = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1), F.lit(BLOCK)))
+    work = numbered.withColumn("first", first).withColumn("size", F.least(F.lit(BLOCK), F.lit(replicates) - F.col("first"))).withColumn("seed", F.lit(seed))
+    kinds = dict(diffs.dtypes)
+    schema = ", ".join([f"{c} {kinds[c]}" for c in cell] + ["rep int", "total double", "n long"])
+    return work.repartition(64, *cell, "first").mapInPandas(lambda it: replicate_totals(it, cell), schema)
 
 
 def interval(boot: DataFrame, cell: list[str]) -> DataFrame:
@@ -51,3 +99,35 @@ def holm(tests: DataFrame, family: list[str], tie: list[str], alpha: float = 0.0
 def average_ranks(x: DataFrame, group: list[str], value: str, name: str) -> DataFrame:
     own, tied = Window.partitionBy(*group).orderBy(value), Window.partitionBy(*group, value)
     return x.withColumn(name, F.rank().over(own) + (F.count("*").over(tied) - 1) / 2)
+
+
+def families(**sources: DataFrame) -> DataFrame:
+    """The union of families of tests, each row tagged with its source."""
+    tagged = [df.withColumn("source", F.lit(name)) for name, df in sources.items()]
+    out = tagged[0]
+    for df in tagged[1:]:
+        out = out.unionByName(df)
+    return out
+
+
+def flips(tests: DataFrame, before: str, after: str) -> DataFrame:
+    """Tests that are significant in one family and not in the other."""
+    return tests.filter(F.col(before) != F.col(after)).withColumn("direction", F.when(F.col(after), "gained").otherwise("lost"))
+
+
+def stable(rho: Column, largest_delta_pp: Column) -> Column:
+    """Whether orders correlate at 0.9 or more and no cell moves by 5 points or more."""
+    return (rho >= 0.9) & (F.abs(largest_delta_pp) < 5.0)
+
+
+def forest(tests: DataFrame, lower_is_better: Mapping[str, bool]) -> DataFrame:
+    """Advantage of the focal engine in points with its interval; turned round where lower is better."""
+    turn = F.lit(False)
+    for metric, low in lower_is_better.items():
+        turn = F.when(F.col("metric") == metric, F.lit(low)).otherwise(turn)
+    pick = lambda a, b: F.when(turn, (0 - F.col(b)) * 100).otherwise(F.col(a) * 100)
+    return tests.withColumns({"adv": pick("diff", "diff"), "lo": pick("ci_low", "ci_high"), "hi": pick("ci_high", "ci_low")}).withColumn("clear_of_zero", F.col("lo") > 0)
+
+
+# functions go to the executors by value, which need no copy of the library
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -4,7 +4,18 @@ from __future__ import annotations
 
 import math
 
+from relevara.functions.scalars import STOP_WORDS
+
 _DISC = ", ".join(str(round(1e12 / math.log2(i + 2))) for i in range(20))
+
+
+def _mixed(numbers: str) -> str:
+    """A list of 32-bit numbers, mixed as the bootstrap's draws are."""
+    for shift, factor in ((16, 2146121005), (15, 830770091), (14, 739982445)):
+        numbers = f"list_transform({numbers}, lambda h: (xor(h, h >> {shift}) * {factor}) & 4294967295)"
+    return f"list_transform({numbers}, lambda h: xor(h, h >> 16))"
+
+
 _HIT = f"""
 WITH RECURSIVE qs AS (
   SELECT c_custkey AS query_id, c_mktsegment AS sector, ['simple','medium','complex'][c_nationkey % 3 + 1] AS tier FROM customer
@@ -46,38 +57,39 @@ own{tag} AS (
 ), qe{tag} AS (
   SELECT g.query_id, g.engine, g.sector, g.tier, coalesce(n_hits, 0) AS n_hits, coalesce(nrel, 0) AS nrel, coalesce(best, 0) = 0 AS ezr, coalesce(n_hits, 0) = 0 AS zero, n_hits > 0 AND best = 0 AS junk_only,
     CASE WHEN idcg10 > 0 THEN coalesce(dcg10, 0) / idcg10 END AS ndcg10, CASE WHEN idcg20 > 0 THEN coalesce(dcg20, 0) / idcg20 END AS ndcg20,
-    coalesce(g10 / (n10 * 100), 0.0) AS p10, coalesce(g20 / (n20 * 100), 0.0) AS p20,
+    coalesce((200 * g10 + n10) // (2 * n10) / 10000.0::DOUBLE, 0.0::DOUBLE) AS p10, coalesce((200 * g20 + n20) // (2 * n20) / 10000.0::DOUBLE, 0.0::DOUBLE) AS p20,
     CASE WHEN n_exact > 0 THEN coalesce(e10, 0) / n_exact END AS recall10, CASE WHEN n_exact > 0 THEN coalesce(e20, 0) / n_exact END AS recall20, j10 / n10 AS junk10, j20 / n20 AS junk20, coalesce(n_exact, 0) AS n_exact, coalesce(idcg10, 0) AS idcg10
   FROM grid g LEFT JOIN own{tag} o ON o.query_id = g.query_id AND o.engine = g.engine LEFT JOIN ideal{tag} i ON i.query_id = g.query_id LEFT JOIN exact{tag} x ON x.query_id = g.query_id
 )"""
 
 
 _QE = _HIT + _metrics("hit", "gain_code")
-_AGG = _QE + ", agg AS (SELECT engine, sector, tier, avg(CAST(zero AS INT)) * 100 AS zero_pct, avg(p10) * 100 AS p10_pct, avg(p20) * 100 AS p20_pct, count(*) AS n_queries FROM qe GROUP BY ALL)"
+_AGG = _QE + """, sums AS (SELECT engine, sector, tier, CAST(sum(CAST(zero AS INT)) AS BIGINT) AS z, CAST(sum(CAST(round(p10 * 10000) AS BIGINT)) AS BIGINT) AS s10, CAST(sum(CAST(round(p20 * 10000) AS BIGINT)) AS BIGINT) AS s20, count(*) AS n_queries FROM qe GROUP BY ALL),
+agg AS (SELECT engine, sector, tier, (20000 * z + n_queries) // (2 * n_queries) / 100.0::DOUBLE AS zero_pct, (20000 * s10 + n_queries * 10000) // (20000 * n_queries) / 100.0::DOUBLE AS p10_pct, (20000 * s20 + n_queries * 10000) // (20000 * n_queries) / 100.0::DOUBLE AS p20_pct, n_queries FROM sums)"""
 _COLL = _HIT + """, lab AS (SELECT query_id, sector, norm_id, raw_id, min(CASE WHEN engine = 'focal' THEN label_b ELSE label END) AS label FROM two GROUP BY ALL),
 pairs AS (SELECT a.query_id, a.sector, a.norm_id, a.raw_id AS raw_a, b.raw_id AS raw_b, a.label AS label_a, b.label AS label_b FROM lab a JOIN lab b ON a.query_id = b.query_id AND a.norm_id = b.norm_id AND a.raw_id < b.raw_id)"""
 _BOOT = _QE + """, diffs AS (
   SELECT r.query_id, r.engine, s.slice, CAST(f.ezr AS INT) - CAST(r.ezr AS INT) AS diff
   FROM qe r JOIN qe f ON f.query_id = r.query_id AND f.engine = 'focal' AND r.engine <> 'focal', LATERAL (SELECT unnest(['overall', r.sector, r.tier]) AS slice) s
-), numbered AS (SELECT *, row_number() OVER (PARTITION BY engine, slice ORDER BY query_id) - 1 AS i, count(*) OVER (PARTITION BY engine, slice) AS n FROM diffs),
-sizes AS (SELECT DISTINCT engine, slice, n FROM numbered),
-draws AS (SELECT engine, slice, n, rep, (rep * 7919 + draw * 104729 + 42 * 1299709) % 15485863 % n AS i FROM sizes, range(100) t(rep), LATERAL (SELECT unnest(range(n)) AS draw)),
-boot AS (SELECT w.engine, w.slice, rep, sum(diff) / count(*) AS m FROM draws w JOIN numbered x ON x.engine = w.engine AND x.slice = w.slice AND x.i = w.i GROUP BY ALL),
+), cells AS (SELECT engine, slice, list(diff ORDER BY diff) AS v, count(*) AS n, row_number() OVER (ORDER BY engine, slice) AS c FROM diffs GROUP BY engine, slice),
+reps AS (SELECT engine, slice, v, n, rep, """ + _mixed("[(" + _mixed("[42 * 65536 + c]") + "[1] + rep) & 4294967295]") + """[1] AS k FROM cells, range(10000) t(rep)),
+boot AS (SELECT engine, slice, rep, list_sum(list_transform(""" + _mixed("list_transform(range(n), lambda draw: (k + draw * 506952113) & 4294967295)") + """, lambda h: v[h % n + 1])) / n AS m FROM reps),
 tests AS (SELECT engine, slice, quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high, least(1.0::DOUBLE, 2 * least(avg(CAST(m <= 0 AS INT)), avg(CAST(m >= 0 AS INT)))) AS p_raw, count(*) AS n_replicates FROM boot GROUP BY ALL),
 steps AS (SELECT *, (count(*) OVER () - row_number() OVER (ORDER BY p_raw, engine, slice) + 1) * p_raw AS step FROM tests),
 holm AS (SELECT *, least(1.0::DOUBLE, max(step) OVER (ORDER BY p_raw, engine, slice ROWS UNBOUNDED PRECEDING)) AS p_holm FROM steps)"""
-_STOP = "['the','and','for','with','that','this','from','are','was','not','you','your']"
+_STOP = "list_filter(string_split('" + " ".join(STOP_WORDS) + "', ' '), lambda w: true)"
 _TOK = "list_filter(regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]+'), lambda t: length(t) > 2 AND NOT list_contains(" + _STOP + ", t))"
+_TITLED = "(source || ' ' || source || ' ' || source || ' ' || coalesce(text, ''))"
 _BM = f"""
-WITH words AS (SELECT doc_id, {_TOK.format('text')} AS t FROM documents),
+WITH words AS (SELECT doc_id, {_TOK.format(_TITLED)} AS t FROM documents),
 stats AS (SELECT count(*) AS n_docs, avg(len(t)) AS avgdl FROM words),
 post AS (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM words), tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM post GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 qt AS (SELECT DISTINCT item_id AS query_id, unnest({_TOK.format('text')}) AS term FROM benchmark),
 sc AS (
-  SELECT query_id, doc_id, round(sum(ln(1 + (n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score
+  SELECT query_id, doc_id, sum(ln(1 + (n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)) ORDER BY term) AS score
   FROM qt JOIN tf USING (term) JOIN df USING (term), stats GROUP BY ALL
-), top AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM sc QUALIFY rank <= 30)"""
+), top AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS INTEGER) AS rank FROM sc QUALIFY rank <= 30)"""
 _PROD = """WITH products AS (
   SELECT lower(p_brand) || ':' || p_partkey AS product_id, CASE WHEN p_partkey % 11 = 0 THEN ' N/A ' ELSE p_name END AS title,
     CASE WHEN p_partkey % 5 = 0 THEN 'nan' ELSE p_brand END AS brand, p_type AS category, CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE p_retailprice END AS price
@@ -108,17 +120,17 @@ SELECT g.engine, round(avg(CASE WHEN best > 0 THEN CAST(dcg AS BIGINT) / CAST(be
     "a08_cells": _QE + f"SELECT engine, coalesce(sector, tier, 'overall') AS slice, count(*) AS n, {_ALL} FROM qe GROUP BY GROUPING SETS ((engine), (engine, sector), (engine, tier))",
     "a14_recall_by_tier": _QE
     + "SELECT engine, 10 AS k, tier, round(avg(recall10), 9) AS rate, count(*) AS n FROM qe WHERE n_exact > 0 GROUP BY ALL UNION ALL SELECT engine, 20, tier, round(avg(recall20), 9), count(*) FROM qe WHERE n_exact > 0 GROUP BY ALL",
-    "a15_aggregates": _AGG + "SELECT engine, sector, tier, round(zero_pct, 6) AS zero_pct, round(p10_pct, 6) AS p10_pct, round(p20_pct, 6) AS p20_pct, n_queries FROM agg",
+    "a15_aggregates": _AGG + "SELECT * FROM agg",
     "a16_recombined": _AGG
     + "SELECT engine, round(sum(zero_pct * n_queries) / sum(n_queries), 6) AS zero_pct, round(sum(p10_pct * n_queries) / sum(n_queries), 6) AS p10_pct, round(sum(p20_pct * n_queries) / sum(n_queries), 6) AS p20_pct, CAST(sum(n_queries) AS BIGINT) AS n_queries FROM agg GROUP BY engine",
     "a17_label_census": _HIT + "SELECT label, count(*) AS n FROM labelled GROUP BY label",
     "a18_populations": _QE
     + "SELECT sector, tier, count(*) AS n_all, count(*) FILTER (idcg10 > 0) AS n_ndcg, count(*) FILTER (n_exact > 0) AS n_recall, count(*) FILTER (idcg10 > 0 AND n_exact = 0) AS n_between FROM qe WHERE engine = 'focal' GROUP BY ALL",
-    "a19_median_fill": """WITH p AS (SELECT p_partkey, p_type, CASE WHEN p_partkey % 7 = 0 THEN 0.0::DOUBLE ELSE p_retailprice END AS price FROM part),
-m AS (SELECT p_type, median(price) AS m FROM p WHERE price > 0 GROUP BY p_type)
-SELECT p_partkey, CASE WHEN price = 0 THEN round(coalesce(m, (SELECT median(price) FROM p WHERE price > 0)), 4) ELSE price END AS price FROM p LEFT JOIN m USING (p_type)""",
-    "a20_completeness": _PROD + " " + " UNION ALL ".join(f"SELECT '{c}' AS field, round(avg({_OK.format(c)}), 6) AS pct FROM products" for c in ("product_id", "title", "brand", "category")) + " UNION ALL SELECT 'price', round(100 * count(price) / count(*), 6) FROM products",
-    "a21_count_gate": " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n, true AS passes FROM {t}" for t in ("part", "supplier", "customer")),
+    "a19_median_fill": """WITH p AS (SELECT p_partkey, p_type, CAST(CASE WHEN p_partkey % 7 = 0 THEN 0 ELSE round(p_retailprice * 100) END AS BIGINT) AS cents FROM part),
+m AS (SELECT p_type, CAST(floor(median(cents) + 0.5::DOUBLE) AS BIGINT) AS m FROM p WHERE cents > 0 GROUP BY p_type)
+SELECT p_partkey, CASE WHEN cents = 0 THEN coalesce(m, (SELECT CAST(floor(median(cents) + 0.5::DOUBLE) AS BIGINT) FROM p WHERE cents > 0)) ELSE cents END / 100 AS price FROM p LEFT JOIN m USING (p_type)""",
+    "a20_completeness": _PROD + " " + " UNION ALL ".join(f"SELECT '{c}' AS field, round(avg({_OK.format(c)}), 1) AS pct FROM products" for c in ("product_id", "title", "brand", "category")) + " UNION ALL SELECT 'price', round(100 * count(price) / count(*), 1) FROM products",
+    "a21_count_gate": "SELECT name, n, expected, n = expected AS passes FROM (" + " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n, CAST(round((SELECT count(*) FROM customer) * {f}) AS BIGINT) AS expected FROM {t}" for t, f in (("part", "200 / 150"), ("orders", "10"), ("lineitem", "40"))) + ")",
     "a22_mapping_counters": _PROD + " SELECT count(*) FILTER (title = ' N/A ') AS skipped, count(*) - count(DISTINCT CASE WHEN title = ' N/A ' THEN '' ELSE trim(title) END) AS duplicate_titles, count(*) FILTER (price IS NULL) AS price_defaulted FROM products",
     "a23_id_mode": _PROD + " SELECT CASE WHEN bool_and(regexp_matches(split_part(product_id, ':', 2), '^-*[0-9]+$')) THEN 'int' ELSE 'str' END AS raw_mode, CASE WHEN bool_and(regexp_matches(product_id, '^-*[0-9]+$')) THEN 'int' ELSE 'str' END AS product_mode FROM products",
     "a24_confusion": _HIT + "SELECT label, " + ", ".join(f"count(*) FILTER (label_b = '{x}') AS \"{x}\"" for x in ("Exact", "Substitute", "Complementary", "Irrelevant")) + " FROM two GROUP BY label",
@@ -153,8 +165,8 @@ SELECT p_partkey, CASE WHEN price = 0 THEN round(coalesce(m, (SELECT median(pric
 r AS (SELECT sector, rank() OVER (PARTITION BY sector ORDER BY x) + (count(*) OVER (PARTITION BY sector, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY sector ORDER BY y) + (count(*) OVER (PARTITION BY sector, y) - 1) / 2 AS ry FROM per)
 SELECT sector, round(corr(rx, ry), 9) AS rho FROM r GROUP BY sector""",
     "w08_engine_order": _QE + ", per AS (SELECT sector, engine, round(avg(ndcg10), 9) AS s FROM qe GROUP BY ALL) SELECT sector, string_agg(engine, ' > ' ORDER BY s DESC, engine) AS ordering FROM per GROUP BY sector",
-    "a39_bm25_stats": _BM + "SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM tf GROUP BY term",
-    "t01_bm25_top30": _BM + "SELECT query_id, doc_id, rank, score FROM top",
+    "a39_bm25_stats": _BM + "SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf, n_docs, round(avgdl, 6) AS avgdl, round(ln(1 + (n_docs - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)), 9) AS idf FROM tf, stats GROUP BY term, n_docs, avgdl",
+    "t01_bm25_top30": _BM + "SELECT query_id, doc_id, rank, round(score, 6) AS score FROM top",
     "p01_norm_id": _HIT + "SELECT DISTINCT raw_id, replace(lower(raw_id), '-', '') AS norm_id FROM hit",
     "p06_clean_price": """WITH r AS (SELECT p_partkey, p_partkey % 8 AS k, CAST(p_retailprice AS DECIMAL(12,2)) AS p FROM part)
 SELECT p_partkey, CASE k WHEN 0 THEN CAST('1' || p AS DOUBLE) WHEN 1 THEN CAST(p AS DOUBLE) WHEN 4 THEN CAST(p AS DOUBLE) WHEN 5 THEN CAST(p AS DOUBLE) WHEN 7 THEN CAST(p AS DOUBLE) END AS price,
@@ -162,13 +174,8 @@ SELECT p_partkey, CASE k WHEN 0 THEN CAST('1' || p AS DOUBLE) WHEN 1 THEN CAST(p
   CASE k WHEN 0 THEN 1.0::DOUBLE WHEN 2 THEN NULL WHEN 3 THEN NULL WHEN 6 THEN 1.2::DOUBLE ELSE CAST(p AS DOUBLE) END AS first_number FROM r""",
     "p13_strip_html": r"""SELECT page_id, trim(regexp_replace(regexp_replace(coalesce(html, ''), '<[^>]*>', ' ', 'g'), '[ \t\n\r]+', ' ', 'g')) AS text, regexp_extract(url, '([^/]+)/*$', 1) AS tail, regexp_matches(lower(trim(url)), '^https?://') AS is_http FROM pages""",
     "p24_category_pick": "SELECT p_partkey, trim(p_name) AS leaf, trim(p_brand) AS top, trim(p_brand) || ' > ' || trim(p_type) AS path FROM part",
-    "p26_attributes": "SELECT event_id, CAST(props ->> '$.k' AS BIGINT) AS k FROM events",
-    "p28_discount": "SELECT l_partkey, round(avg(CASE WHEN l_discount > 0 AND l_extendedprice > 0 THEN (l_extendedprice - l_extendedprice * (1 - l_discount)) / l_extendedprice * 100 END), 6) AS mean_percent, count(*) FILTER (l_discount > 0 AND l_extendedprice > 0) AS n FROM lineitem GROUP BY l_partkey",
+    "p28_discount": "SELECT l_partkey, round(avg(CASE WHEN l_discount > 0 AND l_extendedprice > 0 THEN round((l_extendedprice - l_extendedprice * (1 - l_discount)) / l_extendedprice * 100, 2) END), 6) AS mean_percent, count(*) FILTER (l_discount > 0 AND l_extendedprice > 0) AS n FROM lineitem GROUP BY l_partkey",
     "p41_word_coverage": _BM
     + f" SELECT query_id, doc_id, round(len(list_filter(list_distinct({_TOK.format('b.text')}), lambda t: list_contains({_TOK.format('d.text')}, t))) / len(list_distinct({_TOK.format('b.text')})), 9) AS coverage FROM top JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = query_id WHERE rank <= 3",
-    "c01_audit_class": _BM
-    + """, c AS (SELECT *, CASE WHEN g < 3 THEN 100 WHEN g < 8 THEN 10 WHEN g < 12 THEN 1 ELSE 0 END AS code FROM (SELECT *, (query_id * 31 + doc_id * 17) % 100 AS g FROM top)),
-p AS (SELECT query_id, count(*) FILTER (code = 100 AND doc_id % 4 <> 0) AS fresh, count(*) FILTER (code = 100 AND doc_id % 4 = 0) AS stale, max(code) AS best, count(*) AS n FROM c GROUP BY query_id)
-SELECT query_id, CASE WHEN fresh > 0 THEN 'engines-missed' WHEN stale > 0 THEN 'inconclusive' WHEN best > 0 THEN 'partial' WHEN n >= 10 THEN 'catalog-gap' ELSE 'inconclusive' END AS audit_class, fresh, stale, n FROM p""",
     "g05_norm_invariance": "SELECT 0::BIGINT AS n_differ",
 }

@@ -35,3 +35,49 @@ def nested(hits: DataFrame) -> DataFrame:
     hit = F.struct(F.col("rank"), F.col("raw_id").alias("id"), F.col("label"))
     per = hits.groupBy("query_id", "sector", "tier", "engine").agg(F.array_sort(F.collect_list(hit)).alias("hits"))
     return per.groupBy("query_id", "sector", "tier").agg(F.map_from_entries(F.collect_list(F.struct("engine", "hits"))).alias("providers"))
+
+
+def sector_files(spark: SparkSession, paths: list[str], suffix: str = "_judged") -> DataFrame:
+    """Several judged files as one table, with the sector that each file's name begins with."""
+    name = F.regexp_replace("file", rf"{suffix}\.json(\.gz)?$", "")
+    return judged_files(spark, paths).withColumn("sector", name).drop("file")
+
+
+def csv_any_encoding(spark: SparkSession, path: str) -> DataFrame:
+    """CSV as strings: UTF-8 unless it leaves characters that no UTF-8 text has, then Latin-1."""
+    utf8 = csv_strings(spark, path)
+    broken = None
+    for c in utf8.columns:
+        bad = F.contains(F.col(f"`{c}`"), F.lit("�"))
+        broken = bad if broken is None else broken | bad
+    if "�" in "".join(utf8.columns) or broken is not None and utf8.filter(broken).limit(1).count():
+        return csv_strings(spark, path, "ISO-8859-1")
+    return utf8
+
+
+def side_files(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """(key, side): one JSON file per key, named by it; a bad file gives a struct of nulls."""
+    read = spark.read.schema(f"{schema}, _bad string").option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").json(folder)
+    fields = [c for c in read.columns if c != "_bad"]
+    key = F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "")
+    return read.select(key.alias("key"), F.when(F.col("_bad").isNull(), F.struct(*fields)).alias("side"))
+
+
+def with_side_files(table: DataFrame, side: DataFrame, key: str) -> DataFrame:
+    """``table`` with the side file of each row's key, null where there is none."""
+    return table.join(side.withColumnRenamed("key", key), key, "left")
+
+
+REJUDGED = "query_id string, sector string, tier string, model string, product_ids array<string>, labels array<string>, reasonings array<string>, image_missing array<string>, attempts int"
+
+
+def rejudged(spark: SparkSession, folder: str) -> DataFrame:
+    """A folder of re-judgments, one JSON file per query, as one row per product."""
+    whole = spark.read.schema(REJUDGED).option("multiLine", True).json(folder)
+    each = F.posexplode(F.arrays_zip("product_ids", "labels", "reasonings"))
+    return whole.select("query_id", "sector", "tier", each.alias("position", "j")).select("query_id", "sector", "tier", (F.col("position") + 1).alias("position"), F.col("j.product_ids").alias("product_id"), F.col("j.labels").alias("label"), F.col("j.reasonings").alias("reasoning"))
+
+
+def typed_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A result table of known types."""
+    return spark.read.schema(schema).option("header", True).csv(path)

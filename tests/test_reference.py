@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 from relevara.functions import scalars as S
 from relevara.operators import agreement, stats
 from relevara.operators.judged import DISCOUNTS, judged_hit
-from relevara.plans.oracles import ORACLE_SQL
-from relevara.plans.queries import QUERIES
+from relevara.plans import catalogue, judging, oracles
+from relevara.plans import queries as core
 from relevara.sources.readers import flattened, judged_files
 
+QUERIES = core.QUERIES | catalogue.QUERIES | judging.QUERIES
+ORACLE_SQL = oracles.ORACLE_SQL | catalogue.ORACLE_SQL | judging.ORACLE_SQL
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -31,7 +33,7 @@ def rows(df):
     return sorted(map(repr, df.astype(object).where(df.notna(), None).itertuples(index=False, name=None)))
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_matches_its_sql(spark, duck, name):
     assert rows(QUERIES[name](spark, DATA).toPandas()) == rows(duck.execute(ORACLE_SQL[name]).df())
 
