@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from relevara.llm.common import checked, ship, text_session, written
 
-#: Chunks whose ids a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 800_000
+#: Chunks whose ids a worker remembers, and their characters; beyond either the memory starts anew.
+REMEMBERED, REMEMBERED_CHARS = 800_000, 1 << 24
 _MEMORY: dict = {}
 
 
@@ -44,17 +44,18 @@ class Encoder:
     Other texts are encoded whole.
     """
 
-    def __init__(self, vocabulary: str) -> None:
+    def __init__(self, vocabulary: str, special_as_text: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
         vocab = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocab.values()) + 1, bool)
         self.opens[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True  # the byte-level space
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes | None] = {}
+        self.chars = 0
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
@@ -62,9 +63,11 @@ class Encoder:
     def learn(self, chunks: set[str]) -> None:
         """Remembers the ids of chunks after a space; None for those that white space starts."""
         new = list(chunks.difference(self.later))
-        if len(self.later) + len(new) > REMEMBERED:
+        self.chars += sum(map(len, new))
+        if len(self.later) + len(new) > REMEMBERED or self.chars > REMEMBERED_CHARS:
             self.later.clear()
             new = list(chunks)
+            self.chars = sum(map(len, new))
         plain = []
         for c in new:
             if c and not c[0].isspace():
@@ -94,17 +97,17 @@ class Encoder:
         return out
 
 
-def encoder(vocabulary: str) -> Encoder:
+def encoder(vocabulary: str, special_as_text: bool) -> Encoder:
     """One encoder for each vocabulary in a worker, kept between tasks."""
-    key = (len(vocabulary), zlib.crc32(vocabulary.encode()))
+    key = (len(vocabulary), zlib.crc32(vocabulary.encode()), special_as_text)
     if key not in _MEMORY:
-        _MEMORY[key] = Encoder(vocabulary)
+        _MEMORY[key] = Encoder(vocabulary, special_as_text)
     return _MEMORY[key]
 
 
-def piece_batches(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int, capacity: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
+def piece_batches(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int, capacity: int, with_ids: bool, special_as_text: bool) -> Iterator[pa.RecordBatch]:
     """Rows of PIECES: for each piece its place in the document and its rank among equal lengths in this task."""
-    enc, part, seen = encoder(vocabulary), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+    enc, part, seen = encoder(vocabulary, special_as_text), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
     end, width = np.array([end_id], "<u4").tobytes(), 4 * capacity
     for batch in batches:
         texts = [t or "" for t in batch.column(1).to_pylist()]
@@ -195,10 +198,11 @@ def place_frames(frames: Iterator[pd.DataFrame], keys: np.ndarray, table: np.nda
         yield x.drop(columns=["rank", "before", "part"]).assign(sequence_id=base + j // uses, offset=offset + j % uses * length)
 
 
-def pack(spark: SparkSession, docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = 1024, with_ids: bool = False) -> DataFrame:
+def pack(spark: SparkSession, docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = 1024, with_ids: bool = False, special_as_text: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset [, ids].
 
-    ``vocabulary`` is the path of a tokenizer's JSON file, read on the driver.
+    ``vocabulary`` is the path of a tokenizer's JSON file, read on the driver.  A special token's string in
+    a text becomes its id, as the tokenizer does by itself, or ordinary tokens with ``special_as_text``.
     """
     text_session(spark)
     source = Path(vocabulary).read_text(encoding="utf-8")
@@ -206,7 +210,7 @@ def pack(spark: SparkSession, docs: DataFrame, vocabulary: str, end_id: int = 2,
     shared = spark.sparkContext.broadcast(source)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long, ids array<int>"
     flat = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    pieces = written(spark, flat.mapInArrow(lambda it: piece_batches(it, shared.value, end_id, capacity, with_ids), schema))
+    pieces = written(spark, flat.mapInArrow(lambda it: piece_batches(it, shared.value, end_id, capacity, with_ids, special_as_text), schema))
     if not with_ids:
         pieces = pieces.drop("ids")
     # how many pieces of each length come from each task: at most ``capacity`` rows a task

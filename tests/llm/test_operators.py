@@ -129,7 +129,6 @@ def test_packing(spark, docs, empty):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(queries.vocabulary())
-    tok.encode_special_tokens = True
     out = pack(spark, docs, queries.vocabulary(), with_ids=True).toPandas()
     want = Counter()
     for r in docs.collect():
@@ -151,16 +150,21 @@ def test_packing(spark, docs, empty):
     assert rows_of(pack(spark, empty, queries.vocabulary())) == []
 
 
-def test_packing_encoder_is_exact():
+@pytest.mark.parametrize("as_text", [False, True])
+def test_packing_encoder_is_exact(as_text):
     from tokenizers import Tokenizer
 
     from relevara.llm.packing import Encoder
 
     tok = Tokenizer.from_file(queries.vocabulary())
-    tok.encode_special_tokens = True
-    enc = Encoder(open(queries.vocabulary(), encoding="utf-8").read())
+    tok.encode_special_tokens = as_text
+    enc = Encoder(open(queries.vocabulary(), encoding="utf-8").read(), as_text)
     rnd = random.Random(3)
     cases = ["".join(rnd.choice(["a", "b", "'s", " ", "\n", "\t", "!", "1", "é", " ", "\U0001f600", "<|endoftext|>", "'", " '"]) for _ in range(rnd.randrange(40))) for _ in range(3000)]
+    end = "<|endoftext|>"
+    cases += [end, f"x {end} y", f"{end}{end}", f"{end} {end}", f"word{end}word", f" {end}", f"{end}\n{end} a"]
+    if not as_text:
+        assert np.frombuffer(enc.encode([f"x {end} y"])[0], "<u4").tolist() == [87, 220, 50256, 331]
     assert enc.encode(cases) == [np.array(tok.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in cases]
 
 
