@@ -16,7 +16,7 @@ from relevara.llm.mixing import mix
 from relevara.llm.ngram_jaccard import jaccard_components
 from relevara.llm.packing import pack
 from relevara.llm.quality import quality_scores
-from relevara.llm.sanitise import find_spans, span_text
+from relevara.llm.sanitise import KINDS, REMOVE_SHARE, find_spans, span_text
 from relevara.llm.tool_calls import linked_chats
 
 
@@ -38,7 +38,9 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_spans(spark, documents(spark, sf_dir))
     count = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(("email", "ip", "card", "phone"))]
-    return found.select("doc_id", *count, F.sha2(span_text(F.col("base")), 256).alias("base_sha256"), span_text(F.col("all")).alias("spans"))
+    removed = F.filter(F.coalesce(F.map_values("shares"), F.array().cast("array<double>")), lambda s: s >= REMOVE_SHARE)
+    terms = [F.size(F.filter("all", lambda s: s["kind"] == KINDS.index("term"))).cast("long").alias("n_term"), F.size(removed).cast("long").alias("n_removed")]
+    return found.select("doc_id", *count, F.sha2(span_text(F.col("base")), 256).alias("base_sha256"), span_text(F.col("all")).alias("spans"), *terms)
 
 
 #: What the answers of a conversation are as a tool.
