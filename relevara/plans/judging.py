@@ -105,12 +105,6 @@ def f09_needs_run(spark: SparkSession, d: str) -> DataFrame:
     return J.needs_run(asked, done, ENGINES).select("query_id")
 
 
-@query(_BOOT + " SELECT engine, slice, round(ci_low, 9) AS ci_low FROM tests WHERE slice IN ('simple', 'medium', 'complex') AND engine LIKE 'rival%'")
-def f11_metric_filters(spark: SparkSession, d: str) -> DataFrame:
-    """Tests by prefix and by membership."""
-    return P.st4_ezr_bootstrap(spark, d).filter(F.col("engine").startswith("rival") & F.col("slice").isin("simple", "medium", "complex")).select("engine", "slice", "ci_low")
-
-
 def latencies(spark: SparkSession, d: str) -> DataFrame:
     """A run per query and engine: some without a latency, some with an error."""
     k = F.col("query_id") * 37 + F.length("engine") * 11
@@ -267,14 +261,6 @@ def t07_prefix(spark: SparkSession, d: str) -> DataFrame:
     return query_table(spark, d).orderBy("query_id").limit(25)
 
 
-@query(_SIGNED + "SELECT row_number() OVER (ORDER BY CASE slice WHEN 'overall' THEN 0 WHEN 'simple' THEN 1 WHEN 'medium' THEN 2 WHEN 'complex' THEN 3 ELSE 4 END, slice, engine) AS place, slice, engine, printf('%+.2f', diff * 100) AS points FROM all_")
-def t08_report_order(spark: SparkSession, d: str) -> DataFrame:
-    """Tests in the report's order with percentages as text."""
-    first = F.when(F.col("slice") == "overall", 0).when(F.col("slice") == "simple", 1).when(F.col("slice") == "medium", 2).when(F.col("slice") == "complex", 3).otherwise(4)
-    rows = ezr_rows(spark, d)  # a few dozen rows
-    return rows.select(F.row_number().over(Window.orderBy(first, "slice", "engine")).alias("place"), "slice", "engine", R.percent_text(F.col("diff"), signed=True).alias("points")).orderBy("place")
-
-
 _FAMILY = _QE + """, vals AS (SELECT engine, query_id, sector, tier, 'ezr' AS metric, CAST(ezr AS INT)::DOUBLE AS v FROM qe UNION ALL SELECT engine, query_id, sector, tier, 'p10', p10 FROM qe),
 dd AS (SELECT r.metric, r.engine, s.slice, f.v - r.v AS diff FROM vals r JOIN vals f ON f.query_id = r.query_id AND f.metric = r.metric AND f.engine = 'focal' AND r.engine <> 'focal', LATERAL (SELECT unnest(['overall', r.sector]) AS slice) s),
 t AS (SELECT metric, engine, slice, count(*) FILTER (diff > 0) AS up, count(*) FILTER (diff < 0) AS down FROM dd GROUP BY ALL),
@@ -314,6 +300,35 @@ def st7_flips(spark: SparkSession, d: str) -> DataFrame:
     return T.flips(family_rows(spark, d), "significant_own", "significant_all").select("source", "metric", "engine", "slice", "direction")
 
 
+@query(_FAMILY + " SELECT metric, engine, slice, round(p_own, 9) AS p_own FROM fam WHERE metric LIKE 'p%' AND slice IN ('overall', 'BUILDING')")
+def f11_metric_filters(spark: SparkSession, d: str) -> DataFrame:
+    """Tests by prefix and by membership."""
+    rows = family_rows(spark, d).filter(F.col("metric").startswith("p") & F.col("slice").isin("overall", "BUILDING"))
+    return rows.select("metric", "engine", "slice", F.round("p_own", 9).alias("p_own"))
+
+
+@query(
+    _FAMILY + " SELECT row_number() OVER (ORDER BY metric, CASE slice WHEN 'overall' THEN 0 ELSE 1 END, slice, engine) AS place, metric, slice, engine, printf('%+.2f', round((up - down) / greatest(up + down, 1), 4) * 100) AS points FROM fam"
+)
+def t08_report_order(spark: SparkSession, d: str) -> DataFrame:
+    """Tests in the report's order with percentages as text."""
+    rows = family_rows(spark, d)  # a few dozen rows
+    share = F.round((F.col("up") - F.col("down")) / F.greatest(F.col("up") + F.col("down"), F.lit(1)), 4)
+    order = Window.orderBy("metric", F.when(F.col("slice") == "overall", 0).otherwise(1), "slice", "engine")
+    return rows.select(F.row_number().over(order).alias("place"), "metric", "slice", "engine", R.percent_text(share, signed=True).alias("points")).orderBy("place")
+
+
+@query(_FAMILY + " SELECT metric, engine, slice, printf('%.6f', round(p_raw, 9)) AS p_raw, true AS aligned FROM fam")
+def j15_aligned_p(spark: SparkSession, d: str) -> DataFrame:
+    """Tests written with six decimals (K6), read as text, and their p-values aligned by key with the run's."""
+    keys = ["metric", "engine", "slice"]
+    run = family_rows(spark, d).select(*keys, F.round("p_raw", 9).alias("p_raw"))
+    path = sinks.new_path(spark, "tests")
+    sinks.write_table(run, path, keys, digits=6)
+    both = readers.csv_strings(spark, path).join(run.withColumnRenamed("p_raw", "now"), keys, "left")
+    return both.select(*keys, "p_raw", (F.abs(F.col("p_raw").cast("double") - F.col("now")) <= 5e-7).alias("aligned"))
+
+
 _POLICY = _HIT + """, g AS (SELECT *, CASE WHEN engine = 'focal' THEN gain_b ELSE gain_code END AS g0 FROM both2),
 c AS (SELECT query_id, norm_id, max(g0) AS hi, min(g0) AS lo FROM g GROUP BY ALL), hx AS (SELECT g.*, c.hi, c.lo FROM g JOIN c USING (query_id, norm_id))"""
 
@@ -428,17 +443,6 @@ def j14_committed_run(spark: SparkSession, d: str) -> DataFrame:
     return both.select(*run.columns, F.coalesce(near, F.lit(False)).alias("passes"))
 
 
-@query(_SIGNED + "SELECT engine, slice, printf('%.6f', diff) AS diff, printf('%.6f', round(p_raw, 9)) AS p_raw, true AS aligned FROM all_")
-def j15_aligned_p(spark: SparkSession, d: str) -> DataFrame:
-    """Tests written with six decimals (K6), read as text, and their p-values aligned by key with the run's."""
-    run = ezr_rows(spark, d).select("engine", "slice", "diff", F.round("p_raw", 9).alias("p_raw"))
-    path = sinks.new_path(spark, "tests")
-    sinks.write_table(run, path, ["engine", "slice"], digits=6)
-    old = readers.csv_strings(spark, path)
-    both = old.join(run.select("engine", "slice", F.col("p_raw").alias("now")), ["engine", "slice"], "left")
-    return both.select("engine", "slice", "diff", "p_raw", (F.abs(F.col("p_raw").cast("double") - F.col("now")) <= 5e-7).alias("aligned"))
-
-
 @query(_HIT + "SELECT query_id, sector, engine, rank AS position, raw_id AS id, label FROM labelled")
 def s02_sector_files(spark: SparkSession, d: str) -> DataFrame:
     """Judged results written as one file of nested JSON arrays per sector, read as many files with the sector from each name."""
