@@ -177,7 +177,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, huge: int = HUGE) -> DataF
             keys = [*KEYS, "apart"]
             copies = groups(rows, keys)
             n = copies.count()
-        forget(spark, bad)
+        else:
+            forget(spark, bad)
     out = rows.join(checked(copies, n), keys, "left")
     keep = F.col("keep")
     return out.select(
