@@ -33,6 +33,6 @@ def kappa(pairs: DataFrame, by: list[str]) -> DataFrame:
     ends = joint.select(*by, F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("label").alias("l"), "count"), F.struct(F.lit("b").alias("side"), F.col("label_b").alias("l"), "count"))).alias("x")).select(*by, "x.*")
     both = ends.groupBy(*by, "l").agg(F.sum(F.when(F.col("side") == "a", F.col("count")).otherwise(0)).alias("na"), F.sum(F.when(F.col("side") == "b", F.col("count")).otherwise(0)).alias("nb"))
     chance = both.groupBy(*by).agg(F.sum(F.col("na") * F.col("nb")).alias("cross"))
-    joined = n.join(chance, by) if by else n.join(F.broadcast(chance))
+    joined = n.join(chance, by) if by else n.join(F.broadcast(chance), F.lit(True))  # one row each
     po, pe = F.col("same") / F.col("n"), F.col("cross") / (F.col("n") * F.col("n"))
     return joined.select(*by, "n", F.round(po, 9).alias("agreement"), F.round(F.try_divide(po - pe, 1 - pe), 9).alias("kappa"))
