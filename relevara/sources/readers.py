@@ -55,12 +55,11 @@ def csv_any_encoding(spark: SparkSession, path: str) -> DataFrame:
     return utf8
 
 
-def side_files(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    """(key, side): one JSON file per key, named by it; a bad file gives a struct of nulls."""
-    read = spark.read.schema(f"{schema}, _bad string").option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").json(folder)
+def side_files(spark: SparkSession, folder: str, schema: str, key: str = r"([^/]+)\.json$") -> DataFrame:
+    """(key, side): one JSON file per key, named by it (``key`` finds it in the path); a bad file gives null."""
+    read = spark.read.schema(f"{schema}, _bad string").option("multiLine", True).option("recursiveFileLookup", True).option("columnNameOfCorruptRecord", "_bad").json(folder)
     fields = [c for c in read.columns if c != "_bad"]
-    key = F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "")
-    return read.select(key.alias("key"), F.when(F.col("_bad").isNull(), F.struct(*fields)).alias("side"))
+    return read.select(F.regexp_extract("_metadata.file_path", key, 1).alias("key"), F.when(F.col("_bad").isNull(), F.struct(*fields)).alias("side"))
 
 
 def with_side_files(table: DataFrame, side: DataFrame, key: str) -> DataFrame:
