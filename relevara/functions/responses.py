@@ -19,7 +19,8 @@ ANSWER = "array<struct<index:int,label:string,reasoning:string>>"
 def answer_list(text: Column, greedy: bool = True) -> Column:
     """The JSON array inside a text: up to its last bracket, or, not greedy, up to the first one."""
     found = F.regexp_extract(text, r"(?s)\[.*\]" if greedy else r"(?s)\[.*?\]", 0)
-    return F.when(found != "", F.from_json(found, ANSWER))
+    # as a member of an object, so that text behind the list makes it no JSON
+    return F.when(found != "", F.from_json(F.concat(F.lit('{"x":'), found, F.lit("}")), f"x {ANSWER}")["x"])
 
 
 def validated(text: Column, n_items: Column, rationale: bool = False) -> Column:

@@ -136,10 +136,10 @@ def p18_best_image(spark: SparkSession, d: str) -> DataFrame:
 )
 def p19_labels(spark: SparkSession, d: str) -> DataFrame:
     """Makers without label prefixes (P19), categories without counts (P20), ids from addresses or row numbers."""
-    b, t, key = F.col("p_brand"), F.col("p_type"), key().cast("string")
+    b, t, number = F.col("p_brand"), F.col("p_type"), key().cast("string")
     raw = choose(F.concat(F.lit("* Mkt: "), b), F.concat(F.lit("** MFR:manufacturer: "), b), F.concat(F.lit("Maker "), b), F.concat(b, F.lit(" ")))
     category = choose(F.concat(t, F.lit(" (12)")), F.lit("(7)"), F.concat(t, F.lit(" (a) b")))
-    url = F.when(key() % 5 == 0, " nan ").otherwise(F.concat(F.lit("http://shop/p/item-"), key, F.lit("//")))
+    url = F.when(key() % 5 == 0, " nan ").otherwise(F.concat(F.lit("http://shop/p/item-"), number, F.lit("//")))
     return table(spark, d, "part").select("p_partkey", C.maker(raw).alias("maker"), C.without_count(category).alias("category"), C.id_of(url, key()).alias("id"))
 
 
