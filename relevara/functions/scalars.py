@@ -5,8 +5,6 @@ White space is ASCII white space, and numbers parse as Spark's try_cast does.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -121,19 +119,3 @@ def word_coverage(query: Column, doc: Column) -> Column:
 
 def truncated(x: Column) -> Column:
     return F.floor(x * 100) / 100
-
-
-def once(x: Column, f: Callable[[Column], Column]) -> Column:
-    """``f`` of a value that is computed once, however often ``f`` names it."""
-    return F.element_at(F.transform(F.array(x), f), 1)
-
-
-def term_counts(x: Column) -> Column:
-    """array<struct<term, tf>> of a text's tokens, sorted by term: runs in the sorted list, without a shuffle."""
-
-    def runs(t: Column) -> Column:
-        first = F.filter(F.sequence(F.lit(1), F.size(t)), lambda i: (i == 1) | (F.get(t, i - 1) != F.get(t, F.greatest(i - 2, F.lit(0)))))
-        return once(first, lambda s: F.zip_with(s, F.concat(F.slice(s, F.lit(2), F.size(s)), F.array(F.size(t) + 1)), lambda a, b: F.struct(F.get(t, a - 1).alias("term"), (b - a).cast("long").alias("tf"))))
-
-    none = F.array().cast("array<struct<term:string,tf:bigint>>")
-    return once(F.array_sort(tokens(x)), lambda t: F.when(F.size(t) > 0, runs(t)).otherwise(none))

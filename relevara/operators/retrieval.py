@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from relevara.functions.scalars import term_counts, tokens
+from relevara.functions.scalars import tokens
 
 K1, B = 1.5, 0.75
 #: Times that a title counts.
@@ -21,9 +21,8 @@ def product_text(title: Column, *others: Column) -> Column:
 
 def postings(docs: DataFrame) -> DataFrame:
     """(doc_id, dl, term, tf) of a catalogue (doc_id, text)."""
-    per = docs.select("doc_id", term_counts(F.coalesce("text", F.lit(""))).alias("terms"))
-    whole = per.select("doc_id", F.aggregate("terms", F.lit(0).cast("long"), lambda n, t: n + t["tf"]).alias("dl"), "terms")
-    return whole.select("doc_id", "dl", F.inline("terms"))
+    words = docs.select("doc_id", tokens(F.coalesce("text", F.lit(""))).alias("t")).withColumn("dl", F.size("t"))
+    return words.select("doc_id", "dl", F.explode("t").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
 def corpus(docs: DataFrame) -> DataFrame:
