@@ -24,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relevara.llm.common import ship, text_session, written
+from relevara.llm.common import checked, ship, text_session, written
 from relevara.llm.textvec import SPACE, buffers, pieces, sums, word_hashes
 
 #: Rows that fit the scorer, hash buckets, rounds of updates and their rate.
 FIT_ROWS, BUCKETS, PASSES, RATE = 20_000, 1 << 16, 30, 8.0
+#: Parts of the sample, each a task that takes local steps; fixed, as the weights depend on it.
+FIT_PARTS = 6
 #: (low, high) of each heuristic: bad outside of it, good well inside of it, otherwise no vote.
 HEURISTICS = {
     "letters": (0.70, 0.77, 0.90, 0.93),  # share of letters among all bytes
@@ -172,15 +174,20 @@ def quality_scores(spark: SparkSession, docs: DataFrame, fit_rows: int = FIT_ROW
         patterns, n = np.array([r["pattern"] for r in table]), np.array([r["count"] for r in table], float)
         post, _, prior = accuracies(patterns, n)
         labels = spark.createDataFrame(pd.DataFrame({"pattern": patterns, "label": post}))
-        # the sample: hashes below the bound that about fit_rows rows keep
-        bound = rows.filter("pattern >= 0").selectExpr(f"percentile_approx(order, {min(1.0, fit_rows / n.sum())}, 10000)").first()[0]
-        chosen = rows.filter((F.col("pattern") >= 0) & (F.col("order") <= bound)).dropDuplicates(["order"]).join(F.broadcast(labels), "pattern").select(F.col("order").alias("o"), "label")
-        texts = written(spark, flat.join(F.broadcast(chosen), F.col("order") == F.col("o")).select("o", "label", "text").repartition(6, "o").sortWithinPartitions("o").select("label", "text"))
+        # the sample: the rows with the smallest hashes, exactly fit_rows of them if there are so many; repeated rows count once
+        distinct = rows.filter("pattern >= 0").groupBy("order").agg(F.min("pattern").alias("pattern"))
+        first = distinct.orderBy("order").limit(fit_rows)
+        chosen = written(spark, first.join(F.broadcast(labels), "pattern").select(F.col("order").alias("o"), "label"))
+        side = checked(chosen)
+        texts = flat.join(side, F.col("order") == F.col("o")).select("o", "label", "text")
+        texts = written(spark, texts.dropDuplicates(["o"]).repartition(FIT_PARTS, "o").sortWithinPartitions("o").select("label", "text"))
         weights[-1] = np.log(prior / (1 - prior))
         for _ in range(PASSES):
             shared = spark.sparkContext.broadcast(weights)
             parts = texts.mapInArrow(lambda it, b=shared: gradient_batches(it, b.value), "n long, grad binary")
             total = parts.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(added, "n long, grad binary").first()
+            if total is None or not total["n"]:
+                break
             weights = weights + np.frombuffer(total["grad"]) / total["n"]
     shared = spark.sparkContext.broadcast(weights)
     scored = flat.select("doc_id", "text").mapInArrow(lambda it: score_batches(it, shared.value), "doc_id long, score double")
