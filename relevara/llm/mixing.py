@@ -28,6 +28,8 @@ STEPS = 24
 UNIT = 1_000_000
 #: Rounds that close what rounding has left.
 ROUNDS = 6
+#: Parts of the documents of a cell; fixed, as it decides which documents get its copies.
+PARTS = 256
 
 
 def word_count(text: Column) -> Column:
@@ -131,7 +133,7 @@ def placed(spark: SparkSession, rows: DataFrame, cells: DataFrame) -> DataFrame:
     A cell may hold most rows, so the rank in it is a rank in one of many parts plus the
     counts of the parts before.
     """
-    part = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(1 << 20)) % F.greatest(F.lit(64), F.lit(int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    part = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(1 << 20)) % PARTS
     dealt = rows.withColumn("part", part.cast("int"))
     own = Window.partitionBy("source", "size", "part").orderBy(F.col("doc_id").isNull(), "doc_id", "text_hash")
     ranked = dealt.withColumn("rank", F.row_number().over(own) - 1)
