@@ -12,12 +12,15 @@ up to there are exchanged.  The sum is that of one parse of the whole text.
 
 Training reads a bounded sample (arguments ``rows`` and ``symbols``): of the labelled rows per
 language with the smallest hashes of their ids those whole texts, in that order, that fit
-together; where none fits, the shortest one.  Every text is scored whole.  There is one automaton
-per distinct label, so labels should be a closed set.
+together; where none fits, what fits of the shortest one.  Texts of more than ``LONGEST`` bytes are sampled only
+of a language that has no others.  All automata together hold at most ``ALL_SYMBOLS`` symbols, whatever the number of labels: with
+more than 16 labels each gets its part.  Every text is scored whole, and by itself: neither its neighbours
+nor the partitioning matter.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; so is every text
 if nothing is labelled; ties go to the language first in code point order; repeated rows are
-scored alike; a null label is no training row; an empty table gives an empty result.
+scored alike; a null label is no training row; a null doc_id counts as the empty text where the sample is
+drawn; extra columns are not read unless kept; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +39,9 @@ from relevara.llm.textvec import buffers, pieces
 
 #: Bounds of the training sample of each language.
 ROWS, SYMBOLS = 256, 1 << 16
+#: Symbols of all languages together, by which the table of transitions is bounded (about 2 states a symbol and
+#: 4 bytes an entry: 0.5 GB with an alphabet of 64), and bytes of a text that is sampled where a language has shorter ones.
+ALL_SYMBOLS, LONGEST = 1 << 20, 1 << 18
 #: Symbols of a block of the parse.
 BLOCK = 512
 #: Bits of evidence that count as one natural unit in the score.
@@ -56,6 +63,8 @@ def symbols(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     s[lead] = CAPITAL[s[lead]]
     keep = s != 0
     keep[1:] |= s[:-1] != 0
+    first = off[:-1][off[:-1] < len(s)]
+    keep[first] = s[first] != 0  # whatever the text before ends in
     before = np.concatenate([[0], np.cumsum(keep)])
     return s[keep], before[off]
 
@@ -99,8 +108,8 @@ def automaton_frame(x: pd.DataFrame, most: int) -> pd.DataFrame:
     alone = size.min() >= most
     for i in [int(size.argmin())] if alone else range(len(size)):
         if alone or used + size[i] < most:
-            parts += [s[off[i] : off[i + 1]].tobytes(), b"\0"]
-            used += int(size[i]) + 1
+            parts += [s[off[i] : off[i + 1]][: most - 1].tobytes(), b"\0"]
+            used += len(parts[-2]) + 1
     edges = suffix_automaton(b"".join(parts))
     flat = np.array([(i, c, j) for i, e in enumerate(edges) for c, j in e.items()], np.int32)
     return pd.DataFrame({"lang": [x["lang"].iloc[0]], "n_symbols": [used], "n_states": [len(edges)], "edges": [flat.tobytes()]})
@@ -121,9 +130,8 @@ class Parser:
         self.root = np.concatenate([[0], np.cumsum([m[2] for m in models])])[:-1].astype(np.int32)
         table = np.full((sum(m[2] for m in models), self.width), -1, np.int32)
         for f, r in zip(flat, self.root, strict=True):
-            table[f[:, 0] + r, self.code[f[:, 1]]] = f[:, 2] + r
-        # a state is kept as the place of its row
-        self.table = np.where(table >= 0, table * self.width, -1).ravel()
+            table[f[:, 0] + r, self.code[f[:, 1]]] = (f[:, 2] + r) * self.width  # a state is kept as the place of its row
+        self.table = table.ravel()
         self.root *= self.width
         starts = self.table.reshape(-1, self.width)[self.root // self.width] if len(models) else np.zeros((0, self.width), np.int32)
         # after a miss the symbol opens a new phrase, or is one by itself
@@ -219,9 +227,17 @@ class Parser:
         return best, 1 / np.exp(-np.minimum(gap, 700)).sum(1)
 
 
-def predict_batches(batches: Iterator[pa.RecordBatch], models: list) -> Iterator[pa.RecordBatch]:
+def parser_of(shared: Broadcast) -> Parser:
+    """The table of a broadcast's automata, made once per Python worker and kept with the broadcast."""
+    kept = shared.value
+    if kept[-1] is None:
+        kept[-1] = Parser(kept[0])
+    return kept[-1]
+
+
+def predict_batches(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
     """The batch's other columns with lang_pred and score in place of text (the last column)."""
-    parser = Parser(models)
+    parser = parser_of(shared)
     for whole in batches:
         last = whole.num_columns - 1
         for batch in pieces(whole, last, 1 << 22):
@@ -236,9 +252,12 @@ def predict_batches(batches: Iterator[pa.RecordBatch], models: list) -> Iterator
 def sample(spark: SparkSession, docs: DataFrame, use: Column, rows: int) -> DataFrame:
     """(lang, order, text) of at most ``rows`` labelled rows per language, by the hash of their ids."""
     order = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    labelled = docs.filter(use & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").alias("sample_id"), F.col("lang").alias("sample_lang"), order.alias("order"))
-    first = Window.partitionBy("sample_lang").orderBy("order", "sample_id")
-    ids = written(spark, labelled.withColumn("rn", F.row_number().over(first)).filter(F.col("rn") <= rows).drop("rn").distinct())
+    size = F.octet_length("text")
+    long = F.when(size > LONGEST, size).otherwise(0)
+    labelled = docs.filter(use & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").alias("sample_id"), F.col("lang").alias("sample_lang"), order.alias("order"), long.alias("long"))
+    first = Window.partitionBy("sample_lang").orderBy("long", "order", "sample_id")
+    # one long text stands for a language that has no others
+    ids = written(spark, labelled.withColumn("rn", F.row_number().over(first)).filter((F.col("rn") <= rows) & ((F.col("long") == 0) | (F.col("rn") == 1))).select("sample_id", "sample_lang", "order").distinct())
     texts = docs.select("doc_id", "lang", "text").join(checked(ids), F.col("doc_id").eqNullSafe(F.col("sample_id")) & (F.col("lang") == F.col("sample_lang")))
     return texts.filter(F.col("text").isNotNull()).select("lang", "order", "text").distinct()
 
@@ -246,6 +265,7 @@ def sample(spark: SparkSession, docs: DataFrame, use: Column, rows: int) -> Data
 def train(spark: SparkSession, docs: DataFrame, use: Column, rows: int = ROWS, most: int = SYMBOLS) -> list[tuple[str, int, int, bytes]]:
     """(language, training symbols, states, edges) of each language; a few MB each by the sample's bounds."""
     picked = written(spark, sample(spark, docs, use, rows))
+    most = min(most, max(2, ALL_SYMBOLS // max(1, picked.select("lang").distinct().count())))
     models = picked.groupBy("lang").applyInPandas(lambda x: automaton_frame(x, most), "lang string, n_symbols long, n_states long, edges binary")
     return [(r["lang"], r["n_symbols"], r["n_states"], bytes(r["edges"])) for r in models.collect()]
 
@@ -257,12 +277,12 @@ def identify(spark: SparkSession, docs: DataFrame, use: Column, keep: list[str]
     sample of each language.
     """
     text_session(spark)
-    models = spark.sparkContext.broadcast(train(spark, docs, use, rows, symbols))
+    models = spark.sparkContext.broadcast([train(spark, docs, use, rows, symbols), None])
     keep = ["doc_id"] if keep is None else keep
     flat = docs.select(*keep, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letter"), "text")
     types = dict(docs.dtypes)
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in keep), "lang_pred string", "score double"])
-    return flat.mapInArrow(lambda it: predict_batches(it, models.value), schema)
+    return flat.mapInArrow(lambda it: predict_batches(it, models), schema)
 
 
 ship(__name__)
