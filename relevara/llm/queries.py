@@ -15,6 +15,7 @@ from relevara.llm.maxent_lm import maxent_scores
 from relevara.llm.mixing import mix
 from relevara.llm.ngram_jaccard import jaccard_components
 from relevara.llm.packing import pack
+from relevara.llm.prefix_trie import prefix_trie
 from relevara.llm.quality import quality_scores
 from relevara.llm.sanitise import KINDS, REMOVE_SHARE, find_spans, span_text
 from relevara.llm.tool_calls import linked_chats
@@ -98,6 +99,12 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return norm_sorted_search(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv")
+    taken = F.crc32(conv.cast("string").cast("binary")) % 4
+    return prefix_trie(spark, spark.read.parquet(f"{sf_dir}/conversations.parquet"), conv - conv % 20, taken)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -111,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_lm_scoring,
         op9_exact_dedup,
         op10_exact_top_k,
+        op13_conversation_trie,
     )
 }
 
@@ -160,5 +168,38 @@ WITH v AS (
   FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
 ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
+""",
+    "op13_conversation_trie": r"""
+WITH own AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), heads AS (
+  SELECT c, xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda h, b: list_reduce([xor(h, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT c FROM own)
+), turns AS (
+  SELECT h.c, o.pos, o.role, o.text FROM heads h JOIN own o ON o.c = h.c - h.c % 20 AND o.pos <= h.h
+  UNION ALL
+  SELECT h.c, o.pos - h.h + coalesce(b.k, 0), o.role, o.text FROM heads h JOIN own o ON o.c = h.c AND o.pos > h.h
+    LEFT JOIN (SELECT h.c, count(*) AS k FROM heads h JOIN own o ON o.c = h.c - h.c % 20 AND o.pos <= h.h GROUP BY h.c) b ON b.c = h.c
+), seqs AS (
+  SELECT h.c, coalesce(list({'role': t.role, 'text': t.text} ORDER BY t.pos) FILTER (t.pos IS NOT NULL), []) AS s FROM heads h LEFT JOIN turns t ON t.c = h.c GROUP BY h.c
+), reach AS (
+  SELECT c, len(s) AS n, d, min(c) OVER (PARTITION BY s[1:d], d) AS node, len(list_filter(regexp_split_to_array(s[d].text, '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS words
+  FROM (SELECT c, s, unnest(range(0, len(s) + 1)) AS d FROM seqs)
+), nodes AS (
+  SELECT node, d, count(*) AS n_convs, CASE WHEN d = 0 THEN 0 ELSE max(words) END AS words,
+    sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (n = d), '')) AS sha
+  FROM reach GROUP BY node, d
+), linked AS (SELECT n.*, p.node AS parent FROM nodes n LEFT JOIN reach p ON p.c = n.node AND p.d = n.d - 1),
+kids AS (SELECT parent AS node, d - 1 AS d, count(*) AS n_children FROM linked WHERE d > 0 GROUP BY ALL),
+full_ AS (SELECT l.*, coalesce(k.n_children, 0) AS n_children FROM linked l LEFT JOIN kids k ON k.node = l.node AND k.d = l.d),
+sums AS (
+  SELECT a.node, a.d, sum((f.n_convs - 1) * f.words) AS saved, count(*) FILTER (f.n_children = 0) AS leaves
+  FROM full_ f JOIN reach a ON a.c = f.node AND a.d <= f.d GROUP BY a.node, a.d
+)
+SELECT CAST(f.node AS BIGINT) AS conv_id, CAST(f.d AS BIGINT) AS depth, CAST(f.parent AS BIGINT) AS parent_conv_id, CAST(f.n_convs AS BIGINT) AS n_convs, CAST(f.n_children AS BIGINT) AS n_children,
+  CAST(s.leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, f.sha AS ends_sha256
+FROM full_ f JOIN sums s ON s.node = f.node AND s.d = f.d
 """,
 }
