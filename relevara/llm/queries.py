@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from relevara.llm.collocations import collocations
 from relevara.llm.common import documents, held_out
 from relevara.llm.exact_dedup import exact_dedup
 from relevara.llm.inner_product import norm_sorted_search
@@ -16,6 +17,7 @@ from relevara.llm.mixing import mix
 from relevara.llm.ngram_jaccard import jaccard_components
 from relevara.llm.packing import pack
 from relevara.llm.prefix_trie import prefix_trie
+from relevara.llm.projection_forest import forest_search
 from relevara.llm.quality import quality_scores
 from relevara.llm.sanitise import KINDS, REMOVE_SHARE, find_spans, span_text
 from relevara.llm.tool_calls import linked_chats
@@ -99,6 +101,14 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return norm_sorted_search(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest_search(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(spark, documents(spark, sf_dir))
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv = F.col("conv")
     taken = F.crc32(conv.cast("string").cast("binary")) % 4
@@ -118,6 +128,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_lm_scoring,
         op9_exact_dedup,
         op10_exact_top_k,
+        op11_nearest_neighbours,
+        op12_collocations,
         op13_conversation_trie,
     )
 }
@@ -168,6 +180,29 @@ WITH v AS (
   FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
 ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
+""",
+    "op12_collocations": r"""
+WITH docs AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), pieces AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS p FROM docs),
+runs AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM runs GROUP BY lang),
+grams AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS g
+  FROM runs, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k
+), f AS (SELECT lang, k, g, count(*) AS a, string_split(g, ' ') AS w FROM grams GROUP BY lang, k, g HAVING count(*) >= 30),
+spans AS (
+  SELECT lang, a, array_to_string(w[i:i + m - 1], ' ') AS g FROM (
+    SELECT lang, a, w, m, unnest(range(1, k - m + 2)) AS i FROM (SELECT lang, a, w, k, unnest(range(2, k)) AS m FROM f WHERE k > 2))
+), longer AS (SELECT lang, g, max(a) AS longer FROM spans GROUP BY lang, g),
+cuts AS (
+  SELECT f.lang, f.g, f.a, f.w, unnest(range(1, f.k)) AS c FROM f LEFT JOIN longer x ON x.lang = f.lang AND x.g = f.g WHERE f.k > 1 AND coalesce(100 * x.longer, 0) < 80 * f.a
+), scored AS (
+  SELECT c.lang, c.g, c.a, c.c, l.a AS l, r.a AS r, CAST(CAST(2000000 AS HUGEINT) * c.a // (CAST(l.a AS HUGEINT) + r.a) AS BIGINT) AS score
+  FROM cuts c JOIN f l ON l.lang = c.lang AND l.g = array_to_string(c.w[1:c.c], ' ') JOIN f r ON r.lang = c.lang AND r.g = array_to_string(c.w[c.c + 1:], ' ')
+), least AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, c) = 1)
+SELECT lang, rank, g AS phrase, a, l, r, n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank FROM least) JOIN total USING (lang) WHERE rank <= 2000
 """,
     "op13_conversation_trie": r"""
 WITH own AS (
