@@ -30,13 +30,15 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from relevara.llm.common import checked, forget, ship, written
+from relevara.llm.common import arrow_rows, checked, forget, ship, written
 from relevara.llm.textvec import BYTE64, LOWER, buffers, mix, pieces, powers
 
 #: Words of a dictionary that travels to all tasks: 16 bytes each.
 DICTIONARY = 2_000_000
 #: Bytes of text of one numpy step; words of a task's table and keys of a block, which are then passed on.
-CHUNK, WORDS, KEYS = 2 << 20, 200_000, 1 << 21
+CHUNK, WORDS, KEYS = 2 << 20, 200_000, 1 << 19
+#: Rows of an Arrow batch of texts, and of one of runs or keys, which are about a MB each.
+TEXTS, BLOCKS = 512, 16
 #: Keys of a range, and most ranges.
 RANGE, MOST_RANGES = 1 << 20, 1 << 16
 #: Bits of the bitmaps: 16 for each frequent phrase within these bounds, kept in segments.
@@ -413,7 +415,8 @@ def encoded(spark: SparkSession, docs: DataFrame, dictionary: DataFrame, count:
         hashes = dictionary.select("lang", "word", "number").mapInArrow(dictionary_batches, "one long, two long, number long").toPandas()
         one = hashes["one"].to_numpy().view(np.uint64)
         shared = spark.sparkContext.broadcast(Dictionary(one, hashes["two"].to_numpy().view(np.uint64), hashes["number"].to_numpy()))
-        return written(spark, docs.select("lang", "text").mapInArrow(lambda it: encoded_batches(it, shared), "ids binary"))
+        with arrow_rows(spark, TEXTS):
+            return written(spark, docs.select("lang", "text").mapInArrow(lambda it: encoded_batches(it, shared), "ids binary"))
     return written(spark, joined_ids(docs, dictionary))
 
 
@@ -425,7 +428,8 @@ def phrase_counts(spark: SparkSession, texts: DataFrame, words: int, longest: in
         ranges = int(min(MOST_RANGES, max(1, -(-words // RANGE))))
         keys = texts.mapInArrow(lambda it, n=n, r=ranges, s=shared: key_batches(it, n, r, s), "part int, keys binary, counts binary")
         frequent = keys.repartition("part").sortWithinPartitions("part").mapInArrow(lambda it, n=n: merged_batches(it, n, least), "key binary, f long")
-        out.append(written(spark, frequent))
+        with arrow_rows(spark, BLOCKS):
+            out.append(written(spark, frequent))
         if n < longest:
             shared = bitmap(spark, out[-1], n)
     return out
@@ -438,7 +442,8 @@ def collocations(spark: SparkSession, docs: DataFrame, least: int = 30, longest:
     has ``inside`` percent of its occurrences is dropped.  The score is that of the cut with the lowest floor(2000000 * a / (l + r)).
     """
     counts = docs.select("lang", "text").mapInArrow(counted_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("f"))
-    kept = written(spark, counts.filter((F.col("f") >= least) | F.col("word").isNull()))
+    with arrow_rows(spark, TEXTS):
+        kept = written(spark, counts.filter((F.col("f") >= least) | F.col("word").isNull()))
     totals = kept.filter("word IS NULL").select(F.col("lang").alias("of"), F.col("f").alias("n"))
     frequent = kept.filter(F.col("word").isNotNull() & (F.col("f") >= least))
     count, words = frequent.count(), totals.agg(F.sum("n")).first()[0] or 0

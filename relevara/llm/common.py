@@ -5,7 +5,8 @@ from __future__ import annotations
 import sys
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +31,18 @@ def text_session(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Rows of an Arrow batch for the jobs that run inside; the session's setting comes back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors see; a temporary one only where a session on a local master names none (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
