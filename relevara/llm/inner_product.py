@@ -9,13 +9,16 @@ is dropped once its partial sum plus the product of both remaining lengths stays
 threshold.  What is left is scored exactly in integers.
 
 Queries travel in blocks too: a block of queries meets a block of vectors by an equi-join on
-the block number, so nothing is broadcast that grows with the data.
+the block number.  How many ranges of vectors a block of queries has to meet is the number of ranges before it in one order of both,
+so only pairs that may matter are ever made.  Two things travel to all tasks, both of fixed size: the rotation, and the first block.
+The sum that the rotation comes from is added up in levels.
 
 Defined cases: a vector that is null or has a null or non-finite component takes no part, nor
 does a null id; shorter vectors count as filled up with zeros; an empty vector scores 0; a row
 repeated whole is a candidate each time and asks once, and a query excludes the rows of its own id; rows of
 one id with other vectors ask together, the best of all their scores count; ties go to the
-smaller id; scores beyond 64 bits are cut to that range; an empty table gives an empty result.
+smaller id; scores beyond 64 bits are cut to that range; an empty table gives an empty result; columns but vec_id and embedding are
+not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,15 +28,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from relevara.llm.common import ship, written
+from relevara.operators.running import running
 
 #: Vectors and queries of a block.
-BLOCK, QUERIES = 1024, 256
+BLOCK, QUERIES = 1024, 1024
 #: Leading coordinates of the first partial sum, and the share of pairs from which on single ones are summed.
 LEAD, SPARSE = 4, 0.05
+#: Matrices that one task adds up.
+FAN, MOST_PARTS = 32, 1 << 15
 #: Components and products below this are exact in doubles.
 EXACT = float(2**52)
 
@@ -67,8 +74,17 @@ def encoded_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def add_grams(g: pd.DataFrame) -> pd.DataFrame:
-    total = np.sum([np.frombuffer(b, np.float64) for b in g["gram"]], axis=0)
-    return g.head(1).assign(gram=[total.tobytes()])
+    """The sum of the matrices of up to FAN tasks, in the order of their numbers."""
+    total = np.sum([np.frombuffer(b, np.float64) for b in g.sort_values("at")["gram"]], axis=0)
+    return pd.DataFrame({"at": [int(g["at"].iloc[0]) // FAN], "gram": [total.tobytes()]})
+
+
+def added_up(grams: DataFrame, tasks: int) -> DataFrame:
+    """One matrix (at, gram) of those of all tasks, level by level."""
+    while tasks > 1:
+        grams = grams.groupBy(F.floor(F.col("at") / FAN)).applyInPandas(add_grams, "at long, gram binary")
+        tasks = -(-tasks // FAN)
+    return grams
 
 
 def gram_batches(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
@@ -77,7 +93,8 @@ def gram_batches(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.Rec
         x = decode(b.column(0).to_pylist(), dim)
         scale = np.abs(x).max(initial=1.0)
         total += (x / scale).T @ (x / scale) if scale > 1e100 else x.T @ x
-    yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([total.tobytes()])], names=["one", "gram"])
+    at = TaskContext.get().partitionId() if TaskContext.get() else 0
+    yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([total.tobytes()])], names=["at", "gram"])
 
 
 def packed_batches(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
@@ -153,6 +170,17 @@ def search_batches(batches: Iterator[pa.RecordBatch], rotation: np.ndarray, k: i
             yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], names=["query_id", "vec_id", "score"])
 
 
+def first_batches(batches: Iterator[pa.RecordBatch], begin: tuple[list[int], bytes], rotation: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of queries (q_ids, q_data) against the first block of vectors: (query_id, vec_id, score)."""
+    dim = rotation.shape[0]
+    ids, x = np.array(begin[0]), np.frombuffer(begin[1], np.float64).reshape(-1, dim)
+    for b in batches:
+        for q_ids, q_data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            q = np.frombuffer(q_data, np.float64).reshape(-1, dim)
+            *found, _ = search_block(np.array(q_ids), q, np.full(len(q_ids), -np.inf), ids, x, rotation, k)
+            yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in found], names=["query_id", "vec_id", "score"])
+
+
 def blocks_of(rows: DataFrame, number: Column, dim: int) -> DataFrame:
     """Rows (id, norm, data) packed by ``number``, some hundreds each: (block, ids, norms, data)."""
     grouped = rows.withColumn("block", number).groupBy("block").agg(F.collect_list(F.struct("id", "norm", "data")).alias("r"))
@@ -185,8 +213,9 @@ def norm_sorted_search(spark: SparkSession, vectors: DataFrame, queries: Column,
         return spark.createDataFrame([], out).select("query_id", F.lit(1).alias("rank"), "vec_id", "score")
     dim = max(stats["dim"], 1)
     rows = rows.select("id", "asks", "norm", "x").mapInArrow(encoded_batches, "id long, asks boolean, norm double, data binary")
-    gram = rows.select("data").mapInArrow(lambda it: gram_batches(it, dim), "one long, gram binary")
-    total = np.sum([np.frombuffer(r["gram"], np.float64) for r in gram.groupBy("one").applyInPandas(add_grams, "one long, gram binary").collect()], axis=0).reshape(dim, dim)
+    parts = min(MOST_PARTS, max(1, -(-stats["n"] // (BLOCK * 8))))
+    gram = rows.select("data").coalesce(parts).mapInArrow(lambda it: gram_batches(it, dim), "at long, gram binary")
+    total = np.sum([np.frombuffer(r["gram"], np.float64) for r in added_up(gram, parts).collect()], axis=0).reshape(dim, dim)
     rotation = np.linalg.eigh(total)[1][:, ::-1].copy() if np.isfinite(total).all() else np.eye(dim)
     shared = spark.sparkContext.broadcast(rotation)
     # blocks of vectors by descending length: ranges of the norm, each cut by a rank within its range
@@ -210,16 +239,21 @@ def norm_sorted_search(spark: SparkSession, vectors: DataFrame, queries: Column,
         both = pairs.join(blocks.select("block", "ids", "data"), "block").select("q_ids", "floors", "q_data", "ids", "data")
         return written(spark, both.mapInArrow(lambda it: search_batches(it, shared.value, k), out))
 
-    none = F.transform("q_ids", lambda _: F.lit(None).cast("double"))
-    first = run(q_blocks.select(F.lit(head).alias("block"), "q_ids", none.alias("floors"), "q_data"))
+    # the first block travels to all blocks of queries
+    start = blocks.filter(F.col("block") == head).select("ids", "data").first()
+    begin = spark.sparkContext.broadcast((list(start["ids"]), bytes(start["data"])))
+    first = written(spark, q_blocks.select("q_ids", "q_data").mapInArrow(lambda it: first_batches(it, begin.value, shared.value, k), out))
     floors = top_k(first, k).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("floor")).filter(F.col("n") == k)
     known = q_rows.join(floors, q_rows["id"] == floors["query_id"], "left").select("q_block", "id", "norm", "data", F.col("floor").cast("double").alias("floor"))
     # a block can matter to a query if its longest vector may reach the threshold
     reach = known.withColumn("least", F.when(F.col("floor").isNull() | (F.col("norm") == 0), F.lit(-1.0)).otherwise(F.col("floor") / F.col("norm") * (1 - 1e-9) - 1e-6))
     least = reach.groupBy("q_block").agg(F.min("least").alias("least"), F.map_from_entries(F.collect_set(F.struct("id", F.coalesce("floor", F.lit(float("-inf")))))).alias("floor_of"))
-    ends = longest.filter(F.col("block") != head)
-    every = least.withColumn("range", F.explode(F.sequence(F.lit(0), F.lit(n_ranges - 1))))
-    ends = ends.withColumn("range", F.shiftright("block", 20).cast("int"))
+    ends = longest.filter(F.col("block") != head).withColumn("range", F.shiftright("block", 20).cast("int"))
+    # ranges lie by descending length: of those a block of queries meets the first ones, as many as reach it
+    reach = longest.groupBy(F.shiftright("block", 20).cast("int").alias("range")).agg(F.max("longest").alias("least")).select("least", F.lit(0).alias("asks"), F.col("range").cast("long").alias("no"))
+    both = reach.unionByName(least.select("least", F.lit(1).alias("asks"), F.col("q_block").alias("no"))).withColumn("down", -F.col("least"))
+    met = running(spark, both, ["down", "asks", "no"], {"ranges": 1 - F.col("asks")}).filter("asks = 1 AND ranges > 0")
+    every = least.join(met.select(F.col("no").alias("q_block"), F.explode(F.sequence(F.lit(0), (F.col("ranges") - 1).cast("int"))).alias("range")), "q_block")
     pairs = every.join(ends, "range").filter(F.col("longest") >= F.col("least"))
     with_q = pairs.join(q_blocks, "q_block").select("block", "q_ids", F.transform("q_ids", lambda i: F.element_at("floor_of", i)).alias("floors"), "q_data")
     rest = run(with_q)

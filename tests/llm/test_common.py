@@ -52,7 +52,7 @@ def test_a_cluster_must_name_its_shared_folder(spark, monkeypatch):
         sparkContext = type("S", (), {"master": "spark://host:7077"})
 
     with pytest.raises(ValueError, match="checkpoint"):
-        common.shared_dir(Session())
+        common.shared_folder(Session())
 
 
 def test_colliding_fingerprints_are_told_apart(spark, monkeypatch):

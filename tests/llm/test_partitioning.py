@@ -131,3 +131,23 @@ def test_quality_sample_is_exact_at_any_ratio(spark, monkeypatch):
 def test_quality_without_a_sample(spark):
     docs = spark.createDataFrame([(1, "some words here"), (2, None)], "doc_id long, text string")
     assert quality.quality_scores(spark, docs, fit_rows=0).count() == 2
+
+
+def test_top_k_over_many_ranges(spark, monkeypatch):
+    """Ranges and blocks of few rows, sums in levels of two, columns whose names clash; against all products."""
+    from relevara.llm import inner_product
+
+    for name, value in {"BLOCK": 16, "QUERIES": 8, "FAN": 2}.items():
+        monkeypatch.setattr(inner_product, name, value)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(700, 6)) * rng.pareto(1.5, (700, 1))  # lengths differ much, so ranges are left out
+    rows = [(i, [float(c) for c in v], 1, "x", 2.0) for i, v in enumerate(x)]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>, id int, data string, norm double")
+    got = {}
+    for r in inner_product.norm_sorted_search(spark, docs, F.col("vec_id") % 10 == 0, 5).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    whole = np.floor(x * 1024).astype(np.int64)
+    for q in range(0, 700, 10):
+        s = whole @ whole[q]
+        best = sorted((int(-s[i]), i) for i in range(700) if i != q)[:5]
+        assert got[q] == {n + 1: (i, -s) for n, (s, i) in enumerate(best)}
