@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
@@ -13,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
+from relevara.sources.sinks import shared_folder
+
 #: Rows that a side may have to be broadcast; beyond it the join shuffles both sides.
 BROADCAST_ROWS = 200_000
 #: Bytes that it may have.
@@ -43,20 +44,9 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see; a temporary one only where a session on a local master names none (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if spark.sparkContext.master.partition("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        at = "file://" + tempfile.mkdtemp(prefix="relevara-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
 def written(spark: SparkSession, df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
-    path = f"{shared_dir(spark)}/relevara-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/relevara-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._relevara_path = path
