@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from relevara.sources.json_arrays import elements
+
 HIT = "struct<rank:int,id:string,title:string,description:string,image:string,price:double,discount_price:double,label:string,score:double,reasoning:string,cached:boolean>"
 JUDGED = f"query_id string, category string, complexity string, text_query string, providers map<string,struct<latency_ms:double,precision_at_10:double,precision_at_20:double,hits:array<{HIT}>>>"
 
 
-def judged_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """JSON arrays, plain or gzip by suffix, of one or many files, with the file's name."""
-    return spark.read.schema(JUDGED).option("multiLine", True).json(paths).withColumn("file", F.col("_metadata.file_name"))
+def judged_files(spark: SparkSession, paths: str | list[str], parts: int | None = None) -> DataFrame:
+    """JSON arrays, plain or gzip by suffix, of one or many files, with the file's name; a large file feeds many tasks.
+
+    Elements that are no JSON objects are rows of nulls.  ``parts`` deals the elements of files that cannot be cut (gzip).
+    """
+    found = elements(spark, paths, parts)
+    return found.select(F.from_json("element", JUDGED).alias("j"), F.regexp_extract("file", r"([^/]+)$", 1).alias("file")).select("j.*", "file")
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -26,8 +32,9 @@ def csv_strings(spark: SparkSession, path: str, encoding: str = "UTF-8") -> Data
 
 def flattened(judged: DataFrame) -> DataFrame:
     """One row per hit of a judged file: engine, stored position and the hit's fields."""
-    engines = judged.select("query_id", "category", "complexity", "text_query", F.explode("providers").alias("engine", "result"))
-    return engines.select("query_id", "category", "complexity", "text_query", "engine", F.posexplode("result.hits").alias("position", "hit")).select("query_id", "category", "complexity", "text_query", "engine", (F.col("position") + 1).alias("position"), "hit.*")
+    own = [c for c in judged.columns if c != "providers"]
+    engines = judged.select(*own, F.explode("providers").alias("engine", "result"))
+    return engines.select(*own, "engine", F.posexplode("result.hits").alias("position", "hit")).select(*own, "engine", (F.col("position") + 1).alias("position"), "hit.*")
 
 
 def nested(hits: DataFrame) -> DataFrame:
@@ -72,7 +79,7 @@ REJUDGED = "query_id string, sector string, tier string, model string, product_i
 
 def rejudged(spark: SparkSession, folder: str) -> DataFrame:
     """A folder of re-judgments, one JSON file per query, as one row per product."""
-    whole = spark.read.schema(REJUDGED).option("multiLine", True).json(folder)
+    whole = spark.read.schema(REJUDGED).option("multiLine", True).option("recursiveFileLookup", True).json(folder)
     each = F.posexplode(F.arrays_zip("product_ids", "labels", "reasonings"))
     return whole.select("query_id", "sector", "tier", each.alias("position", "j")).select("query_id", "sector", "tier", (F.col("position") + 1).alias("position"), F.col("j.product_ids").alias("product_id"), F.col("j.labels").alias("label"), F.col("j.reasonings").alias("reasoning"))
 

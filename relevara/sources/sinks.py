@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -25,6 +26,68 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def written(spark: SparkSession, df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
+    path = new_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_KEPT: dict[tuple[str, str, str], str] = {}
+
+
+def kept(spark: SparkSession, name: str, key: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table that ``build`` gives, written once for each name and key of a session; made again if its folder is gone."""
+    at = (spark.sparkContext.applicationId, name, key)
+    if at not in _KEPT or not exists(spark, f"{_KEPT[at]}/_SUCCESS"):
+        path = new_path(spark, name)
+        build().write.parquet(path)
+        _KEPT[at] = path
+    return spark.read.parquet(_KEPT[at])
+
+
+def _at(spark: SparkSession, path: str) -> tuple:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, fs = _at(spark, path)
+    return fs.exists(at)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at, fs = _at(spark, path)
+    fs.delete(at, True)
+
+
+def write_arrays(spark: SparkSession, df: DataFrame, name: str, order: Sequence[str], folder: str, suffix: str = "_judged", gzip: bool = False, pretty: bool = False) -> list[str]:
+    """One file for each value of ``name`` with a JSON array of its rows in order, ``<value><suffix>.json``, with .gz if packed; returns the paths.
+
+    A file is one task's, as one file has one writer; rows are objects of all columns but ``name``.
+    """
+    if name not in df.columns:
+        raise ValueError(f"no column {name}")
+    own = Window.partitionBy(name).orderBy(*order)
+    body = F.to_json(F.struct(*[c for c in df.columns if c != name]), {"ignoreNullFields": "false", **({"pretty": "true"} if pretty else {})})
+    n = F.count("*").over(Window.partitionBy(name))
+    nth = F.row_number().over(own)
+    line = F.concat(F.when(nth == 1, "[").otherwise(","), body, F.when(nth == n, "]").otherwise(""))
+    lines = df.select(F.col(name).alias("_name"), nth.alias("_nth"), line.alias("value")).repartition("_name").sortWithinPartitions("_name", "_nth").select("_name", "value")
+    parts = f"{folder}/parts-{uuid.uuid4().hex}"
+    lines.write.option("compression", "gzip" if gzip else "none").partitionBy("_name").text(parts)
+    end, out = ".json.gz" if gzip else ".json", []
+    at, fs = _at(spark, parts)
+    for entry in fs.listStatus(at):
+        if entry.isDirectory():
+            value = unquote(entry.getPath().getName().partition("=")[2])
+            files = [f.getPath() for f in fs.listStatus(entry.getPath()) if f.getPath().getName().startswith("part-")]
+            out.append(f"{folder}/{value}{suffix}{end}")
+            fs.rename(files[0], _at(spark, out[-1])[0])
+    delete(spark, parts)
+    return sorted(out)
+
+
 def write_catalogue(df: DataFrame, columns: Sequence[str], path: str) -> None:
     """Parquet with exactly these columns in this order."""
     df.select(*columns).write.mode("overwrite").parquet(path)
