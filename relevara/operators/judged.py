@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from relevara.functions.scalars import norm_id
+from relevara.sources.sinks import kept
 
 ENGINES = ("focal", "rival_a", "rival_b", "rival_c", "rival_d")
 TIERS = ("simple", "medium", "complex")
@@ -32,6 +33,11 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def judged_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixture's judged hits, written once in a session and read by all queries over them."""
+    return kept(spark, "judged-hit", sf_dir, lambda: built_hits(spark, sf_dir).repartition("query_id").sortWithinPartitions("query_id", "engine", "rank"))
+
+
+def built_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fixture: an order's lines as an engine's results for the customer's query."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_shipdate")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
