@@ -172,15 +172,15 @@ def p27_prices(spark: SparkSession, d: str) -> DataFrame:
     own = F.when(key() % 6 != 5, F.col("p_retailprice"))
     text = lambda x: x.cast("string")
     sale = choose(text(F.col("p_retailprice") / 2), text(F.col("p_retailprice") + 1), F.lit("none"), F.lit("-3"), F.lit(""), F.lit(None).cast("string"))
-    listed = choose(text(F.col("p_retailprice") * 2), F.lit("MRP 20.00 Save 12 %"), F.lit("none"), F.lit(None).cast("string"), F.lit(""), F.lit("x"))
+    listed = choose(text(F.col("p_retailprice") * 2), F.lit("list 20.00, now 12 % off"), F.lit("none"), F.lit(None).cast("string"), F.lit(""), F.lit("x"))
     fields = F.create_map(F.lit("discounted_price"), sale, F.lit("list"), listed)
     both = table(spark, d, "part").select("p_partkey", C.prices(text(own), fields).alias("a"), C.prices(text(own), fields, "list").alias("b"))
     return both.select("p_partkey", "a.*", F.col("b.original").alias("list_original"), F.col("b.discounted").alias("list_discounted"), F.col("b.percent").alias("list_percent"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'Fabric: ' || p_type || ' | ' || p_brand || ' | Size: ' || p_size END AS specs FROM part")
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'Weave: ' || p_type || ' | ' || p_brand || ' | Size: ' || p_size END AS specs FROM part")
 def p29_ruby_specs(spark: SparkSession, d: str) -> DataFrame:
-    blob = F.concat(F.lit('{"product_specification"=>[{"key"=>"Fabric", "value"=>" '), "p_type", F.lit('"}, {"value"=>"'), "p_brand", F.lit('"}, {"key"=>"lost"}, {"key" => "Size", "value" => "'), F.col("p_size").cast("string"), F.lit('"}]}'))
+    blob = F.concat(F.lit('{"specs"=>[{"key"=>"Weave", "value"=>" '), "p_type", F.lit('"}, {"value"=>"'), "p_brand", F.lit('"}, {"key"=>"lost"}, {"key" => "Size", "value" => "'), F.col("p_size").cast("string"), F.lit('"}]}'))
     return table(spark, d, "part").select("p_partkey", C.ruby_specs(F.when(key() % 3 == 0, F.col("p_name")).otherwise(blob)).alias("specs"))
 
 

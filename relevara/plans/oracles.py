@@ -166,6 +166,7 @@ r AS (SELECT sector, rank() OVER (PARTITION BY sector ORDER BY x) + (count(*) OV
 SELECT sector, round(corr(rx, ry), 9) AS rho FROM r GROUP BY sector""",
     "w08_engine_order": _QE + ", per AS (SELECT sector, engine, round(avg(ndcg10), 9) AS s FROM qe GROUP BY ALL) SELECT sector, string_agg(engine, ' > ' ORDER BY s DESC, engine) AS ordering FROM per GROUP BY sector",
     "a39_bm25_stats": _BM + "SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf, n_docs, round(avgdl, 6) AS avgdl, round(ln(1 + (n_docs - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)), 9) AS idf FROM tf, stats GROUP BY term, n_docs, avgdl",
+    "t01_bm25_by_join": _BM + "SELECT query_id, doc_id, rank, round(score, 6) AS score FROM top",
     "t01_bm25_top30": _BM + "SELECT query_id, doc_id, rank, round(score, 6) AS score FROM top",
     "p01_norm_id": _HIT + "SELECT DISTINCT raw_id, replace(lower(raw_id), '-', '') AS norm_id FROM hit",
     "p06_clean_price": """WITH r AS (SELECT p_partkey, p_partkey % 8 AS k, CAST(p_retailprice AS DECIMAL(12,2)) AS p FROM part)

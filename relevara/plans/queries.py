@@ -11,9 +11,10 @@ from relevara.functions import scalars as S
 from relevara.operators import agreement as A
 from relevara.operators import metrics as M
 from relevara.operators import stats as T
+from relevara.operators.inverted_index import Index, build, search
 from relevara.operators.judged import ENGINES, grid, ideal, judged_hit, pool, table
 from relevara.operators.judged import queries as query_table
-from relevara.operators.retrieval import bm25, corpus, idf, postings, product_text
+from relevara.operators.retrieval import bm25, idf, product_text
 from relevara.sources.readers import nested
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -370,6 +371,11 @@ def catalogue(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", product_text(F.col("source"), F.coalesce("text", F.lit(""))).alias("text"))
 
 
+def index(spark: SparkSession, d: str) -> Index:
+    """The catalogue's index, made once in a session."""
+    return build(spark, catalogue(spark, d), d)
+
+
 def searches(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
@@ -377,13 +383,18 @@ def searches(spark: SparkSession, d: str) -> DataFrame:
 @query
 def a39_bm25_stats(spark: SparkSession, d: str) -> DataFrame:
     """Of each term its documents, occurrences and idf, with the corpus figures."""
-    docs = catalogue(spark, d)
-    per = postings(docs).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).join(F.broadcast(corpus(docs)), F.lit(True))
-    return per.select("term", "df", "cf", "n_docs", F.round("avgdl", 6).alias("avgdl"), F.round(idf(F.col("df"), F.col("n_docs")), 9).alias("idf"))
+    own = index(spark, d)
+    return own.terms.select("term", "df", "cf", F.lit(own.n_docs).cast("long").alias("n_docs"), F.round(F.lit(own.avgdl), 6).alias("avgdl"), F.round(idf(F.col("df"), F.lit(own.n_docs)), 9).alias("idf"))
 
 
 @query
 def t01_bm25_top30(spark: SparkSession, d: str) -> DataFrame:
+    return search(spark, index(spark, d), searches(spark, d)).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query
+def t01_bm25_by_join(spark: SparkSession, d: str) -> DataFrame:
+    """The same by a join of terms and postings, without an index."""
     return bm25(catalogue(spark, d), searches(spark, d)).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 

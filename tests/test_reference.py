@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 
 from relevara.functions import scalars as S
 from relevara.operators import agreement, stats
-from relevara.operators.judged import DISCOUNTS, judged_hit
-from relevara.plans import catalogue, judging, oracles
+from relevara.operators.judged import DISCOUNTS, built_hits
+from relevara.plans import catalogue, evaluation, judging, oracles
 from relevara.plans import queries as core
 from relevara.sources.readers import flattened, judged_files
 
-QUERIES = core.QUERIES | catalogue.QUERIES | judging.QUERIES
-ORACLE_SQL = oracles.ORACLE_SQL | catalogue.ORACLE_SQL | judging.ORACLE_SQL
+QUERIES = core.QUERIES | catalogue.QUERIES | judging.QUERIES | evaluation.QUERIES
+ORACLE_SQL = oracles.ORACLE_SQL | catalogue.ORACLE_SQL | judging.ORACLE_SQL | evaluation.ORACLE_SQL
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -86,5 +86,5 @@ def test_judged_files_round_trip(spark, tmp_path):
 
 
 def test_pushdown_and_pruning(spark):
-    plan = judged_hit(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    plan = built_hits(spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "l_comment" not in plan and "l_extendedprice" not in plan
