@@ -108,14 +108,14 @@ def search(spark: SparkSession, index: Index, queries: DataFrame, k: int = 30, f
     terms = own.select("query_id", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int").alias("part"), F.size("t").alias("n_terms"), F.explode("t").alias("term"))
     weighed = written(spark, terms.join(index.terms, "term").select("query_id", "part", "term", idf(F.col("df"), F.lit(index.n_docs)).alias("idf")), "asked")
     asked = weighed.groupBy("part", "term", "idf").agg(F.array_sort(F.collect_set("query_id")).alias("queries"))
-    found = "query_id long, doc_id long, score double, matched int"
+    found, avgdl = "query_id long, doc_id long, score double, matched int", index.avgdl
 
     def run(wanted: DataFrame | None) -> DataFrame:
         met = index.postings.join(asked, "term")
         if wanted is not None:  # (part, block, only): of a group's queries those that read this block
             met = met.join(wanted, ["part", "block"]).withColumn("queries", F.array_intersect("queries", "only")).filter(F.size("queries") > 0)
         dealt = met.select("part", "block", "term", "idf", "queries", "doc_ids", "dls", "tfs").repartition("part", "block").sortWithinPartitions("part", "block", "term")
-        return written(spark, dealt.mapInArrow(lambda it: best_batches(it, index.avgdl, k), found), "scores")
+        return written(spark, dealt.mapInArrow(lambda it: best_batches(it, avgdl, k), found), "scores")
 
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id")
     top = lambda rows: rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
