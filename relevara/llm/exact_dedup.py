@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relevara.llm.common import checked, drop_rows, forget, ship, text_session, written
+from relevara.llm.common import checked, drop_rows, forget, released, ship, text_session, written
 from relevara.llm.textvec import SPACE, buffers, pieces
 
 PRIME = 2**31 - 1
@@ -133,7 +133,7 @@ def place_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def profiles(spark: SparkSession, docs: DataFrame, huge: int = HUGE) -> DataFrame:
     """A written table with one fingerprinted row for each document."""
     flat = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_code_points"), "text")
-    rows = written(spark, flat.mapInArrow(lambda it: profile_batches(it, huge), PROFILE))
+    rows = written(spark, flat.mapInArrow(lambda it: released(profile_batches(it, huge)), PROFILE))
     one = ["uid", "doc_id", "text_hash", "n_code_points", "text_sha256", *KEYS]
     small = rows.filter("chunk_no IS NULL").select(one)
     if not rows.filter("chunk_no IS NOT NULL").select("uid").limit(1).count():
@@ -148,7 +148,7 @@ def collisions(spark: SparkSession, docs: DataFrame, copies: DataFrame) -> DataF
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ids = checked(copies.select(F.col("doc_id").alias("copy_id")).distinct())
     texts = named.join(ids, named["doc_id"].eqNullSafe(ids["copy_id"]), "left_semi").select("text")
-    places = texts.mapInArrow(place_batches, "f1 long, f2 long, norm_len long, chunk_no long, chunk binary").distinct()
+    places = texts.mapInArrow(lambda it: released(place_batches(it)), "f1 long, f2 long, norm_len long, chunk_no long, chunk binary").distinct()
     return places.groupBy(*KEYS, "chunk_no").count().filter("count > 1").select(KEYS).distinct()
 
 

@@ -34,7 +34,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from relevara.llm.common import checked, ship, text_session, written
+from relevara.llm.common import checked, released, ship, text_session, written
 from relevara.llm.textvec import buffers, pieces
 
 #: Bounds of the training sample of each language.
@@ -282,7 +282,7 @@ def identify(spark: SparkSession, docs: DataFrame, use: Column, keep: list[str]
     flat = docs.select(*keep, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letter"), "text")
     types = dict(docs.dtypes)
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in keep), "lang_pred string", "score double"])
-    return flat.mapInArrow(lambda it: predict_batches(it, models), schema)
+    return flat.mapInArrow(lambda it: released(predict_batches(it, models)), schema)
 
 
 ship(__name__)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from relevara.llm.common import checked, drop_rows, forget, ship, text_session, written
+from relevara.llm.common import checked, drop_rows, forget, released, ship, text_session, written
 from relevara.llm.graph import components
 from relevara.llm.textvec import buffers, distinct_sets, mix, pieces, shingle_hashes, sums, word_hashes
 
@@ -148,10 +148,10 @@ def verified(spark: SparkSession, docs: DataFrame, classes: DataFrame, pairs: Da
     The sets are made again from the texts and travel once, to the roots of their pairs.
     """
     uses = uses_of(spark, classes, pairs)
-    parts = texts_of(docs, uses, "uses").mapInArrow(lambda it: part_batches(it, size, seed), "uses array<struct<root: bigint, slot: int>>, node long, part int, n long, hashes array<long>")
+    parts = texts_of(docs, uses, "uses").mapInArrow(lambda it: released(part_batches(it, size, seed)), "uses array<struct<root: bigint, slot: int>>, node long, part int, n long, hashes array<long>")
     sent = parts.select(F.inline("uses"), "node", "part", "n", "hashes").repartition("root", "slot", "part")
     ordered = sent.sortWithinPartitions("root", "slot", "part", F.col("node") != F.col("root"), "node")
-    partial = ordered.mapInArrow(overlap_batches, "a long, b long, n_a long, n_b long, k long")
+    partial = ordered.mapInArrow(lambda it: released(overlap_batches(it)), "a long, b long, n_a long, n_b long, k long")
     shared = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("k").alias("k"))
     out = written(spark, shared.filter(den * F.col("k") >= num * (F.col("n_a") + F.col("n_b") - F.col("k"))).select("a", "b"))
     forget(spark, uses)
@@ -174,7 +174,7 @@ def set_classes(spark: SparkSession, docs: DataFrame, size: int) -> tuple[DataFr
     """Rows of all documents, the classes of equal sets, and the seed of their ids."""
     flat = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
     for seed in range(8):
-        rows = written(spark, flat.mapInArrow(lambda it, s=seed: profile_batches(it, size, s), "doc_id long, text_hash long, n_shingles long, node long, check long"))
+        rows = written(spark, flat.mapInArrow(lambda it, s=seed: released(profile_batches(it, size, s)), "doc_id long, text_hash long, n_shingles long, node long, check long"))
         of = F.max_by(F.struct("doc_id", "text_hash"), F.coalesce("doc_id", F.lit(-1)))
         found = rows.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("class_size"), F.min("check").alias("c0"), F.max("check").alias("c1"), F.max("n_shingles").alias("n"), of.alias("of"))
         classes = written(spark, found)
@@ -187,11 +187,11 @@ def set_classes(spark: SparkSession, docs: DataFrame, size: int) -> tuple[DataFr
 def prefixes(spark: SparkSession, docs: DataFrame, classes: DataFrame, size: int, seed: int, num: int, den: int) -> DataFrame:
     """(token, node, n, pos): the shared shingles in the prefix of each set, and their places in it."""
     share = 2 * (den - num) / den  # of texts without a partner, twice as many lone shingles as the prefix has places
-    tokens = docs.select("text").mapInArrow(lambda it: token_batches(it, size, seed, share), "token long, node long, n long")
+    tokens = docs.select("text").mapInArrow(lambda it: released(token_batches(it, size, seed, share)), "token long, node long, n long")
     held = tokens.groupBy("token").agg(F.min("node").alias("node"), F.max("node").alias("last"))
     lone = written(spark, held.filter("node = last").groupBy("node").agg(F.count("*").alias("lone")).join(classes.select("node", "n"), "node").filter(F.col("lone") >= prefix_size(num, den)).select("node"))
     live = written(spark, classes.join(checked(lone), "node", "left_anti").select("of.*"))
-    tokens = texts_of(docs, live).mapInArrow(lambda it: token_batches(it, size, seed), "token long, node long, n long")
+    tokens = texts_of(docs, live).mapInArrow(lambda it: released(token_batches(it, size, seed)), "token long, node long, n long")
     tokens = written(spark, tokens)
     often = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     behind = Window.partitionBy("node", "n").orderBy(F.desc("df"), F.desc("token"))

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from relevara.llm.common import checked, ship, text_session, written
+from relevara.llm.common import checked, released, ship, text_session, written
 
 #: Chunks whose ids a worker remembers, and their characters; beyond either the memory starts anew.
 REMEMBERED, REMEMBERED_CHARS = 800_000, 1 << 24
@@ -210,7 +210,7 @@ def pack(spark: SparkSession, docs: DataFrame, vocabulary: str, end_id: int = 2,
     shared = spark.sparkContext.broadcast(source)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long, ids array<int>"
     flat = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    pieces = written(spark, flat.mapInArrow(lambda it: piece_batches(it, shared.value, end_id, capacity, with_ids, special_as_text), schema))
+    pieces = written(spark, flat.mapInArrow(lambda it: released(piece_batches(it, shared.value, end_id, capacity, with_ids, special_as_text)), schema))
     if not with_ids:
         pieces = pieces.drop("ids")
     # how many pieces of each length come from each task: at most ``capacity`` rows a task

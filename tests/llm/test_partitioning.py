@@ -151,3 +151,28 @@ def test_top_k_over_many_ranges(spark, monkeypatch):
         s = whole @ whole[q]
         best = sorted((int(-s[i]), i) for i in range(700) if i != q)[:5]
         assert got[q] == {n + 1: (i, -s) for n, (s, i) in enumerate(best)}
+
+
+def test_mixing_rates_are_those_of_a_bisection(spark):
+    """Copies along the sizes of a source follow the tilted rates, found here by bisection of the dual, up to rounding and what closes the gap."""
+    rnd = random.Random(5)
+    sizes = {s: [rnd.choice([1, 2, 3, 5, 8, 13, 40, 90]) for _ in range(n)] for s, n in (("a", 260), ("b", 500), ("c", 900))}
+    rows = [(f"{s}{i}", s, n) for s, ns in sizes.items() for i, n in enumerate(ns)]
+    docs = spark.createDataFrame([(i, s, "w " * n) for i, (_, s, n) in enumerate(rows)], "doc_id long, source string, text string")
+    out = mix(spark, docs).toPandas()
+    for s, g in out.groupby("source"):
+        target, n, mean = g["target"].iloc[0], np.array(sizes[s], float), np.mean(sizes[s])
+        lo, hi = -50.0, 50.0
+        for _ in range(200):
+            tilt = (lo + hi) / 2
+            rate = 3 / (1 + 2 * np.exp(-np.clip(tilt * n / mean, -700, 700)))
+            lo, hi = (tilt, hi) if (n * rate).sum() < target else (lo, tilt)
+        assert abs((n * rate).sum() - min(target, 3 * n.sum())) < 1e-3 * target
+        assert abs(g["taken"].sum() - target) <= max(1, 0.001 * target)
+        upto = 0.0
+        for size in sorted(set(sizes[s])):
+            own = g[g["size"] == size]["copies"]
+            upto += len(own) * 3 / (1 + 2 * np.exp(-tilt * size / mean))
+            assert own.max() - own.min() <= 1  # documents of one size share evenly
+            # systematic rounding leaves less than a copy, and each of the rounds that close the gap moves copies of one size
+            assert abs(g[g["size"] <= size]["copies"].sum() - upto) <= 2 + 0.001 * target
