@@ -16,6 +16,8 @@ MIX = ((16, 0x7FEB352D), (15, 0x31848BAB), (14, 0x2C1B3C6D))
 STEP = 0x1E3779B1
 #: Replicates that a row of work has, and draws of one numpy step.
 BLOCK, DRAWS = 100, 1 << 18
+#: Distinct differences that a cell may have here; metrics of more belong to ``resampling``, which never holds a whole cell.
+MOST_VALUES = 100_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -68,8 +70,12 @@ def bootstrap(diffs: DataFrame, cell: list[str], replicates: int = 10_000, seed:
     The queries of a cell stand in order of their differences, rounded to ``digits``, so that a
     cell is its distinct differences and their counts.  Draw i of replicate r takes the query
     number mixed(mixed(mixed(seed, cell) + r) + i * STEP) mod n: each cell has a stream of its own.
+    A cell of more than MOST_VALUES distinct differences is an error: it would be one row.
     """
     counts = diffs.groupBy(*cell, F.round("diff", digits).alias("diff")).agg(F.count("*").alias("times"))
+    too_many = counts.groupBy(*cell).count().filter(F.col("count") > MOST_VALUES).limit(1).collect()
+    if too_many:
+        raise ValueError(f"{too_many[0].asDict()}: more distinct differences than {MOST_VALUES}; use relevara.operators.resampling")
     per = counts.groupBy(*cell).agg(F.array_sort(F.collect_list(F.struct("diff", "times"))).alias("values"))
     numbered = per.withColumn("cell_no", F.row_number().over(Window.orderBy(*cell)))  # one row per cell
     first = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1), F.lit(BLOCK)))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relevara.functions import catalog as C
+from relevara.functions.trees import pruned_trees
 from relevara.functions import responses as R
 from relevara.functions import scalars as S
 from relevara.operators.judged import TIERS, table
@@ -149,7 +150,8 @@ def p25_attributes(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part").withColumn("p_brand2", F.col("p_brand")).withColumn("p_brand", F.when(key() % 3 != 0, F.col("p_brand")))
     rest = C.leftovers([c for c in part.columns if c != "p_brand2"], ["p_partkey", "p_name", "p_retailprice"])
     nested = F.concat(F.lit('{"z": 2.5, "e": {"f": [null, "", {}]}, "a": {"b": [1, "'), "p_brand2", F.lit('", []], "c": ""}}'))
-    return part.select("p_partkey", C.sorted_json(rest).alias("attributes"), C.pruned_json(nested).alias("nested"))
+    trees = pruned_trees(spark, part.select("p_partkey", nested.alias("raw")), "p_partkey", "raw").withColumnRenamed("json", "nested")
+    return part.select("p_partkey", C.sorted_json(rest).alias("attributes")).join(trees, "p_partkey")
 
 
 @query(

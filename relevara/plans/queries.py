@@ -16,6 +16,7 @@ from relevara.operators.judged import ENGINES, grid, ideal, judged_hit, pool, ta
 from relevara.operators.judged import queries as query_table
 from relevara.operators.retrieval import bm25, idf, product_text
 from relevara.sources.readers import nested
+from relevara.sources.sinks import kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 FOCAL = ENGINES[0]
@@ -317,7 +318,9 @@ def slices(rows: DataFrame) -> DataFrame:
 def ezr_tests(spark: SparkSession, d: str, replicates: int = 10_000) -> tuple[DataFrame, DataFrame]:
     scores = M.query_engine(spark, d).select("query_id", "engine", "sector", "tier", M.ezr().alias("score"))
     diffs = slices(T.paired(scores, FOCAL)).select("query_id", "engine", "slice", "diff")
-    return diffs, T.interval(T.bootstrap(diffs, ["engine", "slice"], replicates), ["engine", "slice"])
+    cell = ["engine", "slice"]
+    tests = kept(spark, "ezr-tests", f"{d}/{replicates}", lambda: T.interval(T.bootstrap(diffs, cell, replicates), cell))  # all queries over the tests share them
+    return diffs, tests
 
 
 @query
