@@ -238,7 +238,7 @@ def rich_metrics(rows: DataFrame) -> DataFrame:
 
 
 @query(
-    _QE + f""", long AS (SELECT engine, tier, unnest([{", ".join("{'m': '" + m + "', 'v': " + {'alljunk': 'CAST(junk_only AS INT)::DOUBLE', 'nrel': 'nrel::DOUBLE'}.get(m, m) + "}" for m in _RICH)}]) AS x FROM qe)
+    _QE + f""", long AS (SELECT engine, tier, unnest([{", ".join("{'m': '" + m + "', 'v': " + {'alljunk': 'CAST(coalesce(junk_only, FALSE) AS INT)::DOUBLE', 'nrel': 'nrel::DOUBLE'}.get(m, m) + "}" for m in _RICH)}]) AS x FROM qe)
 SELECT engine, s.t AS tier, x.m AS metric, count(x.v) AS n, round(avg(x.v), 9) AS rate FROM long, LATERAL (SELECT unnest(['all', long.tier]) AS t) s GROUP BY ALL"""
 )
 def a13_all_metrics(spark: SparkSession, d: str) -> DataFrame:
