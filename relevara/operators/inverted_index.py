@@ -63,7 +63,7 @@ def build(spark: SparkSession, docs: DataFrame, key: str, block: int = DOCS) ->
         rows = counts.join(lengths, "doc_id").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).cast("int"))
         share = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
         packed = rows.groupBy("term", "block").agg(F.array_sort(F.collect_list(F.struct("doc_id", "dl", "tf"))).alias("p"), F.max(share).alias("most"))
-        return packed.select("term", "block", F.col("p.doc_id").alias("doc_ids"), F.col("p.dl").alias("dls"), F.col("p.tf").alias("tfs"), "most").repartitionByRange("term", "block").sortWithinPartitions("term", "block")
+        return packed.select("term", "block", F.col("p.doc_id").alias("doc_ids"), F.col("p.dl").alias("dls"), F.col("p.tf").alias("tfs"), "most").sortWithinPartitions("term", "block")
 
     return Index(kept(spark, "postings", f"{key}/{block}", blocks), terms, n_docs, avgdl, n_blocks)
 
