@@ -21,6 +21,7 @@ gives an empty result; extra columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -193,11 +194,27 @@ def encoded_batches(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(data, pa.binary())], names=["id", "asks", "data"])
 
 
+def drawn_rows(distinct: DataFrame, n: int, want: int) -> DataFrame:
+    """The ``want`` rows of ``n`` different (id, data) with the smallest hashes, in their order.
+
+    A bound on the hash leaves few more rows than wanted before they are ordered, so that all tasks together, not each
+    of them, send that many to the driver.
+    """
+    hashed, share = distinct.withColumn("h", F.xxhash64("id", "data")), (want + 8 * math.sqrt(want) + 64) / max(1, n)
+    few = hashed
+    while share < 1:
+        few = hashed.filter(F.col("h") < int(share * 2**64) - 2**63)
+        if few.count() >= want:
+            break
+        few, share = hashed, 2 * share
+    return few.orderBy("h", "id", "data").limit(want).select("id", "data")
+
+
 def forest_search(spark: SparkSession, vectors: DataFrame, queries: Column, k: int = 5, trees: int = TREES, target: float = TARGET, leaf: int = LEAF) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found among all other rows for each row where ``queries`` holds.
 
     ``vectors`` has vec_id and embedding.  The forest is fitted on the SAMPLE rows (fewer where SAMPLE_BYTES bounds
-    them) with the smallest hashes of their ids; every row is indexed.
+    them) with the smallest hashes; every row is indexed.
     """
     kind = "<f4" if vectors.schema["embedding"].dataType.elementType.simpleString() == "float" else "<f8"
     limit = float("inf")
@@ -213,7 +230,7 @@ def forest_search(spark: SparkSession, vectors: DataFrame, queries: Column, k: i
     once = rows.select("id", "data").distinct()
     distinct = written(spark, once.withColumn("nth", F.row_number().over(same)).filter(F.col("nth") <= k + 1).select("id", "data"))
     n = distinct.count()
-    sample = distinct.orderBy(F.xxhash64("id"), "id", "data").limit(max(2, min(SAMPLE, SAMPLE_BYTES // (8 * dim)))).toPandas()
+    sample = drawn_rows(distinct, n, max(2, min(SAMPLE, SAMPLE_BYTES // (8 * dim)))).toPandas()
     drawn = unit(decoded(list(sample["data"]), kind, dim))
     depth = 0
     while n >> depth > leaf and len(drawn) >> (depth + 1) >= LEAST:

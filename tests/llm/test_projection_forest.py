@@ -116,3 +116,35 @@ def test_query_recall_on_the_small_tables(spark):
         s[ids == ids[i]] = -9
         hits += sum(v in set(ids[np.argsort(-s)[:5]]) for v, _ in got[ids[i]])
     assert len(got) == len(asked) and hits / (5 * len(asked)) >= 0.9
+
+
+def test_the_sample_sends_the_driver_no_more_rows_with_more_tasks(spark, monkeypatch):
+    """64 tasks of 512 rows each would send all 32,768 rows; what tasks may send is bounded here."""
+    monkeypatch.setattr(forest, "SAMPLE", 512)
+    wide = ", ".join("rand({}) - 0.5".format(i) for i in range(64))
+    vectors = spark.range(32_768, numPartitions=64).selectExpr("id AS vec_id", f"CAST(array({wide}) AS array<float>) AS embedding")
+    conf = spark.sparkContext._jsc.sc().conf()
+    before, parts = conf.get("spark.driver.maxResultSize", "1g"), spark.conf.get("spark.sql.shuffle.partitions")
+    adaptive = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        conf.set("spark.driver.maxResultSize", "3m")
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "160k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "64k")
+        got = found(forest.forest_search(spark, vectors, F.col("vec_id") % 4096 == 0))
+    finally:
+        conf.set("spark.driver.maxResultSize", before)
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted(got) == list(range(0, 32_768, 4096)) and all(len(x) == 5 for x in got.values())
+
+
+def test_drawn_rows_are_those_of_the_smallest_hashes(spark):
+    """Also where most rows are of one id, and where there are fewer rows than wanted."""
+    rows = spark.range(9000).select((F.col("id") * F.when(F.col("id") < 3000, 1).otherwise(0)).alias("id"), F.encode(F.col("id").cast("string"), "utf-8").alias("data"))
+    order = [(r.id, bytes(r.data)) for r in rows.orderBy(F.xxhash64("id", "data")).collect()]
+    for want in (1, 40, 700, 9000, 20_000):
+        assert [(r.id, bytes(r.data)) for r in forest.drawn_rows(rows, 9000, want).collect()] == order[:want]
