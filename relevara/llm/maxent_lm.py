@@ -86,6 +86,16 @@ def features(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return np.stack([(x & mask).astype(np.int32) + i * (buckets // FEATURES) for i, x in enumerate(hashes)])
 
 
+def native(table: np.ndarray) -> np.ndarray:
+    """A copy whose dtype is numpy's own object.
+
+    Arrays that were sent have an equal dtype but another object, and ``np.add.at`` then takes ten times as long or more.
+    """
+    out = np.empty(table.shape, np.float32)
+    out[...] = table
+    return out
+
+
 class Trees:
     """The Huffman trees of all classes, as the decisions on the way to each symbol.
 
@@ -127,49 +137,54 @@ class Trees:
         node = self.node[at]
         key = (node.astype(np.uint64) + np.uint64(1)) * _NODE
         key ^= key >> np.uint64(29)
-        slots = [(((h[token] ^ key) * _SLOT) >> np.uint64(64 - bits)).astype(np.int32) for h in hashes]
+        slots = [(((h[token] ^ key) * _SLOT) >> np.uint64(64 - bits)).view(np.int64) for h in hashes]
         return token, self.right[at], self.odds[node], slots
 
 
 def tree_logs(trees: Trees, tree: np.ndarray, symbols: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """log P(symbol | class, history) of each token."""
     token, right, base, slots = trees.decisions(symbols, hashes, len(tree).bit_length() - 1)
-    s = np.clip(base + sum(tree[x] for x in slots), -60, 60)
+    s = np.clip(base + sum(tree.take(x) for x in slots), -60, 60)
     return -np.bincount(token, np.log1p(np.exp((1 - 2 * right) * s)), len(symbols))
 
 
 def tree_step(trees: Trees, tree: np.ndarray, used: np.ndarray, symbols: np.ndarray, hashes: np.ndarray) -> None:
     """Moves the entries that occur by TREE_RATE times their mean residual, damped for rare ones; adds up their uses."""
     _, right, base, slots = trees.decisions(symbols, hashes, len(tree).bit_length() - 1)
-    res = right - 1 / (1 + np.exp(-np.clip(base + sum(tree[x] for x in slots), -60, 60)))
+    res = right - 1 / (1 + np.exp(-np.clip(base + sum(tree.take(x) for x in slots), -60, 60)))
     at, n = np.concatenate(slots), np.zeros(len(tree), np.float32)
     np.add.at(n, at, np.float32(1))
-    np.add.at(tree, at, np.tile(np.float32(TREE_RATE) * res.astype(np.float32), len(slots)) / (n[at] + 2))
+    np.add.at(tree, at, np.tile(np.float32(TREE_RATE) * res.astype(np.float32), len(slots)) / (n.take(at) + 2))
     used += n
 
 
-def log_softmax(weights: np.ndarray, bias: np.ndarray, f: np.ndarray) -> np.ndarray:
-    s = bias + weights[f[0]]
+def logits(weights: np.ndarray, bias: np.ndarray, f: np.ndarray) -> np.ndarray:
+    s = weights.take(f[0], 0)
+    s += bias
     for x in f[1:]:
-        s += weights[x]
+        s += weights.take(x, 0)
     s -= s.max(1, keepdims=True)
+    return s
+
+
+def log_softmax(weights: np.ndarray, bias: np.ndarray, f: np.ndarray) -> np.ndarray:
+    s = logits(weights, bias, f)
     s -= np.log(np.exp(s).sum(1, keepdims=True))
     return s
 
 
 def gradient_step(weights: np.ndarray, bias: np.ndarray, f: np.ndarray, cls: np.ndarray) -> None:
     """Moves the weights of the features that occur by RATE times their mean residual, damped for rare ones."""
-    res = bias + weights[f[0]]
-    for x in f[1:]:
-        res += weights[x]
-    res -= res.max(1, keepdims=True)
+    f = f.astype(np.int64)
+    res = logits(weights, bias, f)
     np.exp(res, out=res)
     res /= -res.sum(1, keepdims=True)
     res[np.arange(len(cls)), cls] += 1
-    flat, columns = weights.reshape(-1), np.arange(CLASSES, dtype=np.int32)
+    # two classes are added at once, as the parts of a complex number
+    pairs, columns, each = weights.reshape(-1).view(np.complex64), np.arange(CLASSES // 2), np.empty_like(res)
     for x in f:
-        each = res * (RATE / (np.bincount(x, minlength=len(weights))[x] + 2.0)).astype(np.float32)[:, None]
-        np.add.at(flat, (x[:, None] * np.int32(CLASSES) + columns).ravel(), each.ravel())
+        np.multiply(res, (RATE / (np.bincount(x, minlength=len(weights))[x] + 2.0)).astype(np.float32)[:, None], out=each)
+        np.add.at(pairs, (x[:, None] * (CLASSES // 2) + columns).ravel(), each.reshape(-1).view(np.complex64))
 
 
 def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +208,7 @@ def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def update_batches(batches: Iterator[pa.RecordBatch], weights: np.ndarray, bias: np.ndarray, tree: np.ndarray, trees: Trees) -> Iterator[pa.RecordBatch]:
     """(block, part, n_tokens, change) after this task's gradient steps: the softmax's, the trees', the uses of the trees'."""
-    new, grown, used, seen = weights.copy(), tree.copy(), np.zeros(len(tree), np.float32), 0
+    new, grown, used, seen = native(weights), native(tree), np.zeros(len(tree), np.float32), 0
     for whole in batches:
         for batch in pieces(whole, 0):
             words, cls, off = tokens(batch.column(0))
