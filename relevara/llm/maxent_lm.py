@@ -96,6 +96,27 @@ def native(table: np.ndarray) -> np.ndarray:
     return out
 
 
+class Places:
+    """Places of hashes among sorted keys, from the first key of their leading bits on."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        bits = max(1, len(keys).bit_length())
+        self.shift, self.n = np.uint64(64 - bits), len(keys)
+        self.first = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+        self.keys = np.append(keys, np.uint64(2**64 - 1))
+
+    def __call__(self, words: np.ndarray) -> np.ndarray:
+        """-1 for words that are no keys."""
+        at = self.first.take((words >> self.shift).view(np.int64))
+        behind = np.flatnonzero(self.keys.take(at) < words)
+        for _ in range(16):
+            at[behind] += 1
+            behind = behind[self.keys.take(at[behind]) < words[behind]]
+        at[behind] = np.searchsorted(self.keys, words[behind])
+        at[(at == self.n) | (self.keys.take(at) != words)] = -1
+        return at
+
+
 class Trees:
     """The Huffman trees of all classes, as the decisions on the way to each symbol.
 
@@ -104,7 +125,7 @@ class Trees:
 
     def __init__(self, keys: np.ndarray, cls: np.ndarray, counts: np.ndarray, rest: np.ndarray) -> None:
         order = np.argsort(keys)
-        self.keys = keys[order]
+        self.keys, self.places = keys[order], Places(keys[order])
         owner, mass = np.concatenate([cls[order], np.arange(CLASSES)]), np.concatenate([counts[order].astype(float), rest])
         ways: list[list[tuple[int, bool]]] = [[] for _ in owner]
         odds: list[float] = []
@@ -124,10 +145,8 @@ class Trees:
         self.odds = np.array(odds, np.float32)
 
     def symbols(self, words: np.ndarray, cls: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return cls.astype(np.int64)
-        at = np.minimum(np.searchsorted(self.keys, words), len(self.keys) - 1)
-        return np.where(self.keys[at] == words, at, len(self.keys) + cls)
+        at = self.places(words).astype(np.int64)
+        return np.where(at >= 0, at, len(self.keys) + cls)
 
     def decisions(self, symbols: np.ndarray, hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
         """Token, direction, odds and four table entries of each decision on the ways to the symbols."""
@@ -279,7 +298,7 @@ SCORED = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long,
 
 def score_batches(batches: Iterator[pa.RecordBatch], model: dict) -> Iterator[pa.RecordBatch]:
     """Per text (doc_id, held_out, text) a row of SCORED; the words whose counts are not at hand are listed in ``rare``."""
-    weights, bias, share, keys, values, tree, trees = (model[k] for k in ("weights", "bias", "share", "words", "counts", "tree", "trees"))
+    weights, bias, share, places, values, tree, trees = (model[k] for k in ("weights", "bias", "share", "places", "counts", "tree", "trees"))
     base, uid = np.log10(float(model["n"] + model["v"] + 1)), TaskContext.get().partitionId() << 40
     for whole in batches:
         for batch in pieces(whole, 2):
@@ -290,11 +309,10 @@ def score_batches(batches: Iterator[pa.RecordBatch], model: dict) -> Iterator[pa
             for i in range(0, len(words), STEP):
                 part = slice(i, i + STEP)
                 logs[part] = log_softmax(weights, bias, f[:, part])[np.arange(len(cls[part])), cls[part]] + tree_logs(trees, tree, symbols[part], h[:, part])
-            c = np.zeros(len(words), np.int64)
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, words), len(keys) - 1)
-                c = np.where(keys[at] == words, values[at], 0)
-            own, other, here = np.log10(c + 1.0), symbols >= len(trees.keys), c > 0
+            at, c = places(words), np.zeros(len(words), np.int64)
+            here, other = at >= 0, symbols >= len(trees.keys)
+            c[here] = values[at[here]]
+            own = np.log10(c + 1.0)
             score = np.add.reduceat(logs / np.log(10.0) + np.where(other, own - share[cls], 0.0), off[:-1])
             known = np.add.reduceat(here.astype(np.int64), off[:-1])
             rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n - known)]).astype(np.int32)), pa.array(words[~here].view(np.int64)))
@@ -323,7 +341,7 @@ def maxent_scores(spark: SparkSession, docs: DataFrame, held_out: Column, common
     rest = n + v + 1 - np.bincount(cls[top], known[top] + 1.0, CLASSES)
     trees = Trees(words[top], cls[top], known[top], rest)
     weights, tree = train(spark, training, bias, trees, int(n.sum()), F.xxhash64("doc_id", F.length("text")))
-    model = {"weights": weights, "tree": tree, "trees": trees, "bias": bias, "share": np.log10(rest), "n": int(n.sum()), "v": int(v.sum()), "words": words, "counts": known}
+    model = {"weights": weights, "tree": tree, "trees": trees, "bias": bias, "share": np.log10(rest), "n": int(n.sum()), "v": int(v.sum()), "places": Places(words), "counts": known}
     shared = spark.sparkContext.broadcast(model)
     scored = written(spark, flat.mapInArrow(lambda it: score_batches(it, shared.value), SCORED))
     # the counts of all other words come by a join

@@ -56,3 +56,13 @@ def test_gradient_step_is_the_plain_one():
             want[bucket] += (np.eye(lm.CLASSES)[cls[t]] - p[t]) * lm.RATE / (n[bucket] + 2)
     lm.gradient_step(weights, bias, f, cls)
     assert np.allclose(weights, want, atol=1e-4)
+
+
+def test_places_of_words_among_keys():
+    rng = np.random.default_rng(5)
+    last = np.uint64(2**64 - 1)
+    close = np.uint64(7 << 60) + np.arange(100, dtype=np.uint64)  # of the same leading bits
+    for keys in (np.zeros(0, np.uint64), np.array([0], np.uint64), np.array([last]), np.unique(rng.integers(0, 2**64, 5000, np.uint64)), np.concatenate([[np.uint64(3)], close, [last]])):
+        words = np.concatenate([keys, keys + np.uint64(1), [np.uint64(0), last, last - np.uint64(1)], rng.integers(0, 2**64, 300, np.uint64)])
+        at = {int(k): i for i, k in enumerate(keys)}
+        assert lm.Places(keys)(words).tolist() == [at.get(int(w), -1) for w in words]
