@@ -143,7 +143,8 @@ class LandedReader(DataSourceReader):
                     if size >= self.bytes:
                         out.append(Files(files))
                         files, size = [], 0
-        return [*out, Files(files)] if files else out
+        # Spark reads a source without parts as one part, None
+        return [*out, Files(files)] if files or not out else out
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
