@@ -13,7 +13,6 @@ known terms finds nothing; repeated ids of documents are one document with the w
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -68,18 +67,9 @@ def build(spark: SparkSession, docs: DataFrame, key: str, block: int = DOCS) ->
     return Index(kept(spark, "postings", f"{key}/{block}", blocks), terms, n_docs, avgdl, n_blocks)
 
 
-def best_batches(batches: Iterator[pa.RecordBatch], avgdl: float, k: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (part, block, term) as (query_id, doc_id, score, matched): in each block the k best of a query and what ties with them."""
-    now, rows = None, []
-    for b in batches:
-        for r in b.to_pylist():
-            if (r["part"], r["block"]) != now:
-                if rows:
-                    yield scored_block(rows, avgdl, k)
-                now, rows = (r["part"], r["block"]), []
-            rows.append(r)
-    if rows:
-        yield scored_block(rows, avgdl, k)
+def best_of_block(rows: pa.Table, avgdl: float, k: int) -> pa.Table:
+    """All rows of a part and block as (query_id, doc_id, score, matched): the k best of each query and what ties with them."""
+    return pa.Table.from_batches([scored_block(rows.sort_by("term").to_pylist(), avgdl, k)])
 
 
 def scored_block(rows: list[dict], avgdl: float, k: int) -> pa.RecordBatch:
@@ -114,8 +104,10 @@ def search(spark: SparkSession, index: Index, queries: DataFrame, k: int = 30, f
         met = index.postings.join(asked, "term")
         if wanted is not None:  # (part, block, only): of a group's queries those that read this block
             met = met.join(wanted, ["part", "block"]).withColumn("queries", F.array_intersect("queries", "only")).filter(F.size("queries") > 0)
-        dealt = met.select("part", "block", "term", "idf", "queries", "doc_ids", "dls", "tfs").repartition("part", "block").sortWithinPartitions("part", "block", "term")
-        return written(spark, dealt.mapInArrow(lambda it: best_batches(it, avgdl, k), found), "scores")
+        dealt = met.select("part", "block", "term", "idf", "queries", "doc_ids", "dls", "tfs")
+        # grouped, which the plan must meet; a plain repartition falls to the join's own, and that one to local reads when the join turns out small
+        best = dealt.groupBy("part", "block").applyInArrow(lambda rows: best_of_block(rows, avgdl, k), found)
+        return written(spark, best, "scores")
 
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id")
     top = lambda rows: rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
