@@ -243,8 +243,9 @@ def forest_search(spark: SparkSession, vectors: DataFrame, queries: Column, k: i
     both = "block long, id long, data binary"
     own = distinct.mapInArrow(lambda it: leaf_batches(it, shared.value, kind, dim, blocks), both)
     asks = rows.filter("asks").select("id", "data").distinct().mapInArrow(lambda it: query_batches(it, shared.value, kind, dim, groups), both)
-    packed = lambda df, name: df.groupBy("block").agg(F.collect_list(F.struct("id", "data")).alias(name)).withColumn("leaf", F.shiftright("block", 20)).drop("block")
-    pairs = packed(asks, "q").join(packed(own, "v"), "leaf").select("q", "v")
+    # dealt by leaf once, for blocks and join alike; a merge, as Spark takes the queries' rows for no more than the queries and would send them all to the driver
+    packed = lambda df, name: df.withColumn("leaf", F.shiftright("block", 20)).repartition("leaf").groupBy("leaf", "block").agg(F.collect_list(F.struct("id", "data")).alias(name)).drop("block")
+    pairs = packed(asks, "q").join(packed(own, "v").hint("merge"), "leaf").select("q", "v")
     found = written(spark, pairs.mapInArrow(lambda it: search_batches(it, kind, dim, k), out))
     forget(spark, distinct)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

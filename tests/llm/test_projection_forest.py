@@ -148,3 +148,20 @@ def test_drawn_rows_are_those_of_the_smallest_hashes(spark):
     order = [(r.id, bytes(r.data)) for r in rows.orderBy(F.xxhash64("id", "data")).collect()]
     for want in (1, 40, 700, 9000, 20_000):
         assert [(r.id, bytes(r.data)) for r in forest.drawn_rows(rows, 9000, want).collect()] == order[:want]
+
+
+def test_rows_of_queries_are_not_broadcast(spark, monkeypatch):
+    """A few queries become many rows, one for each leaf; Spark doesn't see that and must not send them to all."""
+    plans, keep = [], forest.written
+
+    def noted(s, df):
+        if df.columns == ["query_id", "vec_id", "score"]:
+            df.collect()
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(s, df)
+
+    monkeypatch.setattr(forest, "written", noted)
+    rnd = np.random.default_rng(2)
+    docs = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rnd.normal(size=(3000, 8)))], "vec_id long, embedding array<double>")
+    assert forest.forest_search(spark, docs, F.col("vec_id") % 50 == 0, leaf=64).count() == 300
+    assert len(plans) == 1 and "SortMergeJoin" in plans[0] and "BroadcastHashJoin" not in plans[0].partition("Initial Plan")[0]
