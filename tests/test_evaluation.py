@@ -91,6 +91,24 @@ def test_a_killed_run_is_taken_up(spark, tmp_path):
     assert len(before) < 40 and {waves[c.split("-")[0]] for c in twice} <= {waves["c7"]}
 
 
+def test_tasks_follow_the_pace_of_the_judge(spark, tmp_path):
+    """Of a quick judge later waves are a few tasks, each with more calls; of a slow one tasks keep few calls."""
+    kinds = ["one word"] * 1200
+    out = judge.judged(spark, calls(spark, kinds), judge.RuleJudge(), f"file://{tmp_path}/run", wave=600)
+    assert out.count() == 2400
+    plan = {r.wave: r["count"] for r in spark.read.parquet(f"{tmp_path}/run/round-1/calls").groupBy("wave").count().collect()}
+    files = [sum(f.startswith("part-") for f in os.listdir(f"{tmp_path}/run/round-1/answers-{w}")) for w in (0, 1)]
+    assert files[0] == -(-plan[0] // judge.CALLS) and files[1] < files[0] / 2
+    pace = judge.Pace()
+    assert pace.tasks(1600, 4) == 100 and pace.tasks(20, 4) == 2 and pace.tasks(0, 4) == 1
+    pace.took(1600, 1600 * 3.0)
+    assert pace.tasks(1600, 4) == 100
+    pace.took(1600, 1600 * 0.1)
+    assert pace.tasks(1600, 4) == 16 and pace.tasks(160, 4) == 4
+    pace.took(1600, 0.0)
+    assert pace.calls == judge.MOST_CALLS
+
+
 def test_a_run_stops_at_its_budget(spark, tmp_path):
     log = tmp_path / "log"
     log.mkdir()
