@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from relevara.sources import sinks
 from relevara.sources.json_arrays import elements
 
 HIT = "struct<rank:int,id:string,title:string,description:string,image:string,price:double,discount_price:double,label:string,score:double,reasoning:string,cached:boolean>"
@@ -62,11 +65,36 @@ def csv_any_encoding(spark: SparkSession, path: str) -> DataFrame:
     return utf8
 
 
+#: Folders of ``sinks.write_files`` that are listed and read at once.
+FOLDERS = 32
+#: The name in the path of a file of ``sinks.write_files``.
+NAMED = r"/(?:file=)?([^/=]+?)(?:\.json|/part-[^/]+)$"
+
+
+def in_portions(spark: SparkSession, folder: str, read: Callable[[str | list[str]], DataFrame]) -> DataFrame:
+    """What ``read`` gives of all files below ``folder``; many ``bucket=`` folders are read and written a few at a time, as the driver holds an entry for each file that it reads."""
+    inside = sinks.children(spark, folder)
+    buckets = sorted(path for path in inside if path.rpartition("/")[2].startswith("bucket="))
+    if len(buckets) <= FOLDERS:
+        return read(folder)
+    others = sorted(set(inside) - set(buckets))
+    portions = [buckets[i : i + FOLDERS] for i in range(0, len(buckets), FOLDERS)] + ([others] if others else [])
+    path = sinks.new_path(spark, "portions")
+    for paths in portions:
+        rows = read(paths)
+        rows.write.mode("append").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def side_files(spark: SparkSession, folder: str, schema: str, key: str = r"([^/]+)\.json$") -> DataFrame:
     """(key, side): one JSON file per key, named by it (``key`` finds it in the path); a bad file gives null."""
-    read = spark.read.schema(f"{schema}, _bad string").option("multiLine", True).option("recursiveFileLookup", True).option("columnNameOfCorruptRecord", "_bad").json(folder)
-    fields = [c for c in read.columns if c != "_bad"]
-    return read.select(F.regexp_extract("_metadata.file_path", key, 1).alias("key"), F.when(F.col("_bad").isNull(), F.struct(*fields)).alias("side"))
+
+    def portion(paths: str | list[str]) -> DataFrame:
+        read = spark.read.schema(f"{schema}, _bad string").option("multiLine", True).option("recursiveFileLookup", True).option("columnNameOfCorruptRecord", "_bad").json(paths)
+        fields = [c for c in read.columns if c != "_bad"]
+        return read.select(F.regexp_extract("_metadata.file_path", key, 1).alias("key"), F.when(F.col("_bad").isNull(), F.struct(*fields)).alias("side"))
+
+    return in_portions(spark, folder, portion)
 
 
 def with_side_files(table: DataFrame, side: DataFrame, key: str) -> DataFrame:
@@ -79,7 +107,7 @@ REJUDGED = "query_id string, sector string, tier string, model string, product_i
 
 def rejudged(spark: SparkSession, folder: str) -> DataFrame:
     """A folder of re-judgments, one JSON file per query, as one row per product."""
-    whole = spark.read.schema(REJUDGED).option("multiLine", True).option("recursiveFileLookup", True).json(folder)
+    whole = in_portions(spark, folder, lambda paths: spark.read.schema(REJUDGED).option("multiLine", True).option("recursiveFileLookup", True).json(paths))
     each = F.posexplode(F.arrays_zip("product_ids", "labels", "reasonings"))
     return whole.select("query_id", "sector", "tier", each.alias("position", "j")).select("query_id", "sector", "tier", (F.col("position") + 1).alias("position"), F.col("j.product_ids").alias("product_id"), F.col("j.labels").alias("label"), F.col("j.reasonings").alias("reasoning"))
 

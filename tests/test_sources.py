@@ -5,8 +5,9 @@ import json
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
-from relevara.sources import archives, landed
+from relevara.sources import archives, landed, readers, sinks
 
 
 @pytest.fixture
@@ -103,3 +104,29 @@ def test_only_chosen_members_are_read(spark, tmp_path, monkeypatch):
     assert sum(b.num_rows for b in archives.member_batches(iter([batch]), ["*.json"])) == 1 and opened == ["a/y.json"]
     monkeypatch.setattr(archives, "CHUNK", 3)
     assert list(archives.lines_of(io.BytesIO(b"ab\n\ncdefg\nx"))) == [b"ab", b"", b"cdefg", b"x"]
+
+
+@pytest.mark.parametrize("scheme", ["file", "other"])
+def test_files_by_name_are_read_in_portions(spark, monkeypatch, tmp_path, scheme):
+    """A file for each row, broken ones too, by Python or by Spark; few folders are listed at once, and none is left out."""
+    if scheme != "file":
+        plain = sinks._at
+        monkeypatch.setattr(sinks, "_at", lambda s, p: (plain(s, p)[0], type("Other", (), {"getScheme": lambda _: "other"})()))
+    monkeypatch.setattr(sinks, "FOLDER", 4)
+    monkeypatch.setattr(readers, "FOLDERS", 3)
+    rows = spark.range(40).select(F.col("id").cast("string").alias("id"), F.when(F.col("id") % 4 == 0, '{"style": ').otherwise(F.concat(F.lit('{"style": "é'), F.col("id").cast("string"), F.lit('"}'))).alias("value"))
+    path = f"file://{tmp_path}/styles"
+    sinks.write_files(spark, rows, "id", "value", path, 40)
+    monkeypatch.undo() if scheme != "file" else None
+    monkeypatch.setattr(readers, "FOLDERS", 3)
+    (tmp_path / "styles" / "more.json").write_text('{"style": "m"}')
+    read = []
+    got = readers.in_portions(spark, path, lambda p: read.append(p) or spark.read.text(p, recursiveFileLookup=True))
+    assert got.count() == 41 and len(read) >= 4 and all(len(p) <= 3 for p in read)
+    side = {r.key: r.side and r.side.style for r in readers.side_files(spark, path, "style string", readers.NAMED).collect()}
+    assert side == {str(i): None if i % 4 == 0 else f"é{i}" for i in range(40)} | {"more": "m"}
+
+
+def test_names_of_files_are_plain(spark, tmp_path):
+    with pytest.raises(Exception, match="no name for a file"):
+        sinks.write_files(spark, spark.createDataFrame([("../x", "1")], "id string, value string"), "id", "value", f"file://{tmp_path}/names", 1)
