@@ -41,14 +41,17 @@ def block_counts(seed: int, stream: str, block: int, size: int, sizes: np.ndarra
         yield np.bincount(rng.integers(0, sizes[part], n), minlength=sizes[part])
 
 
-def part_totals(frames: Iterator[pd.DataFrame], seed: int) -> Iterator[pd.DataFrame]:
-    """(stream, rep, totals) of each part and block of replicates."""
+def part_totals(frames: Iterator[pd.DataFrame], seed: int, replicates: int) -> Iterator[pd.DataFrame]:
+    """(stream, rep, totals) of each part, block of replicates by block."""
     for frame in frames:
         for r in frame.to_dict("records"):
             d = np.array([list(x) for x in r["diffs"]], float)
-            counts = np.stack(list(block_counts(seed, r["stream"], r["block"], r["size"], np.array(r["sizes"], np.int64), r["part"])))
-            totals = np.rint(counts @ d).astype(np.int64)  # exact in doubles: a part's sums stay below 2**53
-            yield pd.DataFrame({"stream": r["stream"], "rep": r["block"] * BLOCK + np.arange(r["size"]), "totals": list(totals)})
+            sizes = np.array(r["sizes"], np.int64)
+            for first in range(0, replicates, BLOCK):
+                size = min(BLOCK, replicates - first)
+                counts = np.stack(list(block_counts(seed, r["stream"], first // BLOCK, size, sizes, r["part"])))
+                totals = np.rint(counts @ d).astype(np.int64)  # exact in doubles: a part's sums stay below 2**53
+                yield pd.DataFrame({"stream": r["stream"], "rep": first + np.arange(size), "totals": list(totals)})
 
 
 def resampled(spark: SparkSession, rows: DataFrame, replicates: int = 10_000, seed: int = 42) -> DataFrame:
@@ -66,9 +69,9 @@ def resampled(spark: SparkSession, rows: DataFrame, replicates: int = 10_000, se
     # one list of part sizes for each stream; empty parts have none and get a zero
     sized = kept.groupBy("stream").agg(F.map_from_entries(F.collect_list(F.struct("part", "m"))).alias("by"), F.max("part").alias("last"), F.sum("m").alias("n"))
     sizes = sized.select("stream", "n", F.transform(F.sequence(F.lit(0), "last"), lambda i: F.coalesce(F.try_element_at("by", i), F.lit(0).cast("long"))).alias("sizes"))
-    blocks = F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // BLOCK)))
-    work = kept.join(F.broadcast(sizes), "stream").withColumn("block", blocks).withColumn("size", F.least(F.lit(BLOCK), F.lit(replicates) - F.col("block") * BLOCK))
-    sums = work.repartition("stream", "part", "block").mapInPandas(lambda it: part_totals(it, seed), "stream string, rep int, totals array<long>")
+    # a part travels once and its task makes all replicates of it
+    work = kept.join(F.broadcast(sizes), "stream").repartition("stream", "part")
+    sums = work.mapInPandas(lambda it: part_totals(it, seed, replicates), "stream string, rep int, totals array<long>")
     each = sums.select("stream", "rep", F.posexplode("totals").alias("test", "total"))
     total = each.groupBy("stream", "rep", "test").agg(F.sum("total").alias("total"))
     return total.join(F.broadcast(sizes.select("stream", "n")), "stream")

@@ -254,3 +254,11 @@ def test_equality_of_two_paths_can_fail(spark):
     assert passes([cells[0], (*cells[1][:4], 0.25 + 2e-9)]) == {"ndcg10": True, "p10": False}
     assert passes([(*cells[0][:3], 9, 0.5), cells[1]]) == {"ndcg10": False, "p10": True}
     assert passes(cells[:1]) == {"ndcg10": True, "p10": False}
+
+
+def test_parts_travel_once(spark):
+    """The lists of a part are not copied for each block of replicates."""
+    rows = spark.range(300).select(F.lit("a").alias("stream"), F.col("id").alias("query_id"), F.array(F.col("id") % 5 - 2).alias("diffs"))
+    boot = resampling.resampled(spark, rows, 1000)
+    assert boot.count() == 1000 and "Generate explode(" not in boot._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.rep for r in boot.collect()) == list(range(1000))
